@@ -51,54 +51,61 @@ def rules() -> dict[str, Column]:
     """Votes: 1 good, -1 bad, 0 abstains. Each looks at one side of a text, and abstains in its grey zone."""
     n, c = F.col("n_words"), F.col("word_chars")
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
-
     def bad(when: Column) -> Column:
         return F.when(when, -1).otherwise(0)
 
+    plain = (n >= 20) & (F.col("n_symbols") * 50 <= n) & (F.col("n_repeat_words") * 10 <= n * 3) & (F.col("n_upper") * 10 <= c) & (F.col("n_ends") * 100 >= n)
     return {
-        "length": vote(n < 10, n >= 50),
-        "word_length": vote((c < 2 * n) | (c > 14 * n), (c >= 3 * n) & (c <= 9 * n)),
+        "plain": F.when(plain, 1).otherwise(0),
+        "length": bad(n < 10),
+        "word_length": bad((c < 2 * n) | (c > 14 * n)),
         "symbols": bad(F.col("n_symbols") * 20 > n),
-        "lines": bad(F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
-        "repeats": bad(F.col("n_repeat_words") * 10 > n * 3),
+        "lines": bad(F.col("n_dup_lines") * 10 > F.col("n_lines") * 6),
+        "repeats": bad(F.col("n_repeat_words") * 10 > n * 4),
         "upper": bad(F.col("n_upper") * 10 > c * 3),
         "ends": bad((n >= 50) & ((F.col("n_ends") * 400 < n) | (F.col("n_ends") * 2 > n))),
     }
 
 
-#: Where EM starts, and what it is drawn to: a bad vote on a good text is rare, a bad text trips some rules only.
-START = ((0.3, 0.5, 0.2), (0.01, 0.5, 0.49))
+#: Where EM starts, and what it is drawn to: how often a rule's vote is right. Rules against a kind of junk abstain
+#: on everything else, so votes alone can't show that one which speaks up on its own is right.
+START = 0.995
+TWO_SIDED = 0.75
 
 
-def accuracies(patterns: list[tuple[tuple[int, ...], int]], *, prior: float = 0.8, rounds: int = 100, weight: float = 0.01) -> tuple[float, list[list[list[float]]]]:
-    """(prior of good, likelihoods[rule][class][vote + 1]) by expectation-maximisation over counted vote patterns.
+def accuracies(patterns: list[tuple[tuple[int, ...], int]], *, prior: float = 0.8, rounds: int = 100, weight: float = 1.0) -> tuple[float, list[float]]:
+    """(prior of good, accuracy of each rule's votes) by expectation-maximisation over counted vote patterns.
 
-    Classes are bad (0) and good (1), votes independent given the class. ``START`` counts as ``weight`` of all
-    documents in each class, so that a rule that never votes stays harmless. No pattern: the start is returned.
+    Given a text's class, rules vote independently; a rule that votes is right with its accuracy, and abstaining says
+    nothing. A rule's start counts as ``weight`` of all documents, so that one that never votes keeps it. No pattern:
+    the start is returned.
     """
     m = len(patterns[0][0]) if patterns else 0
-    like = [[list(side) for side in START] for _ in range(m)]
-    documents = sum(n for _, n in patterns)
-    smooth = max(1.0, weight * documents)
+    start = [TWO_SIDED if any(v[j] > 0 for v, _ in patterns) else START for j in range(m)]
+    found, documents = list(start), sum(n for _, n in patterns)
+    held = max(1.0, weight * documents)
+    good = prior
     for _ in range(rounds if documents else 0):
-        good = smooth * prior
-        counts = [[[smooth * x for x in side] for side in START] for _ in range(m)]
+        right, voted, of_good = [held * a for a in start], [held] * m, held * prior
         for votes, n in patterns:
-            p = posterior(votes, prior, like)
-            good += n * p
+            p = posterior(votes, good, found)
+            of_good += n * p
             for j, v in enumerate(votes):
-                counts[j][1][v + 1] += n * p
-                counts[j][0][v + 1] += n * (1 - p)
-        prior = min(max(good / (documents + smooth), 1e-6), 1 - 1e-6)
-        like = [[[x / sum(side) for x in side] for side in rule] for rule in counts]
-    return prior, like
+                if v:
+                    voted[j] += n
+                    right[j] += n * (p if v > 0 else 1 - p)
+        good = of_good / (documents + held)
+        found = [min(max(r / v, 0.501), 0.9999) for r, v in zip(right, voted, strict=True)]
+    return good, found
+
+
+def log_odds(accuracy: float) -> float:
+    return math.log(accuracy / (1 - accuracy))
 
 
-def posterior(votes: tuple[int, ...], prior: float, like: list[list[list[float]]]) -> float:
-    odds = math.log(prior / (1 - prior)) + sum(math.log(r[1][v + 1] / r[0][v + 1]) for r, v in zip(like, votes, strict=True))
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+def posterior(votes: tuple[int, ...], prior: float, found: list[float]) -> float:
+    odds = log_odds(prior) + sum(v * log_odds(a) for v, a in zip(votes, found, strict=True))
+    return 1 / (1 + math.exp(-odds))
 
 
 def quality_rules(docs: DataFrame, *, threshold: float = 0.5, own_rules: Mapping[str, Column] | None = None) -> DataFrame:
@@ -118,10 +125,10 @@ def quality_rules(docs: DataFrame, *, threshold: float = 0.5, own_rules: Mapping
     voted = rows.select("*", *[v.cast("int").alias(f"vote_{k}") for k, v in votes.items()])
     names = [f"vote_{k}" for k in votes]
     counted = [(tuple(int(r[c]) for c in names), int(r["n"])) for r in voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).collect()]
-    prior, like = accuracies(counted)
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for c, rule in zip(names, like or [[[1, 1, 1]] * 2] * len(names), strict=True):
-        odds = odds + F.element_at(F.array(*[F.lit(math.log(rule[1][v] / rule[0][v])) for v in range(3)]), F.col(c) + 2)
+    prior, found = accuracies(counted)
+    odds = F.lit(log_odds(prior))
+    for c, accuracy in zip(names, found, strict=False):
+        odds = odds + F.col(c) * F.lit(log_odds(accuracy))
     n = F.col("n_words")
     failed = (n < 50) | (F.col("n_repeat_words") * 100 > n * 50)
     out = voted.withColumn("base_failed", failed).withColumn("posterior", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
