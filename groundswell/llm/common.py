@@ -141,3 +141,13 @@ def window_hashes(each: np.ndarray, length: int) -> np.ndarray:
     total[0] = 0
     np.cumsum(each * p[: len(each)], out=total[1:])
     return mix((total[length:] - total[:m]) * q[:m])
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join that adaptive execution can split where a key is hot.
+
+    A side that was grouped by the same keys would be joined as it lies, and then its partitions can't be split; a
+    second key derived from the first makes the join deal out both sides itself.
+    """
+    tag = F.xxhash64(*keys)
+    return left.withColumn("_tag", tag).join(right.withColumn("_tag", tag), ["_tag", *keys], how).drop("_tag")

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundswell.llm.common import settled, text_or_empty
+from groundswell.llm.common import settled, split_join, text_or_empty
 
 #: Keys of surviving (length, prefix) groups that may be broadcast: 24 bytes each, so 12 MB at most.
 BROADCAST_KEYS = 500_000
@@ -46,6 +46,6 @@ def exact_dedup(docs: DataFrame, *, prefix_chars: int = 256, carry: Mapping[str,
     alone = F.unhex(F.lpad(F.hex(F.xxhash64("doc_id", "_prefix")), 16, "0"))
     keyed = keyed.select("doc_id", "n_bytes", F.coalesce("_full", alone).alias("_key"), F.col("_full").isNotNull().alias("_candidate"), *carry)
     groups = keyed.where("_candidate").groupBy("_key").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    out = keyed.join(groups, "_key", "left")
+    out = split_join(keyed, groups, ["_key"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", "n_bytes", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), *carry)

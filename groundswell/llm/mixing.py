@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from groundswell.llm.common import settled, words
+from groundswell.llm.common import settled, split_join, words
 
 #: Rows of a source's (size, part) group that share a window: a hash of doc_id deals them out.
 PARTS = 64
+#: Sources that may be broadcast: some 100 bytes each.
+BROADCAST_SOURCES = 100_000
 
 
 def _unit(value: Column, name: str) -> Column:
@@ -70,7 +72,9 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), share:
     goal = goal.withColumn("rate", rate).withColumn("offset", _unit(F.concat(F.col("_n").cast("string"), F.lit(":"), F.col("_s")), f"{seed}:offset"))
     within = F.row_number().over(Window.partitionBy("_s", "_n", "size", "_part").orderBy("_h", "doc_id")) - 1
     ranked = rows.withColumn("_within", within).join(first, ["_s", "_n", "size", "_part"]).withColumn("rank", F.col("before") + F.col("_within"))
-    out = ranked.join(goal, ["_s", "_n"])
+    goal = settled(goal)
+    few = goal.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    out = ranked.join(F.broadcast(goal), ["_s", "_n"]) if few else split_join(ranked, goal, ["_s", "_n"])
     at = lambda k: F.floor(F.col("rate") * k + F.col("offset"))
     copies = (at(F.col("rank") + 1) - at(F.col("rank"))).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *extra)

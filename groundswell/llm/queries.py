@@ -7,11 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundswell.llm.bpe import encode_documents
 from groundswell.llm.common import read, text_or_empty
 from groundswell.llm.exact_dedup import exact_dedup
 from groundswell.llm.mixing import mix_sources
 from groundswell.llm.quality_rules import quality_rules
 from groundswell.llm.sharding import shard_documents
+from groundswell.llm.substring_dedup import substring_dedup
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer files lie."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha256")).alias("kept_sha256"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), keep=("doc_id",), ids=False)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
