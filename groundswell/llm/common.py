@@ -147,7 +147,7 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     """An equi-join that adaptive execution can split where a key is hot.
 
     A side that was grouped by the same keys would be joined as it lies, and then its partitions can't be split; a
-    second key derived from the first makes the join deal out both sides itself.
+    second key derived from the first (one bit, so that rows stay short) makes the join deal out both sides itself.
     """
-    tag = F.xxhash64(*keys)
+    tag = F.xxhash64(*keys) > 0
     return left.withColumn("_tag", tag).join(right.withColumn("_tag", tag), ["_tag", *keys], how).drop("_tag")

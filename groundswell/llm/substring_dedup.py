@@ -67,7 +67,7 @@ def _per_text(where: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.searchsorted(where, firsts)
 
 
-def _anchors(short: int, length: int, whole: bool, doc_type: str = "long"):
+def _anchors(short: int, length: int, whole: bool):
     """Rows of sampled short windows: distinct hashes a text, those it samples twice; with ``whole`` also n_words and digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,13 +88,13 @@ def _anchors(short: int, length: int, whole: bool, doc_type: str = "long"):
                 rows = np.arange(end - at + 1)
                 one = _lists(value[fresh], np.searchsorted(text[fresh], rows))
                 two = _lists(value[second], np.searchsorted(text[second], rows))
-                columns = [batch.column("doc_id").slice(at, end - at), batch.column("text_key").slice(at, end - at)]
-                names = ["doc_id", "text_key"]
+                columns = [batch.column("doc_id").slice(at, end - at), batch.column("part").slice(at, end - at)]
+                names = ["doc_id", "part"]
                 if whole:
                     raw = data.tobytes()
                     digests = [hashlib.sha256(b" ".join(raw[offsets[i] : offsets[i + 1]].split())).digest() for i in range(end - at)]
-                    columns += [pa.array(np.diff(firsts), pa.int64()), pa.array(digests, pa.binary())]
-                    names += ["n_words", "digest"]
+                    columns += [batch.column("text_key").slice(at, end - at), pa.array(np.diff(firsts), pa.int64()), pa.array(digests, pa.binary())]
+                    names += ["text_key", "n_words", "digest"]
                 yield pa.RecordBatch.from_arrays([*columns, one, two], names=[*names, "anchors", "twice"])
 
     return run
@@ -139,8 +139,8 @@ def _windows(short: int, length: int):
                 high = window_hashes(each, length)[place]
                 check = (window_hashes(mix(each ^ _OTHER), length)[place] >> np.uint64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(high.view(np.int64)), pa.array(check.view(np.int32)), batch.column("doc_id").take(take), batch.column("text_key").take(take), batch.column("single").take(take), pa.array((place - firsts[text]).astype(np.int32))],
-                    names=["h", "c", "doc_id", "text_key", "single", "place"],
+                    [pa.array(high.view(np.int64)), pa.array(check.view(np.int32)), batch.column("doc_id").take(take), batch.column("part").take(take), batch.column("single").take(take), pa.array((place - firsts[text]).astype(np.int32))],
+                    names=["h", "c", "doc_id", "part", "single", "place"],
                 )
 
     return run
@@ -163,15 +163,15 @@ def _cut(length: int):
                     gone = np.cumsum(edge[:-1]) > 0
                     removed.append(int(gone.sum()))
                     digests.append(hashlib.sha256(b" ".join([found[i] for i in np.flatnonzero(~gone)])).digest())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(removed, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "text_key", "n_removed", "kept_digest"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), pa.array(removed, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "part", "n_removed", "kept_digest"])
 
     return run
 
 
 def _same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """A join of rows on (doc_id, text_key) in which null doc_ids match."""
-    right = right.withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_key", "_key")
-    return left.join(right, left["doc_id"].eqNullSafe(right["_doc"]) & (left["text_key"] == right["_key"]), how).drop("_doc", "_key")
+    """A join of rows on (doc_id, part) in which null doc_ids match."""
+    right = right.withColumnRenamed("doc_id", "_doc").withColumnRenamed("part", "_key")
+    return left.join(right, left["doc_id"].eqNullSafe(right["_doc"]) & (left["part"] == right["_key"]), how).drop("_doc", "_key")
 
 
 def substring_dedup(docs: DataFrame, *, length: int = 35, levels: int = 2) -> DataFrame:
@@ -191,10 +191,14 @@ def substring_dedup(docs: DataFrame, *, length: int = 35, levels: int = 2) -> Da
     Null text: no words. Null doc_id: a row like any other. Repeated rows are copies of each other. Empty table: no
     rows. Other columns are not read.
     """
+    if length < 2 or levels < 2:
+        raise ValueError("doubling needs two lengths")
     lengths = ladder(length, levels)
-    base = documents(docs)
-    width = "doc_id long, text_key long, "
-    first = base.mapInArrow(_anchors(lengths[0] if levels > 1 else length, length, True), width + "n_words long, digest binary, anchors array<long>, twice array<long>")
+    # Fifteen bits of the text tell rows of one doc_id apart; rows are many, so their keys are short.
+    keyed = documents(docs).withColumn("part", F.col("text_key").bitwiseAND(F.lit(0x7FFF)).cast("int"))
+    base = keyed.select("doc_id", "part", "text")
+    width = "doc_id long, part int, "
+    first = keyed.mapInArrow(_anchors(lengths[0], length, True), width + "text_key long, n_words long, digest binary, anchors array<long>, twice array<long>")
     stored = settled(first)
     # Equal texts: 64 bits of the text and 256 of its words.
     classes = settled(stored.groupBy("text_key", "digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
@@ -202,24 +206,24 @@ def substring_dedup(docs: DataFrame, *, length: int = 35, levels: int = 2) -> Da
     mine = rows.where(F.col("single") | F.col("doc_id").eqNullSafe(F.col("rep"))).where(F.size("anchors") > 0)
 
     def repeated(anchors: DataFrame) -> DataFrame:
-        """doc_id, text_key, single, repeated: each text's anchors that are sampled elsewhere too."""
-        seen = anchors.select("text_key", F.explode("anchors").alias("g"), F.lit(False).alias("again")).unionByName(anchors.select("text_key", F.explode("twice").alias("g"), F.lit(True).alias("again")))
-        often = seen.groupBy("g").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.max("again").alias("again")).where("again OR a <> b").select("g")
-        found = split_join(anchors.select("doc_id", "text_key", "single", F.explode("anchors").alias("g")), often, ["g"])
-        return found.groupBy("doc_id", "text_key", "single").agg(F.collect_list("g").alias("repeated"))
+        """doc_id, part, single, repeated: each text's anchors that are sampled elsewhere too."""
+        seen = anchors.select(F.explode("anchors").alias("g")).unionAll(anchors.select(F.explode("twice").alias("g")))
+        often = seen.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+        found = split_join(anchors.select("doc_id", "part", "single", F.explode("anchors").alias("g")), often, ["g"])
+        return found.groupBy("doc_id", "part", "single").agg(F.collect_list("g").alias("repeated"))
 
     alive = settled(repeated(mine))
     for short, wider in zip(lengths[:-1], lengths[1:-1], strict=False):
         texts = _same(base, alive.withColumn("short", F.lit(short)), "inner")
-        found = texts.select("doc_id", "text_key", "text", "repeated", "short").mapInArrow(_anchors(wider, length, False), width + "anchors array<long>, twice array<long>")
-        flags = alive.select("doc_id", "text_key", "single")
+        found = texts.select("doc_id", "part", "text", "repeated", "short").mapInArrow(_anchors(wider, length, False), width + "anchors array<long>, twice array<long>")
+        flags = alive.select("doc_id", "part", "single")
         alive = settled(repeated(_same(found, flags, "inner").where(F.size("anchors") > 0)))
-    texts = _same(base, alive, "inner").select("doc_id", "text_key", "text", "single", "repeated")
-    windows = texts.mapInArrow(_windows(lengths[-2] if levels > 1 else length, length), "h long, c int, doc_id long, text_key long, single boolean, place int")
+    texts = _same(base, alive, "inner").select("doc_id", "part", "text", "single", "repeated")
+    windows = texts.mapInArrow(_windows(lengths[-2], length), "h long, c int, doc_id long, part int, single boolean, place int")
     often = windows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "c")
-    places = split_join(windows.where("single").select("h", "c", "doc_id", "text_key", "place"), often, ["h", "c"]).groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places"))
-    cut = _same(base, places, "inner").select("doc_id", "text_key", "text", "places").mapInArrow(_cut(length), width + "n_removed long, kept_digest binary")
-    out = _same(rows.select("doc_id", "text_key", "n_words", "digest", "copies"), cut, "left")
+    places = split_join(windows.where("single").select("h", "c", "doc_id", "part", "place"), often, ["h", "c"]).groupBy("doc_id", "part").agg(F.collect_list("place").alias("places"))
+    cut = _same(base, places, "inner").select("doc_id", "part", "text", "places").mapInArrow(_cut(length), width + "n_removed long, kept_digest binary")
+    out = _same(rows.select("doc_id", "part", "n_words", "digest", "copies"), cut, "left")
     gone = F.col("copies").isNotNull() & (F.col("n_words") >= length)
     return out.select(
         "doc_id",
