@@ -14,6 +14,7 @@ from groundswell.llm.mixing import mix_sources
 from groundswell.llm.quality_rules import quality_rules
 from groundswell.llm.sharding import shard_documents
 from groundswell.llm.substring_dedup import substring_dedup
+from groundswell.llm.toxicity import held_out, toxicity
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -36,6 +37,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("bucket")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity(docs, read(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
