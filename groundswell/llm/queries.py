@@ -11,6 +11,7 @@ from groundswell.llm.bpe import encode_documents
 from groundswell.llm.common import read, text_or_empty
 from groundswell.llm.exact_dedup import exact_dedup
 from groundswell.llm.mixing import mix_sources
+from groundswell.llm.near_dedup import near_dedup
 from groundswell.llm.quality_rules import quality_rules
 from groundswell.llm.sharding import shard_documents
 from groundswell.llm.substring_dedup import substring_dedup
@@ -37,6 +38,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("bucket")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity(docs, read(spark, sf_dir, "labels"))
