@@ -2,14 +2,99 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from groundswell.llm.bpe import encode_documents
+from groundswell.llm.common import checkpoint_dir, read, split_join
+from groundswell.llm.exact_dedup import exact_dedup
+from groundswell.llm.mixing import mix_sources
+from groundswell.llm.near_dedup import near_dedup
+from groundswell.llm.queries import vocabulary
+from groundswell.llm.toxicity import score, train
+
+#: The columns of documents, which every stage but the last returns.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Decisions that may be sent to where the texts lie instead of texts to them: 16 bytes each.
+BROADCAST_ROWS = 1_000_000
+
+
+def _text_key() -> F.Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Null doc_ids and repeated ones are told apart by a hash of the text; see the stages for what becomes of them."""
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("_key", _text_key())
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows (_id, _key) of ``gone``."""
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = _keyed(docs)
+    left = rows.join(F.broadcast(gone), ["_id", "_key"], "left_anti") if few else split_join(rows, gone, ["_id", "_key"], "left_anti")
+    return left.select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier doesn't predict toxic. Rows without text stay."""
+    docs = docs.select(*COLUMNS)
+    model = train(docs, read(spark, sf_dir, "labels"))
+    return score(docs, model, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id. Rows that repeat a doc_id and its text stay or go together."""
+    docs = docs.select(*COLUMNS)
+    found = exact_dedup(docs, carry={"_key": _text_key()})
+    gone = found.where("NOT kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), "_key")
+    return _without(docs, gone.distinct())
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at 0.8, the one with the least doc_id; null doc_ids stay."""
+    docs = docs.select(*COLUMNS)
+    found = near_dedup(docs)
+    gone = found.where("NOT kept").select(F.col("doc_id").cast("string").alias("_id"), F.col("text_key").alias("_key"))
+    return _without(docs, gone.distinct())
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: up to three times, or not at all."""
+    rows = _keyed(docs.select(*COLUMNS))
+    taken = mix_sources(rows, carry=("_id", "_key")).where("copies > 0").groupBy("_id", "_key").agg(F.max("copies").alias("copies"))
+    out = split_join(rows, taken, ["_id", "_key"])
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of whole texts, and digests of the ids and of the text decoded from them."""
+    return encode_documents(docs.select(*COLUMNS), vocabulary(), keep=("doc_id", "lang", "source"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix),
+    ("tokens", tokenize),
+]
 
-STAGES: list = []
+#: Stages that learn, sample by hash or encode tokens aren't expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over documents, each written to the shared checkpoint folder and read again by the next."""
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{folder}/{k}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
     return docs

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from groundswell.llm.bpe import encode_documents
 from groundswell.llm.common import read, text_or_empty
 from groundswell.llm.exact_dedup import exact_dedup
+from groundswell.llm.license_scan import license_scan
 from groundswell.llm.mixing import mix_sources
 from groundswell.llm.near_dedup import near_dedup
+from groundswell.llm.perplexity import perplexity_filter
 from groundswell.llm.quality_rules import quality_rules
 from groundswell.llm.sharding import shard_documents
 from groundswell.llm.substring_dedup import substring_dedup
@@ -54,6 +56,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = exact_dedup(docs, carry={"text_sha256": F.unhex(F.sha2(text_or_empty(), 256))})
@@ -65,5 +71,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return perplexity_filter(docs, read(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
