@@ -49,8 +49,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id. Rows that repeat a doc_id and its text stay or go together."""
     docs = docs.select(*COLUMNS)
-    found = exact_dedup(docs, carry={"_key": _text_key()})
-    gone = found.where("NOT kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), "_key")
+    found = exact_dedup(docs, carry={"text_key": _text_key()})
+    gone = found.where("NOT kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("text_key").alias("_key"))
     return _without(docs, gone.distinct())
 
 
@@ -65,7 +65,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: up to three times, or not at all."""
     rows = _keyed(docs.select(*COLUMNS))
-    taken = mix_sources(rows, carry=("_id", "_key")).where("copies > 0").groupBy("_id", "_key").agg(F.max("copies").alias("copies"))
+    named = rows.select("doc_id", "text", "source", F.col("_id").alias("row_id"), F.col("_key").alias("row_key"))
+    taken = mix_sources(named, carry=("row_id", "row_key")).select(F.col("row_id").alias("_id"), F.col("row_key").alias("_key"), "copies").where("copies > 0")
+    taken = taken.groupBy("_id", "_key").agg(F.max("copies").alias("copies"))
     out = split_join(rows, taken, ["_id", "_key"])
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 

@@ -23,7 +23,7 @@ def exact_dedup(docs: DataFrame, *, prefix_chars: int = 256, carry: Mapping[str,
     Null texts count as empty and equal each other. A null doc_id never stays where another row of its group has
     a doc_id; a group of nulls alone keeps its rows. Rows that repeat a doc_id and its text count one by one in
     group_size and share their ``kept``. An empty table gives an empty result. Other columns are not looked at.
-    ``carry`` maps names to expressions over ``docs``.
+    ``carry`` maps names (without a leading underscore) to expressions over ``docs``.
 
     A group with a third of all rows is counted before any shuffle, and the last join can be split by key.
     """
