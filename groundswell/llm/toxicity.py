@@ -39,16 +39,44 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(buckets), np.concatenate(texts)) if buckets else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """positive, and the distinct buckets of each text as packed int32."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of a task's toxic and unlabelled texts each bucket is present."""
+    total = None
     for batch in batches:
+        if total is None:
+            total = np.zeros((2, BUCKETS), np.int32)
+        positive = np.asarray(batch.column("positive").to_numpy(zero_copy_only=False), bool)
         for at, end, data, offsets in text_blocks(batch.column("text"), 1 << 19):
             bucket, text = _grams(data, offsets)
             both = np.unique(text.astype(np.int64) * BUCKETS + bucket)
-            cut = np.searchsorted(both, np.arange(end - at + 1, dtype=np.int64) * BUCKETS)
-            found = (both & (BUCKETS - 1)).astype(np.int32)
-            rows = [found[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("positive").slice(at, end - at), pa.array(rows, pa.binary())], names=["positive", "buckets"])
+            of = positive[at:end][both // BUCKETS]
+            for side in (0, 1):
+                total[side] += np.bincount(both[of == bool(side)] % BUCKETS, minlength=BUCKETS).astype(np.int32)
+    if total is not None:
+        found = np.flatnonzero(total.any(axis=0))
+        for at in range(0, len(found), 1 << 16):
+            part = found[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[1][part]), pa.array(total[0][part])], names=["bucket", "p", "u"])
+
+
+def _present(chosen: np.ndarray):
+    """positive, and which of the chosen buckets (by place) each text has, as packed int32."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(BUCKETS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        for batch in batches:
+            for at, end, data, offsets in text_blocks(batch.column("text"), 1 << 19):
+                bucket, text = _grams(data, offsets)
+                hit = place[bucket]
+                ok = hit >= 0
+                both = np.unique(text[ok].astype(np.int64) * BUCKETS + hit[ok])
+                cut = np.searchsorted(both, np.arange(end - at + 1, dtype=np.int64) * BUCKETS)
+                found = (both & (BUCKETS - 1)).astype(np.int32)
+                rows = [found[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("positive").slice(at, end - at), pa.array(rows, pa.binary())], names=["positive", "places"])
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -76,37 +104,22 @@ class Model:
         return out
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, keep: int = 4000, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """A logistic classifier of least non-negative positive-unlabelled risk.
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float, *, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Model:
+    """A logistic classifier of least non-negative positive-unlabelled risk, on presences of the ``chosen`` buckets.
 
-    The risk is ``prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)])`` with the logistic loss l: unlabelled
-    texts stand for both classes, the toxic part among them is taken out with the class prior, and where the rest
-    turns negative (over-fitting) its gradient is turned round. Features are the ``keep`` whose presence in toxic texts
-    exceeds that in unlabelled ones by most standard errors. Without positives or unlabelled texts: the prior alone.
+    Each text comes as the places in ``chosen`` that it has. The risk is
+    ``prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)])`` with the logistic loss l: unlabelled texts stand for
+    both classes, the toxic part among them is taken out with the class prior, and where the rest turns negative
+    (over-fitting) its gradient is turned round. Without positives or unlabelled texts: the prior alone.
     """
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     bias = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), bias)
-
-    def present(texts: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros(BUCKETS)
-        for t in texts:
-            out[t] += 1
-        return out
-
     n_p, n_u = len(positive), len(unlabelled)
-    in_p, in_u = present(positive), present(unlabelled)
-    p, u = in_p / n_p, in_u / n_u
-    z = (p - u) / np.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u + 1.0 / n_p**2 + 1.0 / n_u**2)
-    chosen = np.argsort(-z, kind="stable")[:keep]
-    chosen = np.sort(chosen[(z[chosen] > 4) & (in_p[chosen] >= 3)])
-    index = np.full(BUCKETS, -1, np.int64)
-    index[chosen] = np.arange(len(chosen))
+    if not n_p or not n_u:
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), bias)
 
     def matrix(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [index[t][index[t] >= 0] for t in texts]
-        return np.concatenate([*cols, np.zeros(0, np.int64)]), np.repeat(np.arange(len(texts)), [len(c) for c in cols])
+        return np.concatenate([*texts, np.zeros(0, np.int32)]).astype(np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
 
     (cp, rp), (cu, ru) = matrix(positive), matrix(unlabelled)
     w, b = np.zeros(len(chosen)), bias
@@ -135,11 +148,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED, keep: int = 4000) -> Model:
     """A model from ``labels`` (doc_id, toxic) and texts of ``docs``, on bounded samples drawn by a hash of doc_id.
 
     Positives are rows labelled 1 that aren't held out; the unlabelled sample is drawn from all documents that
-    aren't held out, without a look at labels. The class prior is the share of 1 among the labels learnt from.
+    aren't held out, without a look at labels. Features are the ``keep`` whose presence in toxic texts exceeds that in
+    unlabelled ones by most standard errors, counted where the texts lie; the driver gets those alone. The class prior is the share of 1 among the labels learnt from.
     """
     order = lambda c: F.md5(F.concat(F.lit("sample:"), F.col(c).cast("string")).cast("binary"))
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -149,9 +163,15 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unl
     some = known.where("toxic = 1").select("doc_id").distinct().orderBy(order("doc_id")).limit(positives).withColumn("positive", F.lit(True))
     rest = texts.select("doc_id").distinct().orderBy(order("doc_id")).limit(unlabelled).withColumn("positive", F.lit(False))
     picked = settled(some.unionByName(rest))  # at most positives + unlabelled rows of a few bytes, so it may be broadcast
-    rows = texts.join(F.broadcast(picked), "doc_id").select("positive", "text").mapInArrow(_features, "positive boolean, buckets binary").collect()
-    split = {side: [np.frombuffer(r["buckets"], np.int32) for r in rows if r["positive"] is side] for side in (True, False)}
-    return fit_nnpu(split[True], split[False], prior)
+    rows = texts.join(F.broadcast(picked), "doc_id").select("positive", "text")
+    n_p, n_u = (F.lit(float(max(1, picked.where(side).count()))) for side in ("positive", "NOT positive"))
+    counts = rows.mapInArrow(_counted, "bucket int, p int, u int").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p >= 3")
+    p, u = F.col("p") / n_p, F.col("u") / n_u
+    z = (p - u) / F.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u + 1 / (n_p * n_p) + 1 / (n_u * n_u))
+    chosen = np.sort(np.array([r["bucket"] for r in counts.select("bucket", z.alias("z")).where("z > 4").orderBy(F.desc("z"), "bucket").limit(keep).collect()], np.int64))
+    found = rows.mapInArrow(_present(chosen), "positive boolean, places binary").collect()
+    split = {side: [np.frombuffer(r["places"], np.int32) for r in found if r["positive"] is side] for side in (True, False)}
+    return fit_nnpu(split[True], split[False], chosen, prior)
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
