@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from groundswell.llm.common import documents, lower_ascii, mix, settled, split_join, text_blocks, window_hashes, word_bounds, word_hashes
 
-#: Bits of an odd sketch.
-BITS = 512
+#: Bits of an odd sketch, and parts of a set (by its hashes' top bits) whose MinHash samples are folded into it.
+BITS, PARTS = 1024, 4
+#: Sets below this size are compared without a look at sketches: parts of few shingles say little.
+SMALL = 128
 #: Documents whose sets may be fetched by a broadcast of their ids: 16 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -56,18 +58,24 @@ def _signatures(words: int, bands: int, rows: int):
                 full = np.flatnonzero(sizes)
                 lists = np.zeros((len(full), bands), np.uint64)
                 odd = np.zeros((len(full), BITS), np.uint8)
-                each = np.arange(len(full))
                 set_a, set_b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 if len(full):
                     begin = cut[:-1][full]
                     set_a[full] = np.add.reduceat(mix(value ^ np.uint64(0x1234567)), begin)
                     set_b[full] = np.bitwise_xor.reduceat(mix(value ^ np.uint64(0x89ABCDE)), begin)
+                    # Hashes are sorted in each text, so those of a part lie together.
+                    part = np.repeat(np.arange(len(full)), sizes[full]) * PARTS + (value >> np.uint64(62)).astype(np.int64)
+                    at_part = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                    own = part[at_part]
+                    row = own // PARTS
+                    of_row = np.searchsorted(row, np.arange(len(full)))
+                    flat = []
                     for k in range(samples):
-                        least = np.minimum.reduceat((value ^ flips[k]) * factors[k], begin)
-                        own = mix(least ^ salts[k])
-                        odd[each, (own >> np.uint64(40)) % np.uint64(BITS)] ^= 1
+                        least = np.minimum.reduceat((value ^ flips[k]) * factors[k], at_part)
+                        flat.append(row * BITS + (mix(least ^ salts[k] ^ own.astype(np.uint64) % np.uint64(PARTS)) >> np.uint64(40)).astype(np.int64) % BITS)
                         band = k // rows
-                        lists[:, band] = mix(lists[:, band] + own + np.uint64(band + 1))
+                        lists[:, band] = mix(lists[:, band] + mix(np.minimum.reduceat(least, of_row) ^ salts[k]) + np.uint64(band + 1))
+                    odd = (np.bincount(np.concatenate(flat), minlength=len(full) * BITS) & 1).astype(np.uint8).reshape(len(full), BITS)
                 sketch = np.zeros((n, BITS // 64), np.uint64)
                 sketch[full] = np.packbits(odd, axis=1).view(np.uint64)
                 ends = np.zeros(n + 1, np.int32)
@@ -92,14 +100,17 @@ def _sets(words: int):
     return run
 
 
-def most_flipped(samples: int, similarity: float, sigmas: float = 5.0) -> int:
+def most_flipped(samples: int, similarity: float, sigmas: float = 5.5) -> int:
     """The most bits in which odd sketches of sets of at least ``similarity`` differ, but for chances beyond ``sigmas``.
 
     Of ``samples`` MinHash samples, about (1 - similarity) differ, each flips two bits, and some bits flip back."""
-    differ = samples * (1 - similarity)
-    differ += sigmas * math.sqrt(samples * similarity * (1 - similarity))
-    share = (1 - (1 - 2 / BITS) ** (2 * differ)) / 2
-    return math.ceil(BITS * share + sigmas * math.sqrt(BITS * share * (1 - share)))
+
+    def share(differ: float) -> float:
+        return (1 - (1 - 2 / BITS) ** (2 * differ)) / 2
+
+    differ, spread = samples * (1 - similarity), math.sqrt(samples * similarity * (1 - similarity))
+    mean = share(differ)
+    return math.ceil(BITS * mean + sigmas * math.hypot(BITS * (share(differ + spread) - mean), math.sqrt(BITS * mean * (1 - mean))))
 
 
 def components(edges: DataFrame, *, rounds: int = 40) -> DataFrame:
@@ -123,10 +134,7 @@ def components(edges: DataFrame, *, rounds: int = 40) -> DataFrame:
 
 def _flipped(a: Column, b: Column) -> Column:
     """In how many bits two sketches differ."""
-    total = F.lit(0)
-    for k in range(BITS // 64):
-        total = total + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
-    return total
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
 def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
@@ -139,10 +147,11 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int
 
     Equal sets are one class, compared once. Classes that share one of ``bands`` bands of ``rows`` MinHash samples are
     candidates: a pair at 0.8 is missed with a chance of (1 - 0.8 ** 5) ** 30, seven in a million. Within a bucket
-    each class is first compared with the least one (as many pairs as rows, also for thousands of copies). Only
+    each class is first compared with the one that shares most buckets with others (as many pairs as rows, also for
+    thousands of copies). Only
     in buckets whose classes these links leave in different components, pairs across components are compared too, if
-    their odd sketches (parity bitmaps of the samples) differ in few enough bits. So each candidate pair is either
-    compared, excluded by its sketches, or already connected.
+    their odd sketches (parity bitmaps of the samples, taken in each of PARTS parts of a set) differ in few enough
+    bits. So each candidate pair is either compared, excluded by its sketches, or already connected.
 
     Null text: empty. Rows with a null doc_id come out with null class and component, unlinked and kept. Rows that
     repeat a doc_id with its text share class and component, and are kept or dropped together; of different texts
@@ -155,47 +164,81 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int
     many = sets.where("n > 1").select("set_a", "set_b", "class_id")
     named = split_join(found.select("doc_id", "text_key", "n_shingles", "set_a", "set_b"), many, ["set_a", "set_b"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("class_id").isNotNull() & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
-    classes = split_join(able, many, ["set_a", "set_b"], "left_anti").select(F.col("doc_id").alias("id"), "n_shingles", "text_key", "bands", "sketch")
-    shared = split_join(able, many, ["set_a", "set_b"]).where("doc_id = class_id").select(F.col("doc_id").alias("id"), "n_shingles", "text_key", "bands", "sketch").dropDuplicates(["id", "text_key"])
-    classes = classes.unionByName(shared)
-    banded = settled(classes.select("id", F.explode("bands").alias("bucket")))
-    least = banded.groupBy("bucket").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "center")
-    crowded = settled(split_join(banded, least, ["bucket"]))
-    pairs = crowded.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    most = most_flipped(bands * rows, percent / 100)
-    profile = classes.select("id", "text_key", "n_shingles", "sketch")
+    # Wide rows stay where they are: those that aren't the first of their class are few, or are met by a join.
+    again = settled(split_join(able.select("doc_id", "text_key", "set_a", "set_b"), many, ["set_a", "set_b"]).where("doc_id <> class_id").select(F.col("doc_id").alias("id"), "text_key"))
+    wide = able.select(F.col("doc_id").alias("id"), "text_key", "n_shingles", "bands", "sketch")
+    profile = _but(wide, again, ["id", "text_key"], "left_anti").drop("text_key")
+    banded = profile.select("id", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    shared_by = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = split_join(banded, shared_by, ["bucket"])
+    # The class that meets most others is the likeliest to be linked with all of a bucket: copies differ less from
+    # what they were made of than from each other.
+    met = settled(crowded.groupBy("id").agg(F.sum("n").alias("met")))
+    crowded = settled(split_join(crowded.drop("n"), met, ["id"]))
+    center = crowded.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("least"), "n_shingles")).alias("top")).select("bucket", (-F.col("top.least")).alias("center"), F.col("top.n_shingles").alias("n_center"))
+    low, high = F.least("n_shingles", "n_center"), F.greatest("n_shingles", "n_center")
+    pairs = split_join(crowded.drop("met"), center, ["bucket"]).where((F.col("id") != F.col("center")) & (low * 100 >= high * percent))
+    pairs = pairs.select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).distinct()
+    most = most_flipped(bands * rows * PARTS, percent / 100)
     links = _linked(base, profile, pairs, words, percent, most)
     labels = components(links)
-    # Buckets that still hold several components: what the least class didn't connect.
-    placed = split_join(crowded.drop("center"), labels, ["id"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    # Buckets that still hold several components: what the centers didn't connect.
+    placed = split_join(crowded.drop("met"), labels, ["id"], "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi AND n > 2").select("bucket")
-    rest = split_join(split_join(placed, mixed, ["bucket"]), profile.select("id", "sketch"), ["id"])
-    rest = settled(rest)
-    one, two = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "sketch")]) for s in "ab")
-    across = one.join(two, "bucket").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (_flipped(F.col("sketch_a"), F.col("sketch_b")) <= most))
-    across = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    across = settled(across)
-    if across.limit(1).count():
-        more = _linked(base, profile, across, words, percent, most)
+    rest = split_join(placed, mixed, ["bucket"])
+    crossing = settled(rest.select("id").distinct())
+    if crossing.limit(1).count():
+        # Sketches and sets are compared inside the join, so that hardly more than links come out of it. Halves of the
+        # hashes do here, with room for those that collide in a set; the full ones are compared afterwards.
+        sets = _fetched(base, crossing, words).select("id", F.transform("shingles", lambda x: F.hash(x)).alias("halves"))
+        compared = split_join(_but(profile.drop("n_shingles"), crossing, ["id"], "left_semi"), sets, ["id"])
+        rest = split_join(rest, compared, ["id"])
+        one, two = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "id", "component", "bands", "sketch", "halves")]) for s in "ab")
+        ordered = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+        before = F.zip_with(F.slice("bands_a", F.lit(1), F.col("band_a")), F.slice("bands_b", F.lit(1), F.col("band_a")), lambda x, y: x == y)
+        first = ~F.exists(before, lambda same: same)  # a pair meets in its first shared band alone
+        across = one.join(two, "bucket").where(ordered & first & _likely(F.size("halves_a"), F.size("halves_b"), percent, most) & _alike("halves_a", "halves_b", percent, room=True))
+        more = _linked(base, profile, across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), words, percent, most)
         labels = components(links.unionAll(more))
     out = split_join(named.withColumn("class_id", own), labels.withColumnRenamed("id", "class_id"), ["class_id"], "left")
     return out.select("doc_id", "text_key", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _likely(n_a: Column, n_b: Column, percent: int, most: int) -> Column:
+    """Whether sizes and sketches (sketch_a, sketch_b) leave it open that two sets are linked."""
+    low, high = F.least(n_a, n_b), F.greatest(n_a, n_b)
+    return (low * 100 >= high * percent) & ((high < SMALL) | (_flipped(F.col("sketch_a"), F.col("sketch_b")) <= most))
+
+
+def _alike(a: str, b: str, percent: int, *, room: bool = False) -> Column:
+    """Whether two sets are linked: 100 * both >= percent * (a + b - both); with ``room``, if a few in common weren't counted."""
+    n, both = F.size(a).cast("long"), F.size(F.array_intersect(a, b)).cast("long")
+    both = both + 4 + F.shiftright(n * n, 30) if room else both
+    return both * (100 + percent) >= (n + F.size(b)) * percent
+
+
+def _but(rows: DataFrame, ids: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A semi or anti join with settled ids: broadcast within the bound, else by a join that can be split."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids), keys, how) if few else split_join(rows, ids, keys, how)
+
+
+def _fetched(base: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the given ids, from their whole texts."""
+    texts = _but(base.select(F.col("doc_id").alias("id"), "text"), ids, ["id"], "left_semi")
+    return texts.mapInArrow(_sets(words), "id long, shingles array<long>")
+
+
 def _linked(base: DataFrame, profile: DataFrame, pairs: DataFrame, words: int, percent: int, most: int) -> DataFrame:
     """Those of the pairs (a, b) of ids that are linked by their full sets."""
+    pairs = settled(pairs)
+    named = lambda: settled(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
+    known = _but(profile.drop("bands"), named(), ["id"], "left_semi")
     for side in "ab":
-        of = profile.select(F.col("id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        of = known.select(F.col("id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
         pairs = split_join(pairs, of, [side])
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    pairs = pairs.where((low * 100 >= high * percent) & (_flipped(F.col("sketch_a"), F.col("sketch_b")) <= most))
-    pairs = settled(pairs.select("a", "b", "n_a", "n_b"))
-    ids = settled(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = base.select(F.col("doc_id").alias("id"), "text_key", "text")
-    texts = texts.join(F.broadcast(ids), "id") if few else split_join(texts, ids, ["id"])
-    sets = texts.select("id", "text").mapInArrow(_sets(words), "id long, shingles array<long>")
+    pairs = settled(pairs.where(_likely(F.col("n_a"), F.col("n_b"), percent, most)).select("a", "b"))
+    sets = _fetched(base, named(), words)
     with_a = split_join(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), ["a"])
     with_b = split_join(with_a, sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), ["b"])
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return settled(with_b.where(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent).select("a", "b").distinct())
+    return settled(with_b.where(_alike("set_a", "set_b", percent)).select("a", "b").distinct())
