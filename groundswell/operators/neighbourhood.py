@@ -68,8 +68,8 @@ def local_linear(df: DataFrame, keys: list[str], shape: tuple[int, int], sigma:
     cyy = m["syy"] - 2 * y * m["sy"] + y * y * m["s0"]
     cxy = m["sxy"] - x * m["sy"] - y * m["sx"] + x * y * m["s0"]
     extra = F.lit(ridge) * F.greatest(m["s0"], F.lit(ridge))
-    g = g.select(*keys, "r", "c", "s0", "r0", (m["s0"] + extra).alias("a"), cx.alias("b"), cy.alias("d"), (cxx + extra).alias("e"), cxy.alias("h"), (cyy + extra).alias("k"), (m["rx"] - x * m["r0"]).alias("p"), (m["ry"] - y * m["r0"]).alias("q"))
-    a, b, d, e, h, k, p, q, r0 = (F.col(z) for z in ("a", "b", "d", "e", "h", "k", "p", "q", "r0"))
+    g = g.select(*keys, "r", "c", "s0", "r0", (m["s0"] + extra).alias("_a"), cx.alias("_b"), cy.alias("_d"), (cxx + extra).alias("_e"), cxy.alias("_h"), (cyy + extra).alias("_k"), (m["rx"] - x * m["r0"]).alias("_p"), (m["ry"] - y * m["r0"]).alias("_q"))
+    a, b, d, e, h, k, p, q, r0 = (F.col(z) for z in ("_a", "_b", "_d", "_e", "_h", "_k", "_p", "_q", "r0"))
     det = a * (e * k - h * h) - b * (b * k - h * d) + d * (b * h - e * d)
     top = r0 * (e * k - h * h) - b * (p * k - h * q) + d * (p * h - e * q)
     return g.select(*keys, "r", "c", F.try_divide(top, F.nullif(det, F.lit(0.0))).alias("level"), F.col("s0").alias("coverage"))
