@@ -60,7 +60,9 @@ def _codes(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _counted_grams(order: int):
-    """(length, gram, count) of all grams of 1 to ``order`` bytes in the words, summed over a batch."""
+    """(length, gram, count) of the grams of ``order`` bytes and the shorter ones at the start of words, summed over a batch.
+
+    The other shorter ones follow from these: each is the end of a longer one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,21 +73,15 @@ def _counted_grams(order: int):
                 if not words:
                     continue
                 code, size, word = _codes(words, order)
-                for k in range(1, order + 1):
-                    ok = size >= k
-                    gram = code[ok] & ((1 << (8 * k)) - 1)
-                    found, index = np.unique(gram, return_inverse=True)
-                    total = np.bincount(index, weights=n[word[ok]]).astype(np.int64)
+                for k in range(2, order + 1):
+                    ok = size == k
+                    found, index = np.unique(code[ok], return_inverse=True)
+                    total = np.bincount(index, weights=n[word[ok]], minlength=len(found)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int32)), pa.array(found), pa.array(total)], names=["k", "gram", "n"])
 
     return run
 
 
-def _lead(k: int) -> Column:
-    """The first byte of a gram of k bytes."""
-    return F.shiftright("gram", 8 * (k - 1))
-
-
 def model(words: DataFrame, *, order: int = 5) -> DataFrame:
     """(k, gram, p, g): interpolated probability of each gram's last byte, and the back-off weight of it as a context.
 
@@ -93,16 +89,17 @@ def model(words: DataFrame, *, order: int = 5) -> DataFrame:
     their counts, others the number of bytes they follow (modified Kneser-Ney); each order has three discounts from
     its counts of counts. Every step is a grouping or an equi-join by gram.
     """
-    raw = settled(words.mapInArrow(_counted_grams(order), "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")))
+    # The table of words is small beside the texts: few tasks, so that each gram is counted in few of them.
+    parts = max(1, -(-words.count() // 50_000))
+    words = words.coalesce(parts)
+    raw = settled(words.mapInArrow(_counted_grams(order), "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).coalesce(parts))
+    counts = {order: raw.where(F.col("k") == order).select("gram", "n")}
+    for k in range(order - 1, 0, -1):
+        after = counts[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        counts[k] = settled(raw.where(F.col("k") == k).select("gram", "n").unionByName(after).coalesce(parts))
     out, lower = None, None
-    space = F.lit(32)
     for k in range(1, order + 1):
-        mine = raw.where(F.col("k") == k).select("gram", "n")
-        if k < order:
-            after = raw.where(F.col("k") == k + 1).groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("m"))
-            starts = (_lead(k) == space) if k > 1 else F.lit(False)
-            mine = split_join(mine, after, ["gram"], "left").select("gram", F.when(starts, F.col("n")).otherwise(F.coalesce("m", "n")).alias("n"))
-        mine = settled(mine)
+        mine = counts[k]
         of = {r["n"]: r["count"] for r in mine.where("n <= 4").groupBy("n").count().collect()}
         n1, n2, n3, n4 = (max(1, of.get(i, 0)) for i in range(1, 5))
         y = n1 / (n1 + 2 * n2)
@@ -110,17 +107,17 @@ def model(words: DataFrame, *, order: int = 5) -> DataFrame:
         cut = F.when(F.col("n") == 1, discounts[0]).when(F.col("n") == 2, discounts[1]).otherwise(discounts[2])
         context = F.shiftright("gram", 8) if k > 1 else F.lit(0).cast("long")
         rows = mine.withColumn("context", context).withColumn("cut", cut)
-        sums = settled(rows.groupBy("context").agg(F.sum("n").cast("double").alias("total"), F.sum("cut").alias("freed")))
-        rows = split_join(rows, sums, ["context"])
+        sums = settled(rows.groupBy("context").agg(F.sum("n").cast("double").alias("total"), F.sum("cut").alias("freed")).coalesce(parts))
+        rows = split_join(rows, sums, ["context"]).coalesce(parts)
         if lower is None:
             rows = rows.withColumn("below", F.lit(1 / 256))
         else:
             rows = split_join(rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1))), lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), ["suffix"])
-        rows = settled(rows.select("gram", ((F.col("n") - F.col("cut") + F.col("freed") * F.col("below")) / F.col("total")).alias("p")))
+        rows = settled(rows.coalesce(parts).select("gram", ((F.col("n") - F.col("cut") + F.col("freed") * F.col("below")) / F.col("total")).alias("p")))
         weights = sums.select(F.lit(k - 1).alias("k"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), (F.col("freed") / F.col("total")).alias("g"))
         part = rows.select(F.lit(k).alias("k"), "gram", "p", F.lit(None).cast("double").alias("g")).unionByName(weights)
         out, lower = part if out is None else out.unionByName(part), rows
-    return settled(out.groupBy("k", "gram").agg(F.max("p").alias("p"), F.max("g").alias("g")))
+    return settled(out.groupBy("k", "gram").agg(F.max("p").alias("p"), F.max("g").alias("g")).coalesce(parts))
 
 
 @dataclass
@@ -193,8 +190,9 @@ def _scores_here(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
 def _scores_by_joins(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
     """The same sums where the model is too large to send: distinct words meet the model shard by shard, then documents."""
     text_words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    spread = docs.select("doc_id", "lang", "trusted", F.xxhash64("text").alias("text_key"), F.explode_outer(text_words).alias("w"))
-    per = spread.groupBy("doc_id", "lang", "trusted", "text_key", "w").agg(F.count(F.lit(1)).alias("n"))
+    spread = docs.select("doc_id", "lang", "trusted", F.xxhash64("text").alias("text_key"), F.posexplode_outer(text_words).alias("pos", "w"))
+    begins = (F.coalesce("pos", F.lit(0)) == 0).cast("long")  # once for each row of a text
+    per = spread.groupBy("doc_id", "lang", "trusted", "text_key", "w").agg(F.count(F.lit(1)).alias("n"), F.sum(begins).alias("begins"))
     vocabulary = per.where("w IS NOT NULL").select("w").distinct()
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +212,9 @@ def _scores_by_joins(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
         each = each.withColumn("found", F.coalesce("found", F.col("scale") * F.col("_p"))).withColumn("scale", F.col("scale") * F.coalesce("_w", F.lit(1.0))).select("w", "place", "code", "size", "found", "scale")
     bits = each.groupBy("w").agg(F.sum(-F.log(F.coalesce("found", F.col("scale") / 256))).alias("bits"))
     scored = split_join(per, bits, ["w"], "left")
-    return scored.groupBy("doc_id", "lang", "trusted", "text_key").agg(F.coalesce(F.sum(F.col("n") * F.col("bits")), F.lit(0.0)).alias("bits"), F.coalesce(F.sum(F.col("n") * (F.octet_length("w") + 1)), F.lit(0)).alias("n_bytes")).drop("text_key")
+    sums = scored.groupBy("doc_id", "lang", "trusted", "text_key").agg(F.sum("begins").alias("copies"), F.coalesce(F.sum(F.col("n") * F.col("bits")), F.lit(0.0)).alias("bits"), F.coalesce(F.sum(F.col("n") * (F.octet_length("w") + 1)), F.lit(0)).alias("n_bytes"))
+    each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return sums.select("doc_id", "lang", "trusted", (F.col("bits") / F.col("copies")).alias("bits"), (F.col("n_bytes") / F.col("copies")).cast("long").alias("n_bytes"), each.alias("_copy")).drop("_copy")
 
 
 def perplexity_filter(docs: DataFrame, trusted: DataFrame, *, order: int = 5, quantile: float = 0.99, slack: float = 1.1, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
