@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -12,10 +13,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from groundswell.llm.common import map_arrow
+
 #: Fixed values of byte-level tokenizers: the pattern that parts a text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose encoding a worker remembers, and the longest it remembers: some 100 MB a worker at most.
-REMEMBERED, LONGEST = 400_000, 64
+#: Pieces whose encoding a worker remembers, and the longest it remembers: some 60 MB a worker at most.
+REMEMBERED, LONGEST = 300_000, 64
+#: Places of the table of pairs that a worker fills as it meets them (8 bytes each), less one; a power of two.
+PAIRS = (1 << 18) - 1
 
 
 def _byte_letters() -> dict[str, int]:
@@ -67,13 +72,15 @@ class BytePairEncoder:
             self._automaton.add_word(b.decode("latin-1"), (len(b), i))
         self._automaton.make_automaton()
         self._shorter = {i: next((usable[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in usable), -1) for b, i in usable.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        # the pair-compatibility table: at a pair's place, the pair last looked up there and its answer
+        self._pairs = array("q", [-1]) * (PAIRS + 1)
         self._special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self._own, key=len, reverse=True)) + ")") if self._own else None
         self._pieces = regex.compile(PIECES)
         # decoding: token i's bytes are blob[offsets[i]:offsets[i + 1]]
         self._offsets = np.concatenate([[0], np.cumsum([len(b) for b in tokens])]).astype(np.int64)
         self._blob = np.frombuffer(b"".join(tokens), np.uint8)
-        self._known: dict[str, tuple[str, int, bytes]] = {}
+        self._written = [str(i) for i in range(size)]
+        self._known: dict[str, str] = {}
 
     def _stands(self, token: int) -> bool:
         left, right = self._parts[token]
@@ -109,12 +116,12 @@ class BytePairEncoder:
                 limit, right = rank_right + 1, self._parts[right][0]
 
     def _fits(self, left: int, right: int) -> bool:
-        key = (left, right)
-        found = self._pairs.get(key)
-        if found is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            found = self._pairs[key] = self._compatible(left, right)
+        pair, place = left << 24 | right, (left * 0x9E3B + right) & PAIRS
+        seen = self._pairs[place]
+        if seen >> 1 == pair:
+            return bool(seen & 1)
+        found = self._compatible(left, right)
+        self._pairs[place] = pair << 1 | found
         return found
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -150,35 +157,33 @@ class BytePairEncoder:
                 token = shorter[token]
         return out
 
-    def _piece(self, piece: str) -> tuple[str, int, bytes]:
+    def _piece(self, piece: str) -> str:
+        """A piece's ids as decimal numbers joined by commas; those of one token share one string."""
         ids = self.encode_piece(piece.encode())
-        found = (",".join(map(str, ids)), len(ids), np.array(ids, np.int32).tobytes())
+        found = self._written[ids[0]] if len(ids) == 1 else ",".join([self._written[i] for i in ids])
         if len(piece) <= LONGEST:
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
             self._known[piece] = found
         return found
 
-    def _encoded(self, text: str) -> list[tuple[str, int, bytes]]:
+    def digest(self, text: str) -> tuple[np.ndarray, bytes]:
+        """The ids of a text, and their decimal numbers joined by commas.
+
+        Added tokens' strings are found first, as the library does by default."""
         known, out = self._known, []
         parts = self._special.split(text) if self._special is not None else [text]
         for k, part in enumerate(parts):
             if k % 2:
-                i = self._own[part]
-                out.append((str(i), 1, np.array([i], np.int32).tobytes()))
+                out.append(self._written[self._own[part]])
             else:
-                for piece in self._pieces.findall(part):
-                    out.append(known.get(piece) or self._piece(piece))
-        return out
+                out += [known.get(piece) or self._piece(piece) for piece in self._pieces.findall(part)]
+        written = ",".join(out)
+        return np.fromstring(written, np.int32, sep=",") if written else np.zeros(0, np.int32), written.encode()
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a text. Added tokens' strings are found first, as the library does by default."""
-        return np.frombuffer(b"".join(x[2] for x in self._encoded(text)), np.int32)
-
-    def digest(self, text: str) -> tuple[np.ndarray, bytes]:
-        """The ids, and their decimal numbers joined by commas."""
-        found = self._encoded(text)
-        return np.frombuffer(b"".join([x[2] for x in found]), np.int32), ",".join([x[0] for x in found]).encode()
+        """The ids of a text."""
+        return self.digest(text)[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: each token's bytes are gathered through the offset table; bytes that aren't UTF-8 become U+FFFD."""
@@ -232,4 +237,4 @@ def encode_documents(docs: DataFrame, path: str, *, keep: tuple[str, ...] = (),
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*all_ids, np.zeros(0, np.int32)]))))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, docs["text"].alias("_text")), run, schema)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,33 @@ def documents(docs: DataFrame) -> DataFrame:
 
 # --- vectorised text, for mapInArrow -------------------------------------------------
 
+#: Bytes of a batch sent to a Python worker, where the session has Spark's default: each task holds one on both sides.
+BATCH_BYTES, _DEFAULT_BYTES, _BATCH_KEY = "4m", "67108864b", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system: workers are reused by later stages, which share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes, which stay set in the session; a worker keeps its caches alone after a task."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY, _DEFAULT_BYTES) == _DEFAULT_BYTES:
+        conf.set(_BATCH_KEY, BATCH_BYTES)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from groundswell.llm.common import lower_ascii, mix, text_blocks, window_hashes, word_bounds, word_hashes
+from groundswell.llm.common import lower_ascii, map_arrow, mix, text_blocks, window_hashes, word_bounds, word_hashes
 
 #: Short notices by which works name their license, and the lines that open common license texts.
 TEMPLATES = {
@@ -112,4 +112,4 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, w
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), names, pa.array([max(h.values(), default=0.0) for h in hits.values()], pa.float64())], names=["doc_id", "licenses", "best"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return rows.mapInArrow(run, "doc_id long, licenses array<string>, best double")
+    return map_arrow(rows, run, "doc_id long, licenses array<string>, best double")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundswell.llm.common import documents, lower_ascii, mix, settled, split_join, text_blocks, window_hashes, word_bounds, word_hashes
+from groundswell.llm.common import documents, lower_ascii, map_arrow, mix, settled, split_join, text_blocks, window_hashes, word_bounds, word_hashes
 
 #: Bits of an odd sketch, and parts of a set (by its hashes' top bits) whose MinHash samples are folded into it.
 BITS, PARTS = 1024, 4
@@ -158,7 +158,7 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int
     under one doc_id, links join that doc_id. Empty table: no rows. Other columns are not read.
     """
     base = documents(docs)
-    found = settled(base.mapInArrow(_signatures(words, bands, rows), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"))
+    found = settled(map_arrow(base, _signatures(words, bands, rows), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"))
     able = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     sets = settled(able.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")))
     many = sets.where("n > 1").select("set_a", "set_b", "class_id")
@@ -226,7 +226,7 @@ def _but(rows: DataFrame, ids: DataFrame, keys: list[str], how: str) -> DataFram
 def _fetched(base: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, shingles) of the given ids, from their whole texts."""
     texts = _but(base.select(F.col("doc_id").alias("id"), "text"), ids, ["id"], "left_semi")
-    return texts.mapInArrow(_sets(words), "id long, shingles array<long>")
+    return map_arrow(texts, _sets(words), "id long, shingles array<long>")
 
 
 def _linked(base: DataFrame, profile: DataFrame, pairs: DataFrame, words: int, percent: int, most: int) -> DataFrame:

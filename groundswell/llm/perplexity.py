@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundswell.llm.common import settled, split_join
+from groundswell.llm.common import map_arrow, settled, split_join
 
 #: Rows of the model (24 bytes) that are sent to every worker; beyond, words are scored by joins.
 BROADCAST_GRAMS = 4_000_000
@@ -92,7 +92,7 @@ def model(words: DataFrame, *, order: int = 5) -> DataFrame:
     # The table of words is small beside the texts: few tasks, so that each gram is counted in few of them.
     parts = max(1, -(-words.count() // 50_000))
     words = words.coalesce(parts)
-    raw = settled(words.mapInArrow(_counted_grams(order), "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).coalesce(parts))
+    raw = settled(map_arrow(words, _counted_grams(order), "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).coalesce(parts))
     counts = {order: raw.where(F.col("k") == order).select("gram", "n")}
     for k in range(order - 1, 0, -1):
         after = counts[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
@@ -184,7 +184,7 @@ def _scores_here(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
                 sizes = [sum(map(len, t)) + len(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("trusted"), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], names=["doc_id", "lang", "trusted", "bits", "n_bytes"])
 
-    return docs.mapInArrow(run, "doc_id long, lang string, trusted boolean, bits double, n_bytes long")
+    return map_arrow(docs, run, "doc_id long, lang string, trusted boolean, bits double, n_bytes long")
 
 
 def _scores_by_joins(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
@@ -201,7 +201,7 @@ def _scores_by_joins(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
             code, size, word = _codes([w.encode() for w in found], order)
             yield pa.RecordBatch.from_arrays([batch.column("w").take(pa.array(word)), pa.array(np.arange(len(code))), pa.array(code), pa.array(size.astype(np.int32))], names=["w", "place", "code", "size"])
 
-    each = vocabulary.mapInArrow(grams, "w string, place long, code long, size int").withColumns({"found": F.lit(None).cast("double"), "scale": F.lit(1.0)})
+    each = map_arrow(vocabulary, grams, "w string, place long, code long, size int").withColumns({"found": F.lit(None).cast("double"), "scale": F.lit(1.0)})
     for k in range(order, 0, -1):
         probability = rows.where(F.col("k") == k).select(F.col("gram").alias("_g"), F.col("p").alias("_p"))
         weight = rows.where(F.col("k") == k - 1).select(F.col("gram").alias("_c"), F.col("g").alias("_w"))
@@ -237,7 +237,7 @@ def perplexity_filter(docs: DataFrame, trusted: DataFrame, *, order: int = 5, qu
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     base = base.join(F.broadcast(ids), "doc_id", "left") if few else split_join(base, ids, ["doc_id"], "left")
     base = base.withColumn("trusted", F.col("trusted").isNotNull()).select("doc_id", "lang", "trusted", "text")
-    words = settled(base.where("trusted").select("text").mapInArrow(_counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    words = settled(map_arrow(base.where("trusted").select("text"), _counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     rows = model(words, order=order)
     scores = _scores_here if rows.limit(broadcast_grams + 1).count() <= broadcast_grams else _scores_by_joins
     scored = settled(scores(base, rows, order).withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(F.col("bits") / F.col("n_bytes")))))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundswell.llm.common import documents, mix, settled, split_join, text_blocks, window_hashes, word_bounds, word_hashes
+from groundswell.llm.common import documents, map_arrow, mix, settled, split_join, text_blocks, window_hashes, word_bounds, word_hashes
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -198,7 +198,7 @@ def substring_dedup(docs: DataFrame, *, length: int = 35, levels: int = 2) -> Da
     keyed = documents(docs).withColumn("part", F.col("text_key").bitwiseAND(F.lit(0x7FFF)).cast("int"))
     base = keyed.select("doc_id", "part", "text")
     width = "doc_id long, part int, "
-    first = keyed.mapInArrow(_anchors(lengths[0], length, True), width + "text_key long, n_words long, digest binary, anchors array<long>, twice array<long>")
+    first = map_arrow(keyed, _anchors(lengths[0], length, True), width + "text_key long, n_words long, digest binary, anchors array<long>, twice array<long>")
     stored = settled(first)
     # Equal texts: 64 bits of the text and 256 of its words.
     classes = settled(stored.groupBy("text_key", "digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
@@ -215,14 +215,14 @@ def substring_dedup(docs: DataFrame, *, length: int = 35, levels: int = 2) -> Da
     alive = settled(repeated(mine))
     for short, wider in zip(lengths[:-1], lengths[1:-1], strict=False):
         texts = _same(base, alive.withColumn("short", F.lit(short)), "inner")
-        found = texts.select("doc_id", "part", "text", "repeated", "short").mapInArrow(_anchors(wider, length, False), width + "anchors array<long>, twice array<long>")
+        found = map_arrow(texts.select("doc_id", "part", "text", "repeated", "short"), _anchors(wider, length, False), width + "anchors array<long>, twice array<long>")
         flags = alive.select("doc_id", "part", "single")
         alive = settled(repeated(_same(found, flags, "inner").where(F.size("anchors") > 0)))
     texts = _same(base, alive, "inner").select("doc_id", "part", "text", "single", "repeated")
-    windows = texts.mapInArrow(_windows(lengths[-2], length), "h long, c int, doc_id long, part int, single boolean, place int")
+    windows = map_arrow(texts, _windows(lengths[-2], length), "h long, c int, doc_id long, part int, single boolean, place int")
     often = windows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "c")
     places = split_join(windows.where("single").select("h", "c", "doc_id", "part", "place"), often, ["h", "c"]).groupBy("doc_id", "part").agg(F.collect_list("place").alias("places"))
-    cut = _same(base, places, "inner").select("doc_id", "part", "text", "places").mapInArrow(_cut(length), width + "n_removed long, kept_digest binary")
+    cut = map_arrow(_same(base, places, "inner").select("doc_id", "part", "text", "places"), _cut(length), width + "n_removed long, kept_digest binary")
     out = _same(rows.select("doc_id", "part", "n_words", "digest", "copies"), cut, "left")
     gone = F.col("copies").isNotNull() & (F.col("n_words") >= length)
     return out.select(

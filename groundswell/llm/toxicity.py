@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundswell.llm.common import lower_ascii, mix, settled, text_blocks
+from groundswell.llm.common import lower_ascii, map_arrow, mix, settled, text_blocks
 
 #: Hashed features, and the lengths in bytes of the strings they stand for.
 BUCKETS, GRAMS = 1 << 21, (4, 6)
@@ -165,11 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unl
     picked = settled(some.unionByName(rest))  # at most positives + unlabelled rows of a few bytes, so it may be broadcast
     rows = texts.join(F.broadcast(picked), "doc_id").select("positive", "text")
     n_p, n_u = (F.lit(float(max(1, picked.where(side).count()))) for side in ("positive", "NOT positive"))
-    counts = rows.mapInArrow(_counted, "bucket int, p int, u int").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p >= 3")
+    counts = map_arrow(rows, _counted, "bucket int, p int, u int").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p >= 3")
     p, u = F.col("p") / n_p, F.col("u") / n_u
     z = (p - u) / F.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u + 1 / (n_p * n_p) + 1 / (n_u * n_u))
     chosen = np.sort(np.array([r["bucket"] for r in counts.select("bucket", z.alias("z")).where("z > 4").orderBy(F.desc("z"), "bucket").limit(keep).collect()], np.int64))
-    found = rows.mapInArrow(_present(chosen), "positive boolean, places binary").collect()
+    found = map_arrow(rows, _present(chosen), "positive boolean, places binary").collect()
     split = {side: [np.frombuffer(r["places"], np.int32) for r in found if r["positive"] is side] for side in (True, False)}
     return fit_nnpu(split[True], split[False], chosen, prior)
 
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, keep: tuple[
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=names)
 
-    return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(run, f"{fields}, score double, predicted int")
+    return map_arrow(docs.select(*keep, docs["text"].alias("_text")), run, f"{fields}, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
