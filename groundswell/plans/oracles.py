@@ -259,7 +259,7 @@ SELECT p.ref::VARCHAR AS ref, p.sec::VARCHAR AS sec, p.path, a.path AS ref_corre
         "relief_percentiles": f"WITH {SCENE} SELECT frame, {r('quantile_cont(v, 0.95) - quantile_cont(v, 0.05)')} AS relief FROM scene GROUP BY 1",
         "quantile_trim_mask": f"WITH {SCENE}, q AS (SELECT frame, label, quantile_cont(v, 0.15) AS lo, quantile_cont(v, 0.85) AS hi FROM scene GROUP BY 1, 2) SELECT frame, label, count(CASE WHEN v < lo OR v > hi THEN 1 END) AS n_trimmed, count(v) AS n FROM scene JOIN q USING (frame, label) GROUP BY 1, 2",
         "global_mad_outliers": f"WITH {SCENE}, m AS (SELECT frame, median(v) AS med FROM scene GROUP BY 1), a AS (SELECT frame, max(med) AS med, 1.4826::DOUBLE * median(abs(v - med)) AS mad FROM scene JOIN m USING (frame) GROUP BY 1) SELECT frame, r, c, {r('v')} AS v FROM scene JOIN a USING (frame) WHERE abs(v - med) > 3 * mad",
-        "residual_statistics": f"WITH {SERIES}, x AS (SELECT user_id, y, sigma * 3 + user_id % 10 AS model FROM series), {_stats('x', 'user_id', 'y - model', 'y', 'model', 'st')} SELECT user_id, n, " + ", ".join(f"{r(k, 5)} AS {k}" for k in ("bias", "median", "rmse", "std", "nmad", "corr")) + " FROM st",
+        "residual_statistics": f"WITH {SERIES}, x AS (SELECT user_id, y, sigma * 3 + user_id % 10 AS model FROM series), {_stats('x', 'user_id', 'y - model', 'y', 'model', 'st')} SELECT user_id, n, " + ", ".join(f"{r(k, 8)} AS {k}" for k in ("bias", "median", "rmse", "std", "nmad", "corr")) + " FROM st",
         "region_median_offsets": f"WITH {SCENE}, {regions} SELECT frame, label, {r('med')} AS med, n, cycles FROM off",
         "unwrap_shift": f"WITH {SCENE}, {regions} SELECT frame, r, c, {r('cycles * 0.5::DOUBLE')} AS shift, {r('v - cycles * 0.5::DOUBLE')} AS corrected FROM scene JOIN off USING (frame, label) WHERE ok",
         "largest_region": f"WITH {SCENE}, n AS (SELECT frame, label, count(*) AS n FROM scene GROUP BY 1, 2) SELECT frame, arg_min(label, (-n, label)) AS label, max(n) AS n FROM n GROUP BY 1",

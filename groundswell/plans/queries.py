@@ -116,7 +116,7 @@ def global_mad_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 def residual_statistics(spark: SparkSession, d: str) -> DataFrame:
     out = A.residual_statistics(X.series(spark, d).withColumn("model", F.col("sigma") * 3 + F.col("user_id") % 10), ["user_id"], "y", "model")
-    return out.select("user_id", "n", *_r("bias", "median", "rmse", "std", "nmad", "corr", digits=5))
+    return out.select("user_id", "n", *_r("bias", "median", "rmse", "std", "nmad", "corr", digits=8))
 
 
 def region_median_offsets(spark: SparkSession, d: str) -> DataFrame:
