@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundswell.functions.scalars import HUBER_C, MAD_SCALE, coherence_weight
+from groundswell.operators.aggregates import block_aggregate, mad_outliers
 from groundswell.operators.fits import plane
-from groundswell.operators.kernels import fill_nearest, per_field, robust_plane
-from groundswell.operators.neighbourhood import gaussian, kernel_table, local_linear
+from groundswell.operators.kernels import connected, fill_nearest, nearest_valid, per_field, robust_plane
+from groundswell.operators.neighbourhood import gaussian, gaussian_masked, kernel_table, local_linear, upsample_bilinear, windowed_plane
 
 
 def calibrate_plane(df: DataFrame, keys: list[str], *, disp: str = "disp", gnss: str = "gnss", center: tuple[float, float] = (3.5, 3.5)) -> DataFrame:
@@ -71,6 +72,59 @@ def calibrate_pair(df: DataFrame, keys: list[str], shape: tuple[int, int], *, si
     return out.select(*keys, "r", "c", *cols, F.when(valid, F.coalesce("tropo", F.lit(0.0))).alias("tropo"), F.when(valid, total).alias("calibration"), F.when(valid, F.col("disp") - total).alias("calibrated"))
 
 
+def _patched(v: np.ndarray, bad: np.ndarray, buffer: float, least: int) -> np.ndarray:
+    """``v`` with the bad cells, grown by ``buffer``, taken from the nearest good one; regions of under ``least`` cells aren't bad."""
+    if least > 1 and bad.any():
+        label = connected(bad)
+        bad = bad & (np.bincount(label.ravel())[label] >= least)
+    if bad.any():
+        bad = nearest_valid(bad)[2] <= buffer * buffer
+    valid = np.isfinite(v)
+    if not bad.any() or not (valid & ~bad).any():
+        return v
+    r, c, _ = nearest_valid(valid & ~bad)
+    return np.where(valid & bad, v[r, c], v)
+
+
+def calibrate_windowed(df: DataFrame, keys: list[str], shape: tuple[int, int], reference: tuple[int, int], size: int, *, factor: int = 1, events: bool = False, buffer: float = 1.0, threshold: float = 3.0, least: int = 1, sigma: float | None = None) -> DataFrame:
+    """keys, r, c, calibration and calibrated = disp − calibration of each field, NULL where invalid or out of a window's reach.
+
+    ``df`` has keys, r, c, disp, gnss, correction, coherence, ok and, with ``events``, event. In order: corrections go; the
+    value at ``reference`` is taken out (an error where it is invalid); event regions, grown by ``buffer`` cells, are
+    filled from the nearest cell outside; fields shrink by ``factor`` with coherence as weight. Without ``events``, cells
+    of disp − gnss beyond ``threshold`` scaled MADs in regions of ``least`` cells are filled likewise. Planes in windows
+    of ``size`` cells that overlap by half are blended, smoothed (None: an eighth of the window; 0: not at all),
+    brought back to full size, and get reference and corrections again."""
+    fixed = F.coalesce("correction", F.lit(0.0))
+    rows = df.withColumn("work", F.when(F.col("ok"), F.col("disp") - fixed))
+    at = rows.where((F.col("r") == reference[0]) & (F.col("c") == reference[1]))
+    ref = at.select(*keys, F.coalesce("work", F.raise_error(F.lit("the reference cell is invalid")).cast("double")).alias("reference"))
+    rows = rows.join(ref, keys).withColumn("v", F.col("work") - F.col("reference"))
+    base = rows.select(*keys, "r", "c", "v", "gnss", "coherence", *["event"] * events)
+    if events:
+        marked = base.withColumn("event", F.coalesce(F.col("event"), F.lit(False)).cast("double"))
+        patched = per_field(marked, keys, shape, lambda f: {"v": _patched(f["v"], f["event"] > 0, buffer, 1)}, ["v", "event"], "v double")
+        base = base.drop("v", "event").join(patched, [*keys, "r", "c"])
+    small = (shape[0] // factor, shape[1] // factor)
+    if factor > 1:
+        v = block_aggregate(base, keys, factor, shape, weight="coherence")
+        base = v.join(block_aggregate(base, keys, factor, shape, value="gnss"), [*keys, "r", "c"])
+    rest = base.select(*keys, "r", "c", (F.col("v") - F.col("gnss")).alias("v"))
+    if not events:
+        marked = mad_outliers(rest, keys, threshold=threshold).withColumn("outlier", F.coalesce("outlier", F.lit(False)).cast("double"))
+        rest = per_field(marked, keys, small, lambda f: {"v": _patched(f["v"], f["outlier"] > 0, buffer, least)}, ["v", "outlier"], "v double")
+    window = max(size // factor, 2)
+    level = windowed_plane(rest, keys, small, window, window // 2).select(*keys, "r", "c", F.col("surface").alias("v"))
+    spread = window / 8 if sigma is None else sigma
+    if spread > 0:
+        level = gaussian_masked(level, keys, small, spread)
+    if factor > 1:
+        level = upsample_bilinear(level, keys, small, shape)
+    total = F.when(F.col("work").isNotNull(), F.col("surface") + F.col("reference") + fixed)
+    out = rows.join(level.select(*keys, "r", "c", F.col("v").alias("surface")), [*keys, "r", "c"], "left").withColumn("calibration", total)
+    return out.select(*keys, "r", "c", "calibration", (F.col("disp") - F.col("calibration")).alias("calibrated"))
+
+
 def smooth_array(v: np.ndarray, sigma: float, mode: str = "constant") -> np.ndarray:
     """The same Gaussian on an array, for tests and kernels."""
     for axis in (0, 1):

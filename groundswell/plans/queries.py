@@ -14,7 +14,7 @@ from groundswell.operators import aggregates as A
 from groundswell.operators import fits, joins, kernels
 from groundswell.operators import neighbourhood as N
 from groundswell.plans import fixtures as X
-from groundswell.plans.calibrate import calibrate_pair, calibrate_plane, robust_weights
+from groundswell.plans.calibrate import calibrate_pair, calibrate_plane, calibrate_windowed, robust_weights
 from groundswell.streaming import epochs
 
 VEC = ["vec_id"]
@@ -268,6 +268,12 @@ def pair_calibration(spark: SparkSession, d: str) -> DataFrame:
     return calibrate_pair(rows, VEC, X.TILE).select("vec_id", "r", "c", *_r("surface", "tie", "reference", "tropo", "calibration", "calibrated", digits=5))
 
 
+def windowed_calibration(spark: SparkSession, d: str) -> DataFrame:
+    first = F.col("v").isNotNull() | ((F.col("r") == 3) & (F.col("c") == 3))
+    rows = X.gappy(spark, d).select("vec_id", "r", "c", F.coalesce("v", F.lit(0.0)).alias("disp"), ((F.col("r") - F.col("c")) / F.lit(50.0)).alias("gnss"), (F.col("r") / F.lit(200.0)).alias("correction"), "coherence", first.alias("ok"))
+    return calibrate_windowed(rows, VEC, X.TILE, (3, 3), 8, factor=2).select("vec_id", "r", "c", *_r("calibration", "calibrated", digits=5))
+
+
 def connected_regions(spark: SparkSession, d: str) -> DataFrame:
     rows = X.tiles(spark, d).withColumn("m", (F.col("v") > 0).cast("double"))
     return kernels.per_field(rows, VEC, X.TILE, lambda f: {"label": kernels.connected(f["m"] > 0)}, ["m"], "label int")

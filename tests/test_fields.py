@@ -11,7 +11,7 @@ from groundswell.functions import scalars as S
 from groundswell.operators import aggregates as A
 from groundswell.operators import fits, joins, kernels
 from groundswell.operators import neighbourhood as N
-from groundswell.plans.calibrate import calibrate_pair, smooth_array
+from groundswell.plans.calibrate import calibrate_pair, calibrate_windowed, robust_weights, smooth_array
 
 
 def field(spark, v, **more):
@@ -150,3 +150,90 @@ def test_median_blocks_and_poison(spark):
     got = back(A.block_aggregate(field(spark, v), ["k"], 2, (4, 4), method="median"), "v", (2, 2))
     assert got[0, 0] == 4.0 and got[1, 1] == 12.5
     assert A.stack_mean(field(spark, v), ["k"], poison=True).first()["mean"] is None
+
+
+def scene_rows(spark, disp, gnss, ok, **more):
+    full = {"gnss": gnss, "coherence": np.full(disp.shape, 0.9), "correction": np.full(disp.shape, 0.01), **more}
+    df = field(spark, disp, **full).withColumnRenamed("v", "disp")
+    good = spark.createDataFrame([(int(r), int(c), bool(ok[r, c])) for r, c in np.ndindex(ok.shape)], "r long, c long, ok boolean")
+    df = df.join(good, ["r", "c"]).withColumn("r", F.col("r").cast("int")).withColumn("c", F.col("c").cast("int"))
+    return df.withColumn("event", F.col("event") > 0) if "event" in more else df
+
+
+@pytest.mark.parametrize("events", [False, True])
+def test_windowed_calibration_sees_through_a_bump(spark, events):
+    r, c = np.indices((16, 16))
+    ramp = 0.3 + 0.02 * c - 0.01 * r
+    bump = ((r - 8) ** 2 + (c - 8) ** 2 <= 4) * 5.0
+    gnss = 0.001 * (c + r)
+    ok = (r + 2 * c) % 9 != 4
+    more = {"event": (bump > 0).astype(float)} if events else {}
+    df = scene_rows(spark, ramp + bump + gnss + 0.01, gnss, ok, **more)
+    out = calibrate_windowed(df, ["k"], (16, 16), (4, 4), 8, events=events, sigma=0.0)
+    got = back(out, "calibration", (16, 16))
+    inner = np.zeros((16, 16), bool)
+    inner[1:-1, 1:-1] = True
+    assert np.isnan(got[~ok]).all() and np.isfinite(got[ok & inner]).all()
+    # Filled cells repeat their neighbours, so that the surface bends by far less than the bump of 5.
+    assert np.abs(got - ramp - 0.01)[ok & inner].max() < 0.1
+    both = back(out, "calibrated", (16, 16)) + got
+    assert np.allclose(both[ok & inner], (ramp + bump + gnss + 0.01)[ok & inner])
+
+
+def test_windowed_calibration_of_a_plane_is_exact_and_shrinks_fields(spark):
+    r, c = np.indices((16, 16))
+    ramp = 0.02 * c - 0.01 * r
+    ok = np.ones((16, 16), bool)
+    df = scene_rows(spark, ramp + 0.01, np.zeros((16, 16)), ok)
+    inner = slice(3, -3)
+    exact = back(calibrate_windowed(df, ["k"], (16, 16), (4, 4), 8, sigma=0.0), "calibration", (16, 16))
+    assert np.allclose(exact[inner, inner], (ramp + 0.01)[inner, inner])
+    half = back(calibrate_windowed(df, ["k"], (16, 16), (4, 4), 8, factor=2), "calibration", (16, 16))
+    assert np.abs(half - ramp - 0.01)[inner, inner].max() < 0.03
+    with pytest.raises(Exception, match="reference cell is invalid"):
+        ok = ok.copy()
+        ok[4, 4] = False
+        calibrate_windowed(scene_rows(spark, ramp, ramp, ok), ["k"], (16, 16), (4, 4), 8).collect()
+
+
+def test_stratified_fit_finds_its_coefficients_and_needs_enough_cells(spark):
+    r, c = np.indices((20, 20))
+    h = np.random.default_rng(6).random((20, 20)) * 2
+    v = 1.0 + 2.0 * c / 100 - 3.0 * r / 100 + 0.5 * h - 0.25 * h * h
+    v[0, 0] = np.nan
+    df = field(spark, v, h=h)
+    row = fits.stratified(df, ["k"], step=2).first()
+    assert row.n == 99 and np.allclose(row.coef, [1.0, 2.0, -3.0, 0.5, -0.25])
+    assert fits.stratified(df, ["k"], step=7).first().coef is None
+
+
+def test_robust_weights_match_numpy(spark):
+    rng = np.random.default_rng(8)
+    v, w = rng.normal(size=(9, 9)), rng.random((9, 9))
+    v[4, 4], w[2, 2] = 40.0, 0.0
+    robust = np.ones_like(v)
+    for _ in range(2):
+        u = w * robust
+        d = (v - smooth_array(u * v, 1.5, "nearest") / smooth_array(u, 1.5, "nearest"))
+        far = np.abs(d - np.median(d[u > 0]))
+        z = far / (1.4826 * np.median(far[u > 0]))
+        robust = np.where((u <= 0) | (z > 4.0), 0.0, np.where(z > 1.345, 1.345 / z, 1.0))
+    got = back(robust_weights(field(spark, v, w=w), ["k"], (9, 9), 1.5), "robust", (9, 9))
+    assert np.allclose(got, robust) and got[4, 4] == 0 and got[2, 2] == 0
+
+
+def test_mask_growth_matches_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(4):
+        coh, vel = rng.random((9, 11)) * 0.95, rng.normal(0, 2, (9, 11))
+        want = {(i, j) for i, j in np.ndindex(coh.shape) if coh[i, j] >= 0.85}
+        for level in (0.80, 0.75, 0.70, 0.65, 0.60):
+            fresh = set()
+            for i, j in np.ndindex(coh.shape):
+                d, y, x = min(((i - y) ** 2 + (j - x) ** 2, y, x) for y, x in want)
+                if coh[i, j] >= level - 1e-12 and d <= 9 and abs(vel[i, j] - vel[y, x]) <= 2.0:
+                    fresh.add((i, j))
+            want |= fresh
+        got = kernels.grow_mask(coh, vel, reach=3)
+        assert {(i, j) for i, j in np.argwhere(got).tolist()} == want
+    assert not kernels.grow_mask(np.zeros((3, 3)), np.zeros((3, 3))).any()
