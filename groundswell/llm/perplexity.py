@@ -1,4 +1,4 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text."""
+"""Quality by perplexity under interpolated modified Kneser-Ney models of trusted text: words after words, spelled by bytes."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundswell.llm.common import map_arrow, settled, split_join
+from groundswell.llm.common import map_arrow, settled, split_join, text_blocks, window_hashes, word_bounds, word_hashes
 
 #: Rows of the model (24 bytes) that are sent to every worker; beyond, words are scored by joins.
 BROADCAST_GRAMS = 4_000_000
@@ -82,6 +82,15 @@ def _counted_grams(order: int):
     return run
 
 
+def _discount(counted: DataFrame) -> Column:
+    """What modified Kneser-Ney takes off a count ``n``: three discounts from the counts of counts."""
+    of = {r["n"]: r["count"] for r in counted.where("n <= 4").groupBy("n").count().collect()}
+    n1, n2, n3, n4 = (max(1, of.get(i, 0)) for i in range(1, 5))
+    y = n1 / (n1 + 2 * n2)
+    discounts = [min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
+    return F.when(F.col("n") == 1, discounts[0]).when(F.col("n") == 2, discounts[1]).otherwise(discounts[2])
+
+
 def model(words: DataFrame, *, order: int = 5) -> DataFrame:
     """(k, gram, p, g): interpolated probability of each gram's last byte, and the back-off weight of it as a context.
 
@@ -100,11 +109,7 @@ def model(words: DataFrame, *, order: int = 5) -> DataFrame:
     out, lower = None, None
     for k in range(1, order + 1):
         mine = counts[k]
-        of = {r["n"]: r["count"] for r in mine.where("n <= 4").groupBy("n").count().collect()}
-        n1, n2, n3, n4 = (max(1, of.get(i, 0)) for i in range(1, 5))
-        y = n1 / (n1 + 2 * n2)
-        discounts = [min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
-        cut = F.when(F.col("n") == 1, discounts[0]).when(F.col("n") == 2, discounts[1]).otherwise(discounts[2])
+        cut = _discount(mine)
         context = F.shiftright("gram", 8) if k > 1 else F.lit(0).cast("long")
         rows = mine.withColumn("context", context).withColumn("cut", cut)
         sums = settled(rows.groupBy("context").agg(F.sum("n").cast("double").alias("total"), F.sum("cut").alias("freed")).coalesce(parts))
@@ -182,15 +187,16 @@ def _scores_here(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
                     known.update(zip(fresh, tables.word_bits(fresh).tolist(), strict=True))
                 sums = [sum([known[w] for w in t]) for t in texts]
                 sizes = [sum(map(len, t)) + len(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("trusted"), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], names=["doc_id", "lang", "trusted", "bits", "n_bytes"])
+                own = [part.column(c) for c in ("doc_id", "lang", "trusted", "text_key")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sums, pa.float64()), pa.array(sizes, pa.int64()), pa.array(list(map(len, texts)), pa.int64())], names=["doc_id", "lang", "trusted", "text_key", "bits", "n_bytes", "n_words"])
 
-    return map_arrow(docs, run, "doc_id long, lang string, trusted boolean, bits double, n_bytes long")
+    return map_arrow(docs, run, "doc_id long, lang string, trusted boolean, text_key long, bits double, n_bytes long, n_words long")
 
 
 def _scores_by_joins(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
     """The same sums where the model is too large to send: distinct words meet the model shard by shard, then documents."""
     text_words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    spread = docs.select("doc_id", "lang", "trusted", F.xxhash64("text").alias("text_key"), F.posexplode_outer(text_words).alias("pos", "w"))
+    spread = docs.select("doc_id", "lang", "trusted", "text_key", F.posexplode_outer(text_words).alias("pos", "w"))
     begins = (F.coalesce("pos", F.lit(0)) == 0).cast("long")  # once for each row of a text
     per = spread.groupBy("doc_id", "lang", "trusted", "text_key", "w").agg(F.count(F.lit(1)).alias("n"), F.sum(begins).alias("begins"))
     vocabulary = per.where("w IS NOT NULL").select("w").distinct()
@@ -212,21 +218,155 @@ def _scores_by_joins(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
         each = each.withColumn("found", F.coalesce("found", F.col("scale") * F.col("_p"))).withColumn("scale", F.col("scale") * F.coalesce("_w", F.lit(1.0))).select("w", "place", "code", "size", "found", "scale")
     bits = each.groupBy("w").agg(F.sum(-F.log(F.coalesce("found", F.col("scale") / 256))).alias("bits"))
     scored = split_join(per, bits, ["w"], "left")
-    sums = scored.groupBy("doc_id", "lang", "trusted", "text_key").agg(F.sum("begins").alias("copies"), F.coalesce(F.sum(F.col("n") * F.col("bits")), F.lit(0.0)).alias("bits"), F.coalesce(F.sum(F.col("n") * (F.octet_length("w") + 1)), F.lit(0)).alias("n_bytes"))
+    sums = scored.groupBy("doc_id", "lang", "trusted", "text_key").agg(F.sum("begins").alias("copies"), F.coalesce(F.sum(F.col("n") * F.col("bits")), F.lit(0.0)).alias("bits"), F.coalesce(F.sum(F.col("n") * (F.octet_length("w") + 1)), F.lit(0)).alias("n_bytes"), F.sum(F.when(F.col("w").isNotNull(), F.col("n")).otherwise(0)).alias("n_words"))
     each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return sums.select("doc_id", "lang", "trusted", (F.col("bits") / F.col("copies")).alias("bits"), (F.col("n_bytes") / F.col("copies")).cast("long").alias("n_bytes"), each.alias("_copy")).drop("_copy")
+    size = lambda c: (F.col(c) / F.col("copies")).cast("long").alias(c)
+    return sums.select("doc_id", "lang", "trusted", "text_key", (F.col("bits") / F.col("copies")).alias("bits"), size("n_bytes"), size("n_words"), each.alias("_copy")).drop("_copy")
+
+
+#: Stands before the first word of each text.
+_BEGIN = np.uint64(0x9D39247E33776D41)
+
+
+def _sequences(column: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(first row, text of each place, place in its text, keys of the runs of 1 to ``order`` that end at each place) of blocks.
+
+    A place is a word or, at 0, the mark before a text's words. Keys of runs that reach over that mark mean nothing."""
+    for at, end, data, offsets in text_blocks(column):
+        starts, ends, firsts = word_bounds(data, offsets)
+        sizes = np.diff(firsts) + 1
+        text = np.repeat(np.arange(end - at), sizes)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        each = np.full(len(text), _BEGIN)
+        each[place > 0] = word_hashes(data, starts, ends)
+        keys = [each]
+        for k in range(2, order + 1):
+            runs = window_hashes(each, k)
+            keys.append(np.concatenate([np.zeros(len(each) - len(runs), np.uint64), runs]))
+        yield at, text, place, keys
+
+
+def _longest_runs(order: int):
+    """For each word the longest run of up to ``order`` that ends at it, with the keys of its ends (e1, e2, ..) and of its contexts' (c1, ..)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("text_key").to_numpy(zero_copy_only=False)
+            for at, text, place, keys in _sequences(batch.column("text"), order):
+                word = np.flatnonzero(place > 0)
+                size = np.minimum(place[word] + 1, order)
+                columns = [pa.array(size.astype(np.int32)), pa.array(of[at + text[word]])]
+                columns += [pa.array(key[word].view(np.int64), mask=size < k) for k, key in enumerate(keys, 1)]
+                columns += [pa.array(key[word - 1].view(np.int64), mask=size <= k) for k, key in enumerate(keys[:-1], 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "text_key", *[f"e{k}" for k in range(1, order + 1)], *[f"c{k}" for k in range(1, order)]])
+
+    return run
+
+
+def _runs_of_texts(order: int):
+    """A row for each text and run of 1 to ``order``: how often it ends at a word (n), and how often a word follows it (m; shorter runs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("text_key").to_numpy(zero_copy_only=False)
+            trusted = batch.column("trusted").to_numpy(zero_copy_only=False)
+            for at, text, place, keys in _sequences(batch.column("text"), order):
+                followed = np.append(text[1:] == text[:-1], False)[: len(text)]
+                for k, key in enumerate(keys, 1):
+                    own = np.flatnonzero((place >= k - 1) & ((place > 0) | followed))
+                    order_ = own[np.lexsort((key[own], text[own]))]
+                    if not len(order_):
+                        continue
+                    g, t = key[order_], text[order_]
+                    first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (t[1:] != t[:-1])))
+                    n = np.add.reduceat((place[order_] > 0).astype(np.int32), first)
+                    m = np.add.reduceat((followed[order_] & (k < order)).astype(np.int32), first)
+                    rows = at + t[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(of[rows]), pa.array(trusted[rows].astype(bool)), pa.array(g[first].view(np.int64)), pa.array(n, pa.int32()), pa.array(m, pa.int32())], names=["text_key", "trusted", "gram", "n", "m"])
+
+    return run
+
+
+def word_model(texts: DataFrame, spelled: DataFrame, *, order: int = 3) -> tuple[DataFrame, float]:
+    """(gram, gain, gain_only, weight, weight_only) of runs of up to ``order`` words in ``texts`` (text_key, text), and the log weight of spelling.
+
+    Interpolated modified Kneser-Ney; below single words lies their spelling, ``spelled`` (e1, bits). With p and b a
+    run's probability and the back-off weight of its context, gain is log p less log b less log p of the run without
+    its first word; weight is the log of its own back-off weight. A run that is known has known ends and contexts, so
+    the log probability of a text is the sum of all its runs' gains and its contexts' weights over that of spelling.
+    The _only columns name the text that alone holds the run (as a context). Keys are 64 bits of hash.
+    """
+    keys = [*[f"e{k}" for k in range(1, order + 1)], *[f"c{k}" for k in range(1, order)]]
+    schema = ", ".join(["k int", "text_key long", *[f"{c} long" for c in keys]])
+    held = [F.min("text_key").alias("lo"), F.max("text_key").alias("hi")]
+    raw = settled(map_arrow(texts, _longest_runs(order), schema).groupBy("k", *keys).agg(F.count(F.lit(1)).alias("n"), *held))
+    again = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    counts = {order: raw.where(F.col("k") == order).drop("k")}
+    for k in range(order - 1, 0, -1):
+        mine = [*[f"e{j}" for j in range(1, k + 1)], *[f"c{j}" for j in range(1, k)]]
+        after = counts[k + 1].groupBy(*mine).agg(F.count(F.lit(1)).alias("n"), *again)
+        begun = raw.where(F.col("k") == k).select(*mine, "n", "lo", "hi")
+        counts[k] = settled(after.unionByName(begun) if k > 1 else after)
+    only = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
+    nothing = F.lit(None).cast("double")
+    out, lower, spelling = None, spelled.select(F.col("e1").alias("_end"), F.exp(-F.col("bits")).alias("below"), (-F.col("bits")).alias("log_below")), 0.0
+    for k in range(1, order + 1):
+        rows = counts[k].withColumn("cut", _discount(counts[k])).withColumn("context", F.col(f"c{k - 1}") if k > 1 else F.lit(0).cast("long"))
+        sums = rows.groupBy("context").agg(F.sum("n").cast("double").alias("total"), F.sum("cut").alias("freed"), *again)
+        sums = settled(sums)
+        if k == 1:
+            one = sums.first()
+            if one is not None:
+                spelling = float(np.log(one["freed"] / one["total"]))
+            rows = rows.crossJoin(F.broadcast(sums.select("total", "freed")))
+        else:
+            rows = split_join(rows, sums.select("context", "total", "freed"), ["context"])
+        rows = split_join(rows.withColumn("_end", F.col(f"e{max(1, k - 1)}")), lower, ["_end"])
+        p = (F.col("n") - F.col("cut") + F.col("freed") * F.col("below")) / F.col("total")
+        rows = settled(rows.select(F.col(f"e{k}").alias("gram"), p.alias("p"), (F.log(p) - F.log(F.col("freed") / F.col("total")) - F.col("log_below")).alias("gain"), only.alias("gain_only")))
+        part = rows.select("gram", "gain", "gain_only", nothing.alias("weight"), F.lit(None).cast("long").alias("weight_only"))
+        if k > 1:
+            weights = sums.select(F.col("context").alias("gram"), nothing.alias("gain"), F.lit(None).cast("long").alias("gain_only"), F.log(F.col("freed") / F.col("total")).alias("weight"), only.alias("weight_only"))
+            part = part.unionByName(weights)
+        out = part if out is None else out.unionByName(part)
+        lower = rows.select(F.col("gram").alias("_end"), F.col("p").alias("below"), F.log("p").alias("log_below"))
+    return out.groupBy("gram").agg(*[F.max(c).alias(c) for c in ("gain", "gain_only", "weight", "weight_only")]), spelling
+
+
+def _gains(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
+    """(text_key, trusted, gain): what word contexts add to the log probability of each text's spelling.
+
+    A trusted text is judged by what other texts hold: a run that it alone holds is unknown to it. Equal texts of one
+    ``trusted`` are summed, with ``texts`` their number."""
+    found = map_arrow(docs.select("text_key", "trusted", "text"), _runs_of_texts(order), "text_key long, trusted boolean, gram long, n int, m int")
+    met = split_join(found, rows, ["gram"])
+    own = lambda c: F.when(F.col("trusted") & F.col(f"{c}_only").eqNullSafe(F.col("text_key")), 0.0).otherwise(F.coalesce(c, F.lit(0.0)))
+    return met.groupBy("text_key", "trusted").agg(F.sum(F.col("n") * own("gain") + F.col("m") * own("weight")).alias("gain"))
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words as documents, named by the keys that runs of one word have."""
+    for batch in batches:
+        if batch.num_rows:
+            texts = batch.column("text")
+            found = np.concatenate([keys[0][place > 0] for _, _, place, keys in _sequences(texts, 1)]).view(np.int64)
+            none = pa.nulls(batch.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(found), none, pa.array(np.zeros(batch.num_rows, bool)), texts, pa.array(found)], names=["doc_id", "lang", "trusted", "text", "text_key"])
 
 
-def perplexity_filter(docs: DataFrame, trusted: DataFrame, *, order: int = 5, quantile: float = 0.99, slack: float = 1.1, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def perplexity_filter(docs: DataFrame, trusted: DataFrame, *, order: int = 5, words: int = 3, quantile: float = 0.99, slack: float = 1.1, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, kept for every row.
 
-    An n-gram model of bytes within words (``order`` bytes, interpolated modified Kneser-Ney) is trained on the texts
-    of all documents whose doc_id is in ``trusted`` (doc_id). A document's perplexity is that of a byte of its words, over
-    its whole text. It is kept if it is at most ``slack`` times the ``quantile`` of its language's trusted documents
-    (of all trusted ones where the language has none).
+    A model of runs of ``words`` words (interpolated modified Kneser-Ney, with a mark before the first word) over a model
+    of the bytes within a word (``order`` bytes, alike), which spells words, is trained on the texts of all documents
+    whose doc_id is in ``trusted`` (doc_id). A document's perplexity is that of a byte of its words, over its whole text.
+    It is kept if it is at most ``slack`` times the ``quantile`` of its language's trusted documents (of all trusted
+    ones where the language has none). Trusted texts have seen their own runs of words: runs that no other trusted
+    text holds count as unknown to them, so that thresholds hold for new texts.
 
-    Counts cover all trusted text, scores all documents. The model is sent to the workers if it has at most
-    ``broadcast_grams`` rows; otherwise distinct words are scored by joins with it, with the same result.
+    Counts cover all trusted text, scores all documents. Runs of words are met by one join of all texts' runs with the
+    model. The model of bytes is sent to the workers if it has at most ``broadcast_grams`` rows; otherwise distinct
+    words are scored by joins with it, with the same result.
 
     Null or empty texts have no perplexity and aren't kept. Null languages are a language. Null doc_ids are never
     trusted; repeated rows are scored one by one and count one by one. No trusted text: a uniform model, all kept
@@ -236,11 +376,18 @@ def perplexity_filter(docs: DataFrame, trusted: DataFrame, *, order: int = 5, qu
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     base = base.join(F.broadcast(ids), "doc_id", "left") if few else split_join(base, ids, ["doc_id"], "left")
-    base = base.withColumn("trusted", F.col("trusted").isNotNull()).select("doc_id", "lang", "trusted", "text")
-    words = settled(map_arrow(base.where("trusted").select("text"), _counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    rows = model(words, order=order)
+    base = base.withColumn("trusted", F.col("trusted").isNotNull()).select("doc_id", "lang", "trusted", "text", F.xxhash64("text").alias("text_key"))
+    counted = settled(map_arrow(base.where("trusted").select("text"), _counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    rows = model(counted, order=order)
     scores = _scores_here if rows.limit(broadcast_grams + 1).count() <= broadcast_grams else _scores_by_joins
-    scored = settled(scores(base, rows, order).withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(F.col("bits") / F.col("n_bytes")))))
+    each = map_arrow(counted.select(F.col("word").cast("string").alias("text")), _named, "doc_id long, lang string, trusted boolean, text string, text_key long")
+    spelled = settled(scores(each, rows, order).select(F.col("doc_id").alias("e1"), "bits"))
+    runs, spelling = word_model(base.where("trusted").select("text_key", "text"), spelled, order=words)
+    copies = base.groupBy("text_key", "trusted").agg(F.count(F.lit(1)).alias("texts"))
+    gains = split_join(copies, _gains(base, settled(runs), words), ["text_key", "trusted"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)) / F.col("texts"))
+    scored = split_join(scores(base, rows, order), settled(gains), ["text_key", "trusted"], "left")
+    bits = F.col("bits") - F.col("n_words") * F.lit(spelling) - F.col("gain")
+    scored = settled(scored.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(bits / F.col("n_bytes")))).drop("gain", "texts", "text_key"))
     good = scored.where("trusted AND perplexity IS NOT NULL")
     limits = good.groupBy("lang").agg((F.lit(slack) * F.percentile_approx("perplexity", quantile, 10_000)).alias("own"))
     whole = good.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]

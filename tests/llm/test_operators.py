@@ -263,3 +263,74 @@ def test_pipeline_handles_odd_rows(spark, docs, tmp_path):
         now.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
     assert now.count() > 0
+
+
+def _kneser_ney(texts, order, n_bytes_order):
+    """Log probability of a text's words, evaluated top down, with ``out``: a text whose own runs are unknown."""
+
+    def discounts(counts):
+        of = Counter(counts.values())
+        n = [max(1, of[i]) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
+
+    def levels(sequences, top):
+        counts = [None, *[Counter() for _ in range(top)]]
+        for s, n in sequences:
+            for e in range(1, len(s)):
+                k = min(e + 1, top)
+                counts[k][tuple(s[e - k + 1 : e + 1])] += n
+        for k in range(top - 1, 0, -1):
+            counts[k] += Counter(g[1:] for g in counts[k + 1])
+        return counts
+
+    def chance(counts, base):
+        cuts = [None, *[discounts(c) for c in counts[1:]]]
+        cut = lambda k, n: cuts[k][min(n, 3) - 1]
+        total, freed = Counter(), Counter()
+        for k in range(1, len(counts)):
+            for g, n in counts[k].items():
+                total[g[:-1]] += n
+                freed[g[:-1]] += cut(k, n)
+
+        def p(g):
+            """Of the last item after the others."""
+            if not g:
+                return None
+            below = p(g[1:]) if len(g) > 1 else base(g[0])
+            c = g[:-1]
+            if not total[c]:
+                return below
+            n = counts[len(g)][g]
+            return ((n - cut(len(g), n)) if n else 0) / total[c] + freed[c] / total[c] * below
+
+        return p, total, freed
+
+    spaced = [([*b" ", *w, *b" "], n) for w, n in Counter(w for t in texts for w in words(t)).items()]
+    byte, _, _ = chance(levels(spaced, n_bytes_order), lambda _: 1 / 256)
+
+    def spelling(w):
+        s = [*b" ", *w, *b" "]
+        return math.prod(byte(tuple(s[max(0, e - n_bytes_order + 1) : e + 1])) for e in range(1, len(s)))
+
+    p, _, _ = chance(levels([([None, *words(t)], 1) for t in texts], order), spelling)
+    return lambda t: sum(math.log(p(tuple(([None, *words(t)])[max(0, e - order + 1) : e + 1]))) for e in range(1, len(words(t)) + 1))
+
+
+def test_perplexity_sees_word_order(spark):
+    rng = np.random.default_rng(5)
+    stem = "the old man saw a small boat on the calm sea and then went home to his quiet house near the long river".split()
+    good = [" ".join(stem[int(i) :] + stem[: int(i)]) for i in rng.integers(0, len(stem), 60)]
+    odd = [" ".join(rng.permutation(stem)) for _ in range(5)] + ["boat boat boat sea sea sea", "", "né boat", good[0]]
+    data = [(i, t, "en") for i, t in enumerate(good)] + [(100 + i, t, "en") for i, t in enumerate(odd)] + [(None, odd[0], "en"), (None, odd[0], "en")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = perplexity_filter(docs, docs.where("doc_id < 100").select("doc_id"), order=3, words=3).collect()
+    logp = _kneser_ney(good, 3, 3)
+    text = {(i, len((t or "").split())): t for i, t, _ in data}
+    assert len(got) == len(data)
+    for r in got:
+        t = odd[0] if r.doc_id is None else text[r.doc_id, len(dict((a, b) for a, b, _ in data)[r.doc_id].split())]
+        if r.doc_id is None or r.doc_id >= 100:  # an untrusted text is judged by all that trusted ones hold
+            assert r.perplexity is None if not t else math.isclose(r.perplexity, math.exp(-logp(t) / r.n_bytes), rel_tol=1e-9)
+    kept = {r.doc_id: r.kept for r in got}
+    assert not any(kept[100 + i] for i in range(7)) and kept[108] and not kept[None]
