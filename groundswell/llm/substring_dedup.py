@@ -88,13 +88,13 @@ def _anchors(short: int, length: int, whole: bool):
                 rows = np.arange(end - at + 1)
                 one = _lists(value[fresh], np.searchsorted(text[fresh], rows))
                 two = _lists(value[second], np.searchsorted(text[second], rows))
-                columns = [batch.column("doc_id").slice(at, end - at), batch.column("part").slice(at, end - at)]
-                names = ["doc_id", "part"]
+                names = ["doc_id", "text_key", "check"] if whole else ["row"]
+                columns = [batch.column(c).slice(at, end - at) for c in names]
                 if whole:
                     raw = data.tobytes()
                     digests = [hashlib.sha256(b" ".join(raw[offsets[i] : offsets[i + 1]].split())).digest() for i in range(end - at)]
-                    columns += [batch.column("text_key").slice(at, end - at), pa.array(np.diff(firsts), pa.int64()), pa.array(digests, pa.binary())]
-                    names += ["text_key", "n_words", "digest"]
+                    columns += [pa.array(np.diff(firsts), pa.int64()), pa.array(digests, pa.binary())]
+                    names += ["n_words", "digest"]
                 yield pa.RecordBatch.from_arrays([*columns, one, two], names=[*names, "anchors", "twice"])
 
     return run
@@ -139,8 +139,8 @@ def _windows(short: int, length: int):
                 high = window_hashes(each, length)[place]
                 check = (window_hashes(mix(each ^ _OTHER), length)[place] >> np.uint64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(high.view(np.int64)), pa.array(check.view(np.int32)), batch.column("doc_id").take(take), batch.column("part").take(take), batch.column("single").take(take), pa.array((place - firsts[text]).astype(np.int32))],
-                    names=["h", "c", "doc_id", "part", "single", "place"],
+                    [pa.array(high.view(np.int64)), pa.array(check.view(np.int32)), batch.column("row").take(take), batch.column("single").take(take), pa.array((place - firsts[text]).astype(np.int32))],
+                    names=["h", "c", "row", "single", "place"],
                 )
 
     return run
@@ -163,15 +163,16 @@ def _cut(length: int):
                     gone = np.cumsum(edge[:-1]) > 0
                     removed.append(int(gone.sum()))
                     digests.append(hashlib.sha256(b" ".join([found[i] for i in np.flatnonzero(~gone)])).digest())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), pa.array(removed, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "part", "n_removed", "kept_digest"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(removed, pa.int64()), pa.array(digests, pa.binary())], names=["row", "n_removed", "kept_digest"])
 
     return run
 
 
-def _same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """A join of rows on (doc_id, part) in which null doc_ids match."""
-    right = right.withColumnRenamed("doc_id", "_doc").withColumnRenamed("part", "_key")
-    return left.join(right, left["doc_id"].eqNullSafe(right["_doc"]) & (left["part"] == right["_key"]), how).drop("_doc", "_key")
+def _of_row(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Texts with the columns of their rows: equal doc_ids, null or not, and 96 bits of the text."""
+    rows = rows.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key", "check": "_check"})
+    same = texts["doc_id"].eqNullSafe(rows["_doc"]) & (texts["text_key"] == rows["_key"]) & (texts["check"] == rows["_check"])
+    return texts.join(rows, same).drop("_doc", "_key", "_check")
 
 
 def substring_dedup(docs: DataFrame, *, length: int = 35, levels: int = 2) -> DataFrame:
@@ -184,46 +185,46 @@ def substring_dedup(docs: DataFrame, *, length: int = 35, levels: int = 2) -> Da
     inside each full window), which every repeat shares, so that a tenth of the places are shuffled. Windows are equal
     if 96 bits of hash agree.
 
-    Rows with equal texts are compared once, by the smallest doc_id: all their windows are repeats. Hot windows are
+    Rows with equal texts are compared once, by the first of them: all their windows are repeats. Hot windows are
     counted before they are shuffled and found again by a join that can be split. A text's places meet in one row,
     so memory grows with the longest text (some 100 bytes a byte of it).
 
+    Rows are numbered once, so that hot shuffles carry one number a row; texts are found again by doc_id and 96 bits of
+    the text, so that any number of texts may share a doc_id or have none.
+
     Null text: no words. Null doc_id: a row like any other. Repeated rows are copies of each other. Empty table: no
     rows. Other columns are not read.
     """
     if length < 2 or levels < 2:
         raise ValueError("doubling needs two lengths")
     lengths = ladder(length, levels)
-    # Fifteen bits of the text tell rows of one doc_id apart; rows are many, so their keys are short.
-    keyed = documents(docs).withColumn("part", F.col("text_key").bitwiseAND(F.lit(0x7FFF)).cast("int"))
-    base = keyed.select("doc_id", "part", "text")
-    width = "doc_id long, part int, "
-    first = map_arrow(keyed, _anchors(lengths[0], length, True), width + "text_key long, n_words long, digest binary, anchors array<long>, twice array<long>")
-    stored = settled(first)
+    base = documents(docs).withColumn("check", F.crc32(F.encode("text", "UTF-8")))
+    first = map_arrow(base, _anchors(lengths[0], length, True), "doc_id long, text_key long, check long, n_words long, digest binary, anchors array<long>, twice array<long>")
+    stored = settled(first.withColumn("row", F.monotonically_increasing_id()))
     # Equal texts: 64 bits of the text and 256 of its words.
-    classes = settled(stored.groupBy("text_key", "digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    classes = settled(stored.groupBy("text_key", "digest").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     rows = split_join(stored, classes, ["text_key", "digest"], "left").withColumn("single", F.col("copies").isNull())
-    mine = rows.where(F.col("single") | F.col("doc_id").eqNullSafe(F.col("rep"))).where(F.size("anchors") > 0)
+    mine = rows.where(F.col("single") | (F.col("row") == F.col("rep"))).where(F.size("anchors") > 0)
+    names = mine.select("row", "doc_id", "text_key", "check", "single")
 
     def repeated(anchors: DataFrame) -> DataFrame:
-        """doc_id, part, single, repeated: each text's anchors that are sampled elsewhere too."""
+        """row, repeated and the row's names: each text's anchors that are sampled elsewhere too."""
         seen = anchors.select(F.explode("anchors").alias("g")).unionAll(anchors.select(F.explode("twice").alias("g")))
         often = seen.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-        found = split_join(anchors.select("doc_id", "part", "single", F.explode("anchors").alias("g")), often, ["g"])
-        return found.groupBy("doc_id", "part", "single").agg(F.collect_list("g").alias("repeated"))
+        found = split_join(anchors.select("row", F.explode("anchors").alias("g")), often, ["g"])
+        return found.groupBy("row").agg(F.collect_list("g").alias("repeated")).join(names, "row")
 
     alive = settled(repeated(mine))
     for short, wider in zip(lengths[:-1], lengths[1:-1], strict=False):
-        texts = _same(base, alive.withColumn("short", F.lit(short)), "inner")
-        found = map_arrow(texts.select("doc_id", "part", "text", "repeated", "short"), _anchors(wider, length, False), width + "anchors array<long>, twice array<long>")
-        flags = alive.select("doc_id", "part", "single")
-        alive = settled(repeated(_same(found, flags, "inner").where(F.size("anchors") > 0)))
-    texts = _same(base, alive, "inner").select("doc_id", "part", "text", "single", "repeated")
-    windows = map_arrow(texts, _windows(lengths[-2], length), "h long, c int, doc_id long, part int, single boolean, place int")
+        texts = _of_row(base, alive.withColumn("short", F.lit(short)))
+        found = map_arrow(texts.select("row", "text", "repeated", "short"), _anchors(wider, length, False), "row long, anchors array<long>, twice array<long>")
+        alive = settled(repeated(found.where(F.size("anchors") > 0)))
+    texts = _of_row(base, alive).select("row", "text", "single", "repeated")
+    windows = map_arrow(texts, _windows(lengths[-2], length), "h long, c int, row long, single boolean, place int")
     often = windows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "c")
-    places = split_join(windows.where("single").select("h", "c", "doc_id", "part", "place"), often, ["h", "c"]).groupBy("doc_id", "part").agg(F.collect_list("place").alias("places"))
-    cut = map_arrow(_same(base, places, "inner").select("doc_id", "part", "text", "places"), _cut(length), width + "n_removed long, kept_digest binary")
-    out = _same(rows.select("doc_id", "part", "n_words", "digest", "copies"), cut, "left")
+    places = split_join(windows.where("single").select("h", "c", "row", "place"), often, ["h", "c"]).groupBy("row").agg(F.collect_list("place").alias("places"))
+    cut = map_arrow(_of_row(base, places.join(names, "row")).select("row", "text", "places"), _cut(length), "row long, n_removed long, kept_digest binary")
+    out = rows.select("row", "doc_id", "n_words", "digest", "copies").join(cut, "row", "left")
     gone = F.col("copies").isNotNull() & (F.col("n_words") >= length)
     return out.select(
         "doc_id",

@@ -95,6 +95,20 @@ def test_substring_dedup(docs, none, length, levels):
     assert substring_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_substring_dedup_of_many_texts_under_one_key(spark, key):
+    rng = np.random.default_rng(2)
+    passage = " ".join(f"p{i}" for i in range(12))
+    texts = [" ".join([*[f"a{n}"] * int(n % 5), passage, *[f"w{n}x{i}" for i in range(int(rng.integers(0, 30)))]]) for n in range(3000)]
+    want = Counter((len(t.split()), 12, hashlib.sha256(" ".join(x for x in t.split() if x[0] != "p").encode()).hexdigest()) for t in texts)
+    docs = spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string")
+    copies = [n for t, n in Counter(texts).items() if n > 1]
+    got = substring_dedup(docs, length=12).collect()
+    alone = Counter((r.n_words, r.n_removed, bytes(r.kept_sha256).hex()) for r in got if r.copies == 1)
+    assert len(got) == len(texts) and sum(alone.values()) == len(texts) - sum(copies)
+    assert not alone - want and all(r.n_removed == r.n_words for r in got if r.copies > 1)
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_dedup(docs, none, k):
     sets = {}
