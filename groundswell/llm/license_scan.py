@@ -13,6 +13,7 @@ from groundswell.llm.common import lower_ascii, map_arrow, mix, text_blocks, win
 
 #: Short notices by which works name their license, and the lines that open common license texts.
 TEMPLATES = {
+    "All rights reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -31,11 +32,15 @@ def _letters(data: np.ndarray) -> np.ndarray:
     return np.where(odd, np.uint8(32), data)
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes in order of place, and where each text's begin."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes in order of place, and each text's first word."""
     data = _letters(data)
     starts, ends, firsts = word_bounds(data, offsets)
-    each = word_hashes(data, starts, ends)
+    return word_hashes(data, starts, ends), firsts
+
+
+def _grams(each: np.ndarray, firsts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes in order of place, and where each text's begin."""
     left = np.repeat(firsts[1:], np.diff(firsts)) - np.arange(len(each))
     grams = window_hashes(each, words)
     place = np.flatnonzero(left[: len(grams)] >= words)
@@ -57,15 +62,21 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, w
     them collide but for ``chance``. Templates that collide are verified: the share of their shingles that the window
     holds has to reach ``containment``.
 
-    Whole texts are scanned where they lie; nothing is shuffled. Templates of under ``words`` words are refused. Null or
+    Whole texts are scanned where they lie; nothing is shuffled. Templates of under ``words`` words are found where all
+    their words follow each other (containment 1); those without a word are refused. Null or
     empty text: none found. Null doc_ids and repeated rows pass through. Other columns are not read.
     """
     known: dict[int, list[tuple[str, np.ndarray]]] = {}
+    short: dict[int, list[tuple[str, np.uint64]]] = {}
     for name, text in templates.items():
         data = np.frombuffer(text.encode(), np.uint8)
-        found = np.unique(_grams(data, np.array([0, len(data)]), words)[0])
-        if not len(found):
-            raise ValueError(f"template {name} has under {words} words")
+        each, firsts = _words(data, np.array([0, len(data)]))
+        if not len(each):
+            raise ValueError(f"template {name} has no words")
+        if len(each) < words:
+            short.setdefault(len(each), []).append((name, window_hashes(each, len(each))[0]))
+            continue
+        found = np.unique(_grams(each, firsts, words)[0])
         known.setdefault(1 << max(3, (len(found) - 1).bit_length()), []).append((name, found))
     plans = []
     for block, group in known.items():
@@ -102,12 +113,21 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, w
                 if share >= containment:
                     hits[i][name] = max(share, hits[i].get(name, 0.0))
 
+    def scan_short(each: np.ndarray, firsts: np.ndarray, hits: dict[int, dict[str, float]]) -> None:
+        for length, group in short.items():
+            value, cut = _grams(each, firsts, length)
+            for name, key in group:
+                for i in np.unique(np.searchsorted(cut, np.flatnonzero(value == key), "right") - 1):
+                    hits[int(i)][name] = 1.0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in text_blocks(batch.column("text"), 1 << 19):
-                value, cut = _grams(data, offsets, words)
+                each, firsts = _words(data, offsets)
+                value, cut = _grams(each, firsts, words)
                 hits: dict[int, dict[str, float]] = {i: {} for i in range(end - at)}
                 scan(value, cut, hits)
+                scan_short(each, firsts, hits)
                 names = pa.array([sorted(hits[i]) for i in range(end - at)], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), names, pa.array([max(h.values(), default=0.0) for h in hits.values()], pa.float64())], names=["doc_id", "licenses", "best"])
 

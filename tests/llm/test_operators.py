@@ -256,6 +256,15 @@ def test_license_scan(spark, none):
     assert (1 - 0.3) ** samples_needed(0.3, 1e-4) <= 1e-4 and license_scan(none).count() == 0
 
 
+def test_license_scan_finds_short_notices(spark):
+    notices = ["All rights reserved.", "x\nALL RIGHTS RESERVED", "", "all rights", "reserved. All", "rights reserved", "(c) all, rights; reserved! MIT", "all rights are reserved"]
+    found = license_scan(spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id for r in found if list(r.licenses) == ["All rights reserved"] and r.best == 1} == {0, 1, 6}
+    assert all(not r.licenses for r in found if r.doc_id not in (0, 1, 6))
+    one = license_scan(spark.createDataFrame([(1, "mit"), (2, "smith")], "doc_id long, text string"), {"one": "MIT"}).collect()
+    assert {r.doc_id: list(r.licenses) for r in one} == {1: ["one"], 2: []}
+
+
 def test_perplexity_paths_agree_and_probabilities_sum_to_one(spark, docs, none):
     trusted = docs.where("doc_id >= 9").select("doc_id")
     a, b = ({(r.doc_id, r.n_bytes): r for r in perplexity_filter(docs, trusted, order=3, broadcast_grams=n).collect()} for n in (10**6, 0))
