@@ -29,14 +29,13 @@ def words(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of its own where none is set (tests)."""
+    """The shared folder the cluster names. Where none is set, a local session (tests) gets a folder of its own; a cluster an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(found)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    if sc.getCheckpointDir() is None:
+        if not found and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -81,24 +80,6 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(lean, schema)
 
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        for k, b in enumerate((_BASE, _INV)):
-            x = np.full(size, np.uint64(b))
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -148,27 +129,68 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits for each word, from its bytes alone."""
+#: Masks of the lowest n bytes, and salts of the places of 8-byte pieces in a word (beyond them, made from the place).
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64 bits for each word, from its bytes alone: pieces of eight bytes are mixed with their places, summed, and mixed with the length.
+
+    Mixing is not linear, so words of a few letters in different orders don't meet as they do under polynomials
+    modulo 2**64. Hashes of different ``salt`` are independent of each other."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p, q = powers(len(data))
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTES[data] * p[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * q[starts])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray((len(data),), "<u8", buffer=padded, strides=(1,))  # the eight bytes from each byte on
+    sizes = ends - starts
+    pieces = (sizes + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    if len(first) == int(pieces.sum()):
+        place, begin, left = np.zeros(len(starts), np.uint64), starts, sizes
+    else:
+        word = np.repeat(np.arange(len(starts)), pieces)
+        place = (np.arange(len(word)) - first[word]).astype(np.uint64)
+        begin = starts[word] + 8 * place.astype(np.int64)
+        left = ends[word] - begin
+    value = at_byte[begin] & _LOW[np.minimum(left, 8)]
+    key = mix(np.array([salt], np.uint64) + _STEP)[0]
+    value = mix((value ^ key) + mix(place * _ODD + key))
+    total = value if len(value) == len(starts) else np.add.reduceat(value, first)
+    return mix(total ^ (sizes.astype(np.uint64) * _STEP + key))
+
+
+def prefix_bytes(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` bytes (16 at most) from each of ``starts``, as two integers of eight; they lie inside ``data``."""
+    at_byte = np.ndarray((len(data) + 8,), "<u8", buffer=np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
+    low = at_byte[starts] & _LOW[min(n, 8)]
+    return low, at_byte[starts + 8] & _LOW[n - 8] if n > 8 else np.zeros(len(starts), np.uint64)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two that follow each other."""
+    return mix(a * _ODD + (b ^ (b >> np.uint64(29))) * _STEP)
 
 
 def window_hashes(each: np.ndarray, length: int) -> np.ndarray:
-    """64 bits for each run of ``length`` hashes (runs that cross texts are the caller's to leave out)."""
+    """64 bits for each run of ``length`` hashes (runs that cross texts are the caller's to leave out), by doubling:
+    a run's hash is made of its halves', and of the binary digits of ``length`` the larger come first."""
     m = len(each) - length + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    p, q = powers(len(each))
-    total = np.empty(len(each) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(each * p[: len(each)], out=total[1:])
-    return mix((total[length:] - total[:m]) * q[:m])
+    out, at, have, size = None, 0, mix(each), 1
+    parts = []
+    while size <= length:
+        if length & size:
+            parts.append((size, have))
+        if size * 2 <= length:
+            have = _joined(have[: len(have) - size], have[size:])
+        size *= 2
+    for size, part in reversed(parts):
+        own = part[at : at + m]
+        out = own if out is None else _joined(out, own)
+        at += size
+    return mix(out ^ np.uint64(length))
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundswell.llm.common import documents, map_arrow, mix, settled, split_join, text_blocks, window_hashes, word_bounds, word_hashes
+from groundswell.llm.common import documents, map_arrow, settled, split_join, text_blocks, window_hashes, word_bounds, word_hashes
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 def ladder(length: int, levels: int) -> tuple[int, ...]:
@@ -129,7 +128,7 @@ def _windows(short: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, _, _, _, _, firsts, each, left in _blocks(batch):
+            for at, end, data, _, starts, ends, firsts, each, left in _blocks(batch):
                 _, least, _ = _sampled(each, left, short, length)
                 place = np.flatnonzero(_member(least, _known(batch, at, end)) & (least != _NONE))
                 if not len(place):
@@ -137,7 +136,8 @@ def _windows(short: int, length: int):
                 text = np.searchsorted(firsts, place, "right") - 1
                 take = pa.array(text + at)
                 high = window_hashes(each, length)[place]
-                check = (window_hashes(mix(each ^ _OTHER), length)[place] >> np.uint64(32)).astype(np.uint32)
+                other = word_hashes(data, starts, ends, salt=1)
+                check = (window_hashes(other, length)[place] >> np.uint64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(high.view(np.int64)), pa.array(check.view(np.int32)), batch.column("row").take(take), batch.column("single").take(take), pa.array((place - firsts[text]).astype(np.int32))],
                     names=["h", "c", "row", "single", "place"],
