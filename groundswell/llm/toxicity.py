@@ -10,102 +10,124 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundswell.llm.common import lower_ascii, map_arrow, mix, settled, text_blocks
-
-#: Hashed features, and the lengths in bytes of the strings they stand for.
-BUCKETS, GRAMS = 1 << 21, (4, 6)
+from groundswell.llm.common import lower_ascii, map_arrow, mix, prefix_bytes, settled, text_blocks, word_bounds, word_hashes
+
+#: Bytes of a word's beginning that are features, beside the whole word: compounds share their first part.
+PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)
+#: A feature counts apart if it occurs at least so often in a text: insults come in numbers, like beginnings by chance.
+OFTEN = (1, 2, 4)
+#: Places of the bitmap that is looked at before the table of features.
+_PLACES = 1 << 20
 #: The classifier is fitted on at most this many confirmed toxic texts and unlabelled texts, drawn by a hash of doc_id.
 POSITIVES, UNLABELLED = 3000, 9000
+#: Standard errors by which a feature has to be more frequent in toxic texts.
+LEAST_Z = 3.0
+#: The least share of the unlabelled texts with a feature that the class prior and the toxic texts with it account for.
+LEAST_PURITY = 0.5
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of each byte string of the lengths in GRAMS that lies inside one text.
-
-    Letters A-Z count as a-z and every run of bytes below the letters as spaces, so that words begin alike."""
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit feature, text) of the words of a block: each whole word and its beginnings. Words are runs of letters
+    (A-Z as a-z) and of bytes beyond ASCII; two features meet with a chance of 2**-64, so none is taken for another."""
     data = lower_ascii(data)
-    data = np.where(data < 65, np.uint8(32), data).astype(np.uint64)
-    buckets, texts = [], []
-    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    for n in GRAMS:
-        m = len(data) - n + 1
-        if m <= 0:
-            continue
-        code = np.full(m, np.uint64(n))
-        for k in range(n):
-            code = (code << np.uint64(8)) | data[k : k + m]
-        inside = of[:m] == of[n - 1 :]
-        buckets.append((mix(code[inside]) & np.uint64(BUCKETS - 1)).astype(np.int32))
-        texts.append(of[:m][inside])
-    return (np.concatenate(buckets), np.concatenate(texts)) if buckets else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    data = np.where(((data >= 97) & (data <= 122)) | (data >= 128), data, np.uint8(32))
+    starts, ends, firsts = word_bounds(data, offsets)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
+    found, of = [word_hashes(data, starts, ends, salt=2)], [text]
+    sizes = ends - starts
+    for n in PREFIXES:
+        long = np.flatnonzero(sizes >= n)
+        low, high = prefix_bytes(data, starts[long], n)
+        found.append(mix(mix(low + np.uint64(n)) + mix(high ^ np.uint64(n << 32))))
+        of.append(text[long])
+    return np.concatenate(found), np.concatenate(of)
+
+
+def _times(feature: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (feature, text) once and how often it occurs, in order of text."""
+    order = np.lexsort((feature, text))
+    feature, text = feature[order], text[order]
+    first = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (text[1:] != text[:-1]))[: len(feature)])
+    return feature[first], text[first], np.diff(np.append(first, len(feature)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many of a task's toxic and unlabelled texts each bucket is present."""
-    total = None
+    """In how many toxic and unlabelled texts of a block each feature occurs as often as each of OFTEN."""
     for batch in batches:
-        if total is None:
-            total = np.zeros((2, BUCKETS), np.int32)
         positive = np.asarray(batch.column("positive").to_numpy(zero_copy_only=False), bool)
-        for at, end, data, offsets in text_blocks(batch.column("text"), 1 << 19):
-            bucket, text = _grams(data, offsets)
-            both = np.unique(text.astype(np.int64) * BUCKETS + bucket)
-            of = positive[at:end][both // BUCKETS]
-            for side in (0, 1):
-                total[side] += np.bincount(both[of == bool(side)] % BUCKETS, minlength=BUCKETS).astype(np.int32)
-    if total is not None:
-        found = np.flatnonzero(total.any(axis=0))
-        for at in range(0, len(found), 1 << 16):
-            part = found[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[1][part]), pa.array(total[0][part])], names=["bucket", "p", "u"])
-
-
-def _present(chosen: np.ndarray):
-    """positive, and which of the chosen buckets (by place) each text has, as packed int32."""
+        for at, end, data, offsets in text_blocks(batch.column("text"), 1 << 21):
+            feature, text, times = _times(*_features(data, offsets))
+            of = positive[at:end][text]
+            for least in OFTEN:
+                ok = times >= least
+                found, index = np.unique(feature[ok], return_inverse=True)
+                p = np.bincount(index, of[ok], len(found)).astype(np.int32)
+                n = np.bincount(index, minlength=len(found)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), least, np.int32)), pa.array(p), pa.array(n - p)], names=["feature", "times", "p", "u"])
+
+
+def _places(chosen: np.ndarray):
+    """positive, and which of the chosen features (by place) each text has, as packed int32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(BUCKETS, -1, np.int32)
-        place[chosen] = np.arange(len(chosen))
+        look = _Lookup(chosen)
         for batch in batches:
             for at, end, data, offsets in text_blocks(batch.column("text"), 1 << 19):
-                bucket, text = _grams(data, offsets)
-                hit = place[bucket]
-                ok = hit >= 0
-                both = np.unique(text[ok].astype(np.int64) * BUCKETS + hit[ok])
-                cut = np.searchsorted(both, np.arange(end - at + 1, dtype=np.int64) * BUCKETS)
-                found = (both & (BUCKETS - 1)).astype(np.int32)
-                rows = [found[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                place, text = look.hits(*_features(data, offsets))
+                cut = np.searchsorted(text, np.arange(end - at + 1))
+                rows = [place[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("positive").slice(at, end - at), pa.array(rows, pa.binary())], names=["positive", "places"])
 
     return run
 
 
+class _Lookup:
+    """Places of (feature, times) in the table ``chosen``; a bitmap turns most others away."""
+
+    def __init__(self, chosen: np.ndarray) -> None:
+        self.known, index = np.unique(chosen["feature"], return_inverse=True)
+        self._place = {least: np.full(len(self.known), -1, np.int64) for least in OFTEN}
+        for least in OFTEN:
+            ok = np.flatnonzero(chosen["times"] == least)
+            self._place[least][index[ok]] = ok
+        self._maybe = np.zeros(_PLACES, bool)
+        self._maybe[(self.known & np.uint64(_PLACES - 1)).astype(np.int64)] = True
+
+    def hits(self, feature: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, text) of the chosen features that the texts have, in order of text."""
+        near = np.flatnonzero(self._maybe[(feature & np.uint64(_PLACES - 1)).astype(np.int64)])
+        feature, text = feature[near], text[near]
+        if not len(feature):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.known, feature), len(self.known) - 1)
+        ok = self.known[at] == feature
+        both, times = np.unique(text[ok] * len(self.known) + at[ok], return_counts=True)
+        at, text = both % len(self.known), both // len(self.known)
+        place = np.stack([np.where(times >= least, self._place[least][at], -1) for least in OFTEN], 1).ravel()
+        text = np.repeat(text, len(OFTEN))
+        return place[place >= 0], text[place >= 0]
+
+
 @dataclass(frozen=True)
 class Model:
-    """A linear classifier over the presence of hashed byte strings; weights are zero but for ``chosen``."""
+    """A linear classifier over the ``chosen`` (feature, times): whether a text has a feature so often."""
 
     chosen: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def table(self) -> np.ndarray:
-        out = np.zeros(BUCKETS, np.float32)
-        out[self.chosen] = self.weights
-        return out
-
-    def scores(self, column: pa.Array, table: np.ndarray) -> np.ndarray:
+    def scores(self, column: pa.Array, look: _Lookup) -> np.ndarray:
         """The probability of toxicity of each text; a text without features gets the bias alone."""
         out = np.empty(len(column))
         for at, end, data, offsets in text_blocks(column, 1 << 19):
-            bucket, text = _grams(data, offsets)
-            hit = np.flatnonzero(table[bucket])
-            both = np.unique(text[hit].astype(np.int64) * BUCKETS + bucket[hit])
-            total = np.bincount(both // BUCKETS, weights=table[both % BUCKETS], minlength=end - at) + self.bias
+            place, text = look.hits(*_features(data, offsets))
+            total = np.bincount(text, self.weights[place], end - at) + self.bias
             out[at:end] = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
         return out
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float, *, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """A logistic classifier of least non-negative positive-unlabelled risk, on presences of the ``chosen`` buckets.
+    """A logistic classifier of least non-negative positive-unlabelled risk, on presences of the ``chosen`` features.
 
     Each text comes as the places in ``chosen`` that it has. The risk is
     ``prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)])`` with the logistic loss l: unlabelled texts stand for
@@ -116,7 +138,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: n
     bias = float(np.log(prior / (1 - prior)))
     n_p, n_u = len(positive), len(unlabelled)
     if not n_p or not n_u:
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), bias)
+        return Model(chosen[:0], np.zeros(0), bias)
 
     def matrix(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([*texts, np.zeros(0, np.int32)]).astype(np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
@@ -140,7 +162,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: n
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         move = rate * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.999**steps)) + 1e-8)
         w, b = w - move[:-1], b - float(move[-1])
-    return Model(chosen, w.astype(np.float32), b)
+    return Model(chosen, w, b)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -152,8 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unl
     """A model from ``labels`` (doc_id, toxic) and texts of ``docs``, on bounded samples drawn by a hash of doc_id.
 
     Positives are rows labelled 1 that aren't held out; the unlabelled sample is drawn from all documents that
-    aren't held out, without a look at labels. Features are the ``keep`` whose presence in toxic texts exceeds that in
-    unlabelled ones by most standard errors, counted where the texts lie; the driver gets those alone. The class prior is the share of 1 among the labels learnt from.
+    aren't held out, without a look at labels. Of rows that share a doc_id the least text counts, once: at most
+    ``positives`` and ``unlabelled`` texts are read, however often ids repeat. Features are the ``keep`` whose presence
+    in toxic texts exceeds that in unlabelled ones by most standard errors (over LEAST_Z), of those that are pure: by
+    Bayes' rule, prior * p / u of the texts with the feature are toxic. They are counted where the texts lie; the driver
+    gets those alone. The class prior is the share of 1 among the labels learnt from.
     """
     order = lambda c: F.md5(F.concat(F.lit("sample:"), F.col(c).cast("string")).cast("binary"))
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -163,13 +188,18 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unl
     some = known.where("toxic = 1").select("doc_id").distinct().orderBy(order("doc_id")).limit(positives).withColumn("positive", F.lit(True))
     rest = texts.select("doc_id").distinct().orderBy(order("doc_id")).limit(unlabelled).withColumn("positive", F.lit(False))
     picked = settled(some.unionByName(rest))  # at most positives + unlabelled rows of a few bytes, so it may be broadcast
-    rows = texts.join(F.broadcast(picked), "doc_id").select("positive", "text")
-    n_p, n_u = (F.lit(float(max(1, picked.where(side).count()))) for side in ("positive", "NOT positive"))
-    counts = map_arrow(rows, _counted, "bucket int, p int, u int").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p >= 3")
+    ids = picked.groupBy("doc_id").agg(F.collect_list("positive").alias("as"))
+    rows = settled(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "as").agg(F.min("text").alias("text")).select(F.explode("as").alias("positive"), "text"))
+    sizes = {r["positive"]: r["count"] for r in rows.groupBy("positive").count().collect()}
+    n_p, n_u = (F.lit(float(max(1, sizes.get(side, 0)))) for side in (True, False))
+    counts = map_arrow(rows, _counted, "feature long, times int, p int, u int").groupBy("feature", "times").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p >= 3")
     p, u = F.col("p") / n_p, F.col("u") / n_u
     z = (p - u) / F.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u + 1 / (n_p * n_p) + 1 / (n_u * n_u))
-    chosen = np.sort(np.array([r["bucket"] for r in counts.select("bucket", z.alias("z")).where("z > 4").orderBy(F.desc("z"), "bucket").limit(keep).collect()], np.int64))
-    found = map_arrow(rows, _present(chosen), "positive boolean, places binary").collect()
+    pure = F.lit(prior) * p / (u + 1 / n_u) >= LEAST_PURITY
+    best = counts.where(pure).select("feature", "times", z.alias("z")).where(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "feature", "times").limit(keep)
+    chosen = np.array(sorted((r["feature"], r["times"]) for r in best.collect()), [("feature", np.int64), ("times", np.int32)])
+    chosen = chosen.astype([("feature", np.uint64), ("times", np.int32)])
+    found = map_arrow(rows, _places(chosen), "positive boolean, places binary").collect()
     split = {side: [np.frombuffer(r["places"], np.int32) for r in found if r["positive"] is side] for side in (True, False)}
     return fit_nnpu(split[True], split[False], chosen, prior)
 
@@ -185,9 +215,9 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, keep: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        table = own.table()
+        look = _Lookup(own.chosen)
         for batch in batches:
-            found = own.scores(batch.column(batch.num_columns - 1), table)
+            found = own.scores(batch.column(batch.num_columns - 1), look)
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=names)
 
