@@ -8,7 +8,8 @@ from pyspark.sql import Window
 
 from groundswell.llm.common import settled, split_join, words
 
-#: Rows of a source's (size, part) group that share a window: a hash of doc_id deals them out.
+#: Rows of one source and size are dealt out by a hash to so many parts, and each of these to 256 by two other digits
+#: of it; rows of a part share a window.
 PARTS = 64
 #: Sources that may be broadcast: some 100 bytes each.
 BROADCAST_SOURCES = 100_000
@@ -51,15 +52,16 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), share:
 
     Sums need only ranks, found in three steps (sizes of a source, parts of a size, rows of a part), so that no
     task holds a source. Null text: size 0. Null source: a source of its own, last. Rows that repeat a doc_id rank
-    next to each other. A source without words, and so without a target, is not taken. An empty table: no rows.
+    next to each other, in order of a hash of their texts; rows without one are ordered and dealt out by that hash.
+    Only rows that agree in doc_id and text are in any order among themselves. A source without words, and so without a target, is not taken. An empty table: no rows.
     """
     known = {"doc_id", "source"}
     extra = [c for c in carry if c not in known]
-    rows = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"), *extra))
+    rows = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), *extra))
     # Nulls as keys: joins below compare (is null, value).
     key = F.coalesce(F.col("source"), F.lit("")).alias("_s")
-    rows = rows.select("*", key, F.col("source").isNull().alias("_n"), F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary")).alias("_h"))
-    rows = rows.withColumn("_part", (F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % PARTS).cast("int"))
+    rows = rows.select("*", key, F.col("source").isNull().alias("_n"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("_t").cast("string")))).cast("binary")).alias("_h"))
+    rows = rows.withColumn("_part", F.struct((F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % PARTS).cast("int").alias("of_64"), F.substring("_h", 1, 2).alias("of_256")))
     parts = settled(rows.groupBy("_s", "_n", "size", "_part").agg(F.count(F.lit(1)).alias("n")))
     by_size = parts.groupBy("_s", "_n", "size").agg(F.sum("n").alias("n"))
     earlier = lambda keys, by: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -70,7 +72,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), share:
     goal = goal.select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.withColumn("rate", rate).withColumn("offset", _unit(F.concat(F.col("_n").cast("string"), F.lit(":"), F.col("_s")), f"{seed}:offset"))
-    within = F.row_number().over(Window.partitionBy("_s", "_n", "size", "_part").orderBy("_h", "doc_id")) - 1
+    within = F.row_number().over(Window.partitionBy("_s", "_n", "size", "_part").orderBy("_h", "doc_id", "_t")) - 1
     ranked = rows.withColumn("_within", within).join(first, ["_s", "_n", "size", "_part"]).withColumn("rank", F.col("before") + F.col("_within"))
     goal = settled(goal)
     few = goal.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES

@@ -18,14 +18,14 @@ class Tree:
     regions: tuple[tuple[tuple[float, ...], ...], ...]
 
     @classmethod
-    def of(cls, shards: int, *, founded: int = 24, per_rack: int = 4, racks: int = 3) -> Tree:
-        """The tree for a shard count. The first ``founded`` shards fill regions of ``racks`` racks; each later
-        shard founds a region of its own, so that growing by one changes no weight in an older subtree."""
-        if shards < 1:
-            raise ValueError("a tree needs a shard")
-        first = min(shards, founded)
-        flat = [1.0] * first
-        rack_list = [tuple(flat[i : i + per_rack]) for i in range(0, first, per_rack)]
+    def of(cls, shards: int, *, founded: int | None = None, per_rack: int = 4, racks: int = 3) -> Tree:
+        """The tree of ``shards`` shards, founded with ``founded`` of them (all, if not said), which fill regions of
+        ``racks`` racks; each later shard founds a region of its own, so that growing by one changes no weight in
+        an older subtree, and keys move only into the new shard."""
+        first = shards if founded is None else founded
+        if not 1 <= first <= shards:
+            raise ValueError("a tree is founded with a shard at least, and grows")
+        rack_list = [(1.0,) * len(range(i, min(first, i + per_rack))) for i in range(0, first, per_rack)]
         regions = [tuple(rack_list[i : i + racks]) for i in range(0, len(rack_list), racks)]
         return cls((*regions, *((((1.0,),),) * (shards - first))))
 
@@ -73,27 +73,30 @@ def place(key: Column, tree: Tree) -> Column:
     return _choose(key, "shard", _literal(shard_ids, "int")[rack], _literal(shard_weights, "double")[rack])
 
 
-def shard_documents(docs: DataFrame, *, shards: int = 24, buckets: int = 1024) -> DataFrame:
+def shard_documents(docs: DataFrame, *, shards: int = 24, founded: int | None = None, buckets: int = 1024) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 8), text_crc32, law 'key', shard, slot, grown_shard for every row.
 
-    ``shard`` is the row's place among ``shards`` and ``grown_shard`` among one more: it differs from ``shard``
-    only where it is the new one. ``slot`` numbers a shard's rows from 0 without gaps, in order of (bucket, doc_id,
-    text_crc32, size), where the bucket is a hash of doc_id; no task handles a whole shard. The numbering reads
-    counts of (shard, bucket) first, at most ``shards * buckets`` rows whatever the input.
+    ``shard`` is the row's place in a tree of ``shards`` shards, founded with ``founded`` of them (all, if not said), and
+    ``grown_shard`` in the same tree grown by one: it differs from ``shard`` only where it is the new one, for any
+    number of shards. ``slot`` numbers a shard's rows from 0 without gaps, in order of (bucket, doc_id, text_crc32,
+    size), where the bucket is a hash of doc_id and text: rows that share an id, or have none, are spread over all
+    buckets unless their texts are equal, too. The numbering reads counts of (shard, bucket) first, at most
+    ``shards * buckets`` rows whatever the input.
 
     A null text counts as empty. Null doc_ids share one shard, as the key alone decides. Repeated rows get slots of
-    their own, in any order among themselves. An empty table gives an empty result.
+    their own, in any order among themselves. An empty table gives an empty result. Other columns are not read.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     text = text_or_empty("text")
-    digest = F.md5(F.concat_ws(":", key, F.lit("bucket")).cast("binary"))
+    digest = F.md5(F.concat_ws(":", key, F.md5(text.cast("binary")), F.lit("bucket")).cast("binary"))
     bucket = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).cast("int")
+    first = shards if founded is None else founded
     placed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        place(key, Tree.of(shards)).alias("shard"),
-        place(key, Tree.of(shards + 1)).alias("grown_shard"),
+        place(key, Tree.of(shards, founded=first)).alias("shard"),
+        place(key, Tree.of(shards + 1, founded=first)).alias("grown_shard"),
         bucket.alias("bucket"),
     )
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
