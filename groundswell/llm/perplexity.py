@@ -1,83 +1,80 @@
-"""Quality by perplexity under interpolated modified Kneser-Ney models of trusted text: words after words, spelled by bytes."""
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of the bytes of trusted text."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundswell.llm.common import map_arrow, settled, split_join, text_blocks, window_hashes, word_bounds, word_hashes
+from groundswell.llm.common import map_arrow, settled, split_join, text_blocks, word_bounds
 
-#: Rows of the model (24 bytes) that are sent to every worker; beyond, words are scored by joins.
-BROADCAST_GRAMS = 4_000_000
+#: Rows of the model (24 bytes) in a shard: one shard at a time is sent to the workers that meet it with texts.
+SHARD_ROWS = 4_000_000
 #: Trusted documents' ids that may be broadcast.
 BROADCAST_IDS = 1_000_000
-#: Words that a worker counts or remembers before it starts anew.
-REMEMBERED = 300_000
+#: Distinct grams that a worker counts before it hands them on.
+REMEMBERED = 2_000_000
+#: One in so many trusted documents is kept out of the model and gives the thresholds.
+FOLDS = 10
+#: Stands before each text: a white-space byte, which never occurs inside a cleaned text.
+_BEGIN = 10
+#: A key is a gram's bytes as an integer, and above them its length.
+_TAG = 56
 
 
-def _split(text: str | None) -> list[bytes]:
-    return text.encode().split() if text else []
+def _key(gram: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    return gram | (np.int64(size) << np.int64(_TAG) if isinstance(size, int) else size << np.int64(_TAG))
 
 
-def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flushed(c: Counter) -> Iterator[pa.RecordBatch]:
-        found = list(c.items())
-        for at in range(0, len(found), 50_000):
-            part = found[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
+def _sequences(column: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, key of the longest gram of up to ``order`` bytes that ends at each byte, text of each byte, bytes of each text) of blocks.
 
-    seen: Counter = Counter()
-    for batch in batches:
-        for text in batch.column("text"):
-            seen.update(_split(text.as_py()))
-            if len(seen) > REMEMBERED:
-                yield from flushed(seen)
-                seen = Counter()
-    yield from flushed(seen)
-
-
-def _codes(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, length, word) of the longest gram, up to ``order`` bytes, that ends at each byte of ' word ' after the first.
-
-    Grams are the bytes packed into an integer; they never reach over the space before a word."""
-    data = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8).astype(np.int64)
-    sizes = np.array([len(w) + 2 for w in words], np.int64)
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    code = data.copy()
-    for k in range(1, order):
-        older = np.zeros(len(data), np.int64)
-        older[k:] = data[:-k] << (8 * k)
-        code += np.where(place >= k, older, 0)
-    ends = place > 0
-    return code[ends], np.minimum(place[ends] + 1, order), word[ends]
-
-
-def _counted_grams(order: int):
-    """(length, gram, count) of the grams of ``order`` bytes and the shorter ones at the start of words, summed over a batch.
-
-    The other shorter ones follow from these: each is the end of a longer one."""
+    A text is its words, each followed by one space, after a mark that no gram reaches over."""
+    for at, end, data, offsets in text_blocks(column, 1 << 21):
+        starts, ends, firsts = word_bounds(data, offsets)
+        sizes, words = ends - starts, np.diff(firsts)
+        text = np.repeat(np.arange(end - at), words)
+        begun = np.cumsum(words > 0)  # marks up to each text
+        out_at = np.cumsum(sizes + 1) - (sizes + 1) + begun[text]
+        n_bytes = np.bincount(text, sizes + 1, end - at).astype(np.int64)
+        total = int(n_bytes.sum()) + int(begun[-1] if len(begun) else 0)
+        line = np.full(total, 32, np.int64)
+        of_byte = np.repeat(np.arange(len(starts)), sizes)
+        within = np.arange(len(of_byte)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        line[out_at[of_byte] + within] = data[starts[of_byte] + within]
+        full = np.flatnonzero(words)
+        marks = (np.cumsum(n_bytes[full] + 1) - (n_bytes[full] + 1)).astype(np.int64)
+        line[marks] = _BEGIN
+        place = np.arange(total) - np.repeat(marks, n_bytes[full] + 1)
+        gram = line.copy()
+        for k in range(1, order):
+            gram[k:] += np.where(place[k:] >= k, line[:-k] << np.int64(8 * k), 0)
+        seen = place > 0
+        yield at, end, _key(gram[seen], np.minimum(place[seen] + 1, order)), np.repeat(full, n_bytes[full]), n_bytes
+
+
+def _counted(order: int):
+    """(key, n) of the longest grams that end at each byte, counted until a worker holds too many."""
+
+    def rows(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(keys), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 17)]), pa.array(counts[lo : lo + (1 << 17)])], names=["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 100_000):
-                part = batch.slice(at, 100_000)
-                words = part.column("word").to_pylist()
-                n = np.asarray(part.column("n").to_numpy(zero_copy_only=False), np.int64)
-                if not words:
-                    continue
-                code, size, word = _codes(words, order)
-                for k in range(2, order + 1):
-                    ok = size == k
-                    found, index = np.unique(code[ok], return_inverse=True)
-                    total = np.bincount(index, weights=n[word[ok]], minlength=len(found)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int32)), pa.array(found), pa.array(total)], names=["k", "gram", "n"])
+            for _, _, key, _, _ in _sequences(batch.column("text"), order):
+                found, n = np.unique(key, return_counts=True)
+                merged, index = np.unique(np.concatenate([keys, found]), return_inverse=True)
+                counts = np.bincount(index, np.concatenate([counts, n]), len(merged)).astype(np.int64)
+                keys = merged
+                if len(keys) > REMEMBERED:
+                    yield from rows(keys, counts)
+                    keys, counts = keys[:0], counts[:0]
+        yield from rows(keys, counts)
 
     return run
 
@@ -91,306 +88,130 @@ def _discount(counted: DataFrame) -> Column:
     return F.when(F.col("n") == 1, discounts[0]).when(F.col("n") == 2, discounts[1]).otherwise(discounts[2])
 
 
-def model(words: DataFrame, *, order: int = 5) -> DataFrame:
-    """(k, gram, p, g): interpolated probability of each gram's last byte, and the back-off weight of it as a context.
+def _bytes(gram: Column | str, n: int) -> Column:
+    """The last ``n`` bytes of a gram."""
+    return (F.col(gram) if isinstance(gram, str) else gram).bitwiseAND(F.lit((1 << (8 * n)) - 1))
+
+
+def _keyed(gram: Column, size: int) -> Column:
+    return gram.bitwiseOR(F.lit(size << _TAG)).alias("key")
+
 
-    ``words`` (word, n) are counted trusted words. Grams of the highest order and those at the start of a word have
-    their counts, others the number of bytes they follow (modified Kneser-Ney); each order has three discounts from
-    its counts of counts. Every step is a grouping or an equi-join by gram.
+def model(texts: DataFrame, *, order: int = 6) -> DataFrame:
+    """(key, p, gain, weight) of the grams of up to ``order`` bytes in ``texts`` (text), by sharded counts and joins.
+
+    Interpolated modified Kneser-Ney over the uniform distribution of bytes: grams of the highest order and those
+    at the start of a text have their counts, others the number of bytes they follow; each order has three discounts
+    from its counts of counts. ``weight`` is the log of a context's back-off weight and ``gain`` the log of a gram's
+    probability less that of its context's weight and that of the gram without its first byte. A gram that is known
+    has known ends and contexts, so the log probability of a byte is that of the uniform distribution, and for each
+    order the weight of its context and its gain, nothing where they are unknown. Sums over grams thus may be taken
+    shard by shard, in any order.
     """
-    # The table of words is small beside the texts: few tasks, so that each gram is counted in few of them.
-    parts = max(1, -(-words.count() // 50_000))
-    words = words.coalesce(parts)
-    raw = settled(map_arrow(words, _counted_grams(order), "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).coalesce(parts))
-    counts = {order: raw.where(F.col("k") == order).select("gram", "n")}
+    raw = settled(map_arrow(texts.select("text"), _counted(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    # The tables of grams are small beside the texts: few tasks, and each gram in one of them.
+    parts = max(1, -(-raw.count() // 250_000))
+    of = lambda k: raw.where(F.shiftright("key", _TAG) == k).select(_bytes("key", k).alias("gram"), "n")
+    counts = {order: of(order)}
     for k in range(order - 1, 0, -1):
-        after = counts[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        counts[k] = settled(raw.where(F.col("k") == k).select("gram", "n").unionByName(after).coalesce(parts))
+        after = counts[k + 1].groupBy(_bytes("gram", k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        counts[k] = settled(of(k).unionByName(after).coalesce(parts))
+    nothing = F.lit(None).cast("double")
     out, lower = None, None
     for k in range(1, order + 1):
-        mine = counts[k]
-        cut = _discount(mine)
-        context = F.shiftright("gram", 8) if k > 1 else F.lit(0).cast("long")
-        rows = mine.withColumn("context", context).withColumn("cut", cut)
+        rows = counts[k].withColumn("cut", _discount(counts[k])).withColumn("context", F.shiftright("gram", 8) if k > 1 else F.lit(0).cast("long"))
         sums = settled(rows.groupBy("context").agg(F.sum("n").cast("double").alias("total"), F.sum("cut").alias("freed")).coalesce(parts))
-        rows = split_join(rows, sums, ["context"]).coalesce(parts)
+        rows = split_join(rows, sums, ["context"])
         if lower is None:
             rows = rows.withColumn("below", F.lit(1 / 256))
         else:
-            rows = split_join(rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1))), lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), ["suffix"])
-        rows = settled(rows.coalesce(parts).select("gram", ((F.col("n") - F.col("cut") + F.col("freed") * F.col("below")) / F.col("total")).alias("p")))
-        weights = sums.select(F.lit(k - 1).alias("k"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), (F.col("freed") / F.col("total")).alias("g"))
-        part = rows.select(F.lit(k).alias("k"), "gram", "p", F.lit(None).cast("double").alias("g")).unionByName(weights)
-        out, lower = part if out is None else out.unionByName(part), rows
-    return settled(out.groupBy("k", "gram").agg(F.max("p").alias("p"), F.max("g").alias("g")).coalesce(parts))
-
-
-@dataclass
-class Tables:
-    """The model as sorted arrays by gram length; ``known`` remembers words."""
-
-    grams: list[np.ndarray]
-    p: list[np.ndarray]
-    g: list[np.ndarray]
-
-    def word_bits(self, words: list[bytes]) -> np.ndarray:
-        """Minus the log of each word's probability: of its bytes and the space after it."""
-        order = len(self.grams) - 1
-        code, size, word = _codes(words, order)
-        found = np.zeros(len(code))
-        scale = np.ones(len(code))
-        open_ = np.ones(len(code), bool)
-        for k in range(order, 0, -1):
-            at = np.flatnonzero(open_ & (size >= k))
-            if len(at):
-                own, hit = self._find(k, code[at] & ((1 << (8 * k)) - 1))
-                good = hit & ~np.isnan(self.p[k][own]) if len(self.p[k]) else hit
-                found[at[good]] = scale[at[good]] * self.p[k][own[good]]
-                open_[at[good]] = False
-                rest = at[~good]
-                own, hit = self._find(k - 1, (code[rest] >> 8) & ((1 << (8 * (k - 1))) - 1))
-                if len(self.g[k - 1]):
-                    factor = np.where(hit, self.g[k - 1][own], 1.0)
-                    scale[rest] *= np.where(np.isnan(factor), 1.0, factor)
-        found[open_] = scale[open_] / 256
-        return np.bincount(word, -np.log(found), len(words))
-
-    def _find(self, k: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = self.grams[k]
-        if not len(keys):
-            return np.zeros(len(gram), np.int64), np.zeros(len(gram), bool)
-        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-        return at, keys[at] == gram
-
-
-def _scores_here(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
-    """Per-document sums with the whole model in every worker."""
-    parts = []
-    for k in range(order + 1):
-        t = rows.where(F.col("k") == k).select("gram", "p", "g").toArrow()
-        keys = t["gram"].to_numpy()
-        by = np.argsort(keys, kind="stable")
-        parts.append((keys[by], *(t[c].cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)[by] for c in ("p", "g"))))
-    shared = docs.sparkSession.sparkContext.broadcast(Tables(*(list(x) for x in zip(*parts, strict=True))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, known = shared.value, {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [_split(t.as_py()) for t in part.column("text")]
-                fresh = list({w for t in texts for w in t if w not in known})
-                if len(known) + len(fresh) > REMEMBERED:
-                    known = {}
-                    fresh = list({w for t in texts for w in t})
-                if fresh:
-                    known.update(zip(fresh, tables.word_bits(fresh).tolist(), strict=True))
-                sums = [sum([known[w] for w in t]) for t in texts]
-                sizes = [sum(map(len, t)) + len(t) for t in texts]
-                own = [part.column(c) for c in ("doc_id", "lang", "trusted", "text_key")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(sums, pa.float64()), pa.array(sizes, pa.int64()), pa.array(list(map(len, texts)), pa.int64())], names=["doc_id", "lang", "trusted", "text_key", "bits", "n_bytes", "n_words"])
-
-    return map_arrow(docs, run, "doc_id long, lang string, trusted boolean, text_key long, bits double, n_bytes long, n_words long")
-
-
-def _scores_by_joins(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
-    """The same sums where the model is too large to send: distinct words meet the model shard by shard, then documents."""
-    text_words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    spread = docs.select("doc_id", "lang", "trusted", "text_key", F.posexplode_outer(text_words).alias("pos", "w"))
-    begins = (F.coalesce("pos", F.lit(0)) == 0).cast("long")  # once for each row of a text
-    per = spread.groupBy("doc_id", "lang", "trusted", "text_key", "w").agg(F.count(F.lit(1)).alias("n"), F.sum(begins).alias("begins"))
-    vocabulary = per.where("w IS NOT NULL").select("w").distinct()
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column("w").to_pylist()
-            code, size, word = _codes([w.encode() for w in found], order)
-            yield pa.RecordBatch.from_arrays([batch.column("w").take(pa.array(word)), pa.array(np.arange(len(code))), pa.array(code), pa.array(size.astype(np.int32))], names=["w", "place", "code", "size"])
-
-    each = map_arrow(vocabulary, grams, "w string, place long, code long, size int").withColumns({"found": F.lit(None).cast("double"), "scale": F.lit(1.0)})
-    for k in range(order, 0, -1):
-        probability = rows.where(F.col("k") == k).select(F.col("gram").alias("_g"), F.col("p").alias("_p"))
-        weight = rows.where(F.col("k") == k - 1).select(F.col("gram").alias("_c"), F.col("g").alias("_w"))
-        each = each.withColumn("_g", F.when(F.col("found").isNull() & (F.col("size") >= k), F.col("code").bitwiseAND(F.lit((1 << (8 * k)) - 1))))
-        each = split_join(each, probability, ["_g"], "left")
-        each = each.withColumn("_c", F.when(F.col("_g").isNotNull() & F.col("_p").isNull(), F.shiftright("_g", 8)))
-        each = split_join(each, weight, ["_c"], "left")
-        each = each.withColumn("found", F.coalesce("found", F.col("scale") * F.col("_p"))).withColumn("scale", F.col("scale") * F.coalesce("_w", F.lit(1.0))).select("w", "place", "code", "size", "found", "scale")
-    bits = each.groupBy("w").agg(F.sum(-F.log(F.coalesce("found", F.col("scale") / 256))).alias("bits"))
-    scored = split_join(per, bits, ["w"], "left")
-    sums = scored.groupBy("doc_id", "lang", "trusted", "text_key").agg(F.sum("begins").alias("copies"), F.coalesce(F.sum(F.col("n") * F.col("bits")), F.lit(0.0)).alias("bits"), F.coalesce(F.sum(F.col("n") * (F.octet_length("w") + 1)), F.lit(0)).alias("n_bytes"), F.sum(F.when(F.col("w").isNotNull(), F.col("n")).otherwise(0)).alias("n_words"))
-    each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    size = lambda c: (F.col(c) / F.col("copies")).cast("long").alias(c)
-    return sums.select("doc_id", "lang", "trusted", "text_key", (F.col("bits") / F.col("copies")).alias("bits"), size("n_bytes"), size("n_words"), each.alias("_copy")).drop("_copy")
-
-
-#: Stands before the first word of each text.
-_BEGIN = np.uint64(0x9D39247E33776D41)
-
-
-def _sequences(column: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(first row, text of each place, place in its text, keys of the runs of 1 to ``order`` that end at each place) of blocks.
-
-    A place is a word or, at 0, the mark before a text's words. Keys of runs that reach over that mark mean nothing."""
-    for at, end, data, offsets in text_blocks(column):
-        starts, ends, firsts = word_bounds(data, offsets)
-        sizes = np.diff(firsts) + 1
-        text = np.repeat(np.arange(end - at), sizes)
-        place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        each = np.full(len(text), _BEGIN)
-        each[place > 0] = word_hashes(data, starts, ends)
-        keys = [each]
-        for k in range(2, order + 1):
-            runs = window_hashes(each, k)
-            keys.append(np.concatenate([np.zeros(len(each) - len(runs), np.uint64), runs]))
-        yield at, text, place, keys
-
-
-def _longest_runs(order: int):
-    """For each word the longest run of up to ``order`` that ends at it, with the keys of its ends (e1, e2, ..) and of its contexts' (c1, ..)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = batch.column("text_key").to_numpy(zero_copy_only=False)
-            for at, text, place, keys in _sequences(batch.column("text"), order):
-                word = np.flatnonzero(place > 0)
-                size = np.minimum(place[word] + 1, order)
-                columns = [pa.array(size.astype(np.int32)), pa.array(of[at + text[word]])]
-                columns += [pa.array(key[word].view(np.int64), mask=size < k) for k, key in enumerate(keys, 1)]
-                columns += [pa.array(key[word - 1].view(np.int64), mask=size <= k) for k, key in enumerate(keys[:-1], 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "text_key", *[f"e{k}" for k in range(1, order + 1)], *[f"c{k}" for k in range(1, order)]])
-
-    return run
-
-
-def _runs_of_texts(order: int):
-    """A row for each text and run of 1 to ``order``: how often it ends at a word (n), and how often a word follows it (m; shorter runs)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = batch.column("text_key").to_numpy(zero_copy_only=False)
-            trusted = batch.column("trusted").to_numpy(zero_copy_only=False)
-            for at, text, place, keys in _sequences(batch.column("text"), order):
-                followed = np.append(text[1:] == text[:-1], False)[: len(text)]
-                for k, key in enumerate(keys, 1):
-                    own = np.flatnonzero((place >= k - 1) & ((place > 0) | followed))
-                    order_ = own[np.lexsort((key[own], text[own]))]
-                    if not len(order_):
-                        continue
-                    g, t = key[order_], text[order_]
-                    first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (t[1:] != t[:-1])))
-                    n = np.add.reduceat((place[order_] > 0).astype(np.int32), first)
-                    m = np.add.reduceat((followed[order_] & (k < order)).astype(np.int32), first)
-                    rows = at + t[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(of[rows]), pa.array(trusted[rows].astype(bool)), pa.array(g[first].view(np.int64)), pa.array(n, pa.int32()), pa.array(m, pa.int32())], names=["text_key", "trusted", "gram", "n", "m"])
+            rows = split_join(rows.withColumn("suffix", _bytes("gram", k - 1)), lower, ["suffix"])
+        p = (F.col("n") - F.col("cut") + F.col("freed") * F.col("below")) / F.col("total")
+        rows = settled(rows.select("gram", p.alias("p"), (F.log(p) - F.log(F.col("freed") / F.col("total")) - F.log("below")).alias("gain")).coalesce(parts))
+        weights = sums.select(_keyed(F.col("context"), k - 1), nothing.alias("p"), nothing.alias("gain"), F.log(F.col("freed") / F.col("total")).alias("weight"))
+        part = rows.select(_keyed(F.col("gram"), k), "p", "gain", nothing.alias("weight")).unionByName(weights)
+        out, lower = part if out is None else out.unionByName(part), rows.select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
+    return settled(out.groupBy("key").agg(*[F.max(c).alias(c) for c in ("p", "gain", "weight")]).coalesce(parts))
 
-    return run
 
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of the wanted keys, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0.0)
 
-def word_model(texts: DataFrame, spelled: DataFrame, *, order: int = 3) -> tuple[DataFrame, float]:
-    """(gram, gain, gain_only, weight, weight_only) of runs of up to ``order`` words in ``texts`` (text_key, text), and the log weight of spelling.
 
-    Interpolated modified Kneser-Ney; below single words lies their spelling, ``spelled`` (e1, bits). With p and b a
-    run's probability and the back-off weight of its context, gain is log p less log b less log p of the run without
-    its first word; weight is the log of its own back-off weight. A run that is known has known ends and contexts, so
-    the log probability of a text is the sum of all its runs' gains and its contexts' weights over that of spelling.
-    The _only columns name the text that alone holds the run (as a context). Keys are 64 bits of hash.
-    """
-    keys = [*[f"e{k}" for k in range(1, order + 1)], *[f"c{k}" for k in range(1, order)]]
-    schema = ", ".join(["k int", "text_key long", *[f"{c} long" for c in keys]])
-    held = [F.min("text_key").alias("lo"), F.max("text_key").alias("hi")]
-    raw = settled(map_arrow(texts, _longest_runs(order), schema).groupBy("k", *keys).agg(F.count(F.lit(1)).alias("n"), *held))
-    again = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    counts = {order: raw.where(F.col("k") == order).drop("k")}
-    for k in range(order - 1, 0, -1):
-        mine = [*[f"e{j}" for j in range(1, k + 1)], *[f"c{j}" for j in range(1, k)]]
-        after = counts[k + 1].groupBy(*mine).agg(F.count(F.lit(1)).alias("n"), *again)
-        begun = raw.where(F.col("k") == k).select(*mine, "n", "lo", "hi")
-        counts[k] = settled(after.unionByName(begun) if k > 1 else after)
-    only = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
-    nothing = F.lit(None).cast("double")
-    out, lower, spelling = None, spelled.select(F.col("e1").alias("_end"), F.exp(-F.col("bits")).alias("below"), (-F.col("bits")).alias("log_below")), 0.0
+def _log_p(key: np.ndarray, order: int, keys: np.ndarray, gain: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """What a shard of the model adds to the log probability of the last byte of each gram."""
+    size, gram = key >> np.int64(_TAG), key & np.int64((1 << _TAG) - 1)
+    out = np.zeros(len(key))
     for k in range(1, order + 1):
-        rows = counts[k].withColumn("cut", _discount(counts[k])).withColumn("context", F.col(f"c{k - 1}") if k > 1 else F.lit(0).cast("long"))
-        sums = rows.groupBy("context").agg(F.sum("n").cast("double").alias("total"), F.sum("cut").alias("freed"), *again)
-        sums = settled(sums)
-        if k == 1:
-            one = sums.first()
-            if one is not None:
-                spelling = float(np.log(one["freed"] / one["total"]))
-            rows = rows.crossJoin(F.broadcast(sums.select("total", "freed")))
-        else:
-            rows = split_join(rows, sums.select("context", "total", "freed"), ["context"])
-        rows = split_join(rows.withColumn("_end", F.col(f"e{max(1, k - 1)}")), lower, ["_end"])
-        p = (F.col("n") - F.col("cut") + F.col("freed") * F.col("below")) / F.col("total")
-        rows = settled(rows.select(F.col(f"e{k}").alias("gram"), p.alias("p"), (F.log(p) - F.log(F.col("freed") / F.col("total")) - F.col("log_below")).alias("gain"), only.alias("gain_only")))
-        part = rows.select("gram", "gain", "gain_only", nothing.alias("weight"), F.lit(None).cast("long").alias("weight_only"))
-        if k > 1:
-            weights = sums.select(F.col("context").alias("gram"), nothing.alias("gain"), F.lit(None).cast("long").alias("gain_only"), F.log(F.col("freed") / F.col("total")).alias("weight"), only.alias("weight_only"))
-            part = part.unionByName(weights)
-        out = part if out is None else out.unionByName(part)
-        lower = rows.select(F.col("gram").alias("_end"), F.col("p").alias("below"), F.log("p").alias("log_below"))
-    return out.groupBy("gram").agg(*[F.max(c).alias(c) for c in ("gain", "gain_only", "weight", "weight_only")]), spelling
-
-
-def _gains(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
-    """(text_key, trusted, gain): what word contexts add to the log probability of each text's spelling.
-
-    A trusted text is judged by what other texts hold: a run that it alone holds is unknown to it. Equal texts of one
-    ``trusted`` are summed, with ``texts`` their number."""
-    found = map_arrow(docs.select("text_key", "trusted", "text"), _runs_of_texts(order), "text_key long, trusted boolean, gram long, n int, m int")
-    met = split_join(found, rows, ["gram"])
-    own = lambda c: F.when(F.col("trusted") & F.col(f"{c}_only").eqNullSafe(F.col("text_key")), 0.0).otherwise(F.coalesce(c, F.lit(0.0)))
-    return met.groupBy("text_key", "trusted").agg(F.sum(F.col("n") * own("gain") + F.col("m") * own("weight")).alias("gain"))
-
-
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words as documents, named by the keys that runs of one word have."""
-    for batch in batches:
-        if batch.num_rows:
-            texts = batch.column("text")
-            found = np.concatenate([keys[0][place > 0] for _, _, place, keys in _sequences(texts, 1)]).view(np.int64)
-            none = pa.nulls(batch.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(found), none, pa.array(np.zeros(batch.num_rows, bool)), texts, pa.array(found)], names=["doc_id", "lang", "trusted", "text", "text_key"])
-
-
-def perplexity_filter(docs: DataFrame, trusted: DataFrame, *, order: int = 5, words: int = 3, quantile: float = 0.99, slack: float = 1.1, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+        has = np.flatnonzero(size >= k)
+        own = gram[has] & np.int64((1 << (8 * k)) - 1)
+        out[has] += _found(keys, gain, _key(own, k)) + _found(keys, weight, _key(own >> np.int64(8), k - 1))
+    return out
+
+
+def scores(docs: DataFrame, rows: DataFrame, order: int, *, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(doc_id, lang, fold, n_bytes, log_p) of every row of ``docs`` (doc_id, lang, fold, text, text_key).
+
+    The model is dealt into as many shards as keep each within ``shard_rows``; each shard is sent to the workers and
+    met with all texts where they lie, and the sums that it adds to a text meet in a small row. Texts aren't moved."""
+    shards = max(1, -(-rows.count() // shard_rows))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    fields = "doc_id long, lang string, fold int, text_key long"
+    parts = None
+    for shard in range(shards):
+        t = dealt.where(F.col("shard") == shard).select("key", "gain", "weight").toArrow()
+        keys = t["key"].to_numpy()
+        by = np.argsort(keys, kind="stable")
+        columns = [t[c].cast(pa.float64()).fill_null(0.0).to_numpy()[by] for c in ("gain", "weight")]
+        shared = docs.sparkSession.sparkContext.broadcast((keys[by], *columns))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            table = shared.value
+            for batch in batches:
+                for at, end, key, text, n_bytes in _sequences(batch.column("text"), order):
+                    found, index = np.unique(key, return_inverse=True)
+                    sums = np.bincount(text, _log_p(found, order, *table)[index], end - at)
+                    own = [batch.column(c).slice(at, end - at) for c in ("doc_id", "lang", "fold", "text_key")]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(n_bytes), pa.array(sums)], names=["doc_id", "lang", "fold", "text_key", "n_bytes", "log_p"])
+
+        part = map_arrow(docs.select("doc_id", "lang", "fold", "text_key", "text"), run, f"{fields}, n_bytes long, log_p double")
+        parts = part if parts is None else parts.unionAll(part)
+    met = parts.groupBy("doc_id", "lang", "fold", "text_key", "n_bytes").agg(F.sum("log_p").alias("log_p"), (F.count(F.lit(1)) / shards).cast("int").alias("copies"))
+    each = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.select("doc_id", "lang", "fold", "n_bytes", (F.col("log_p") / F.col("copies") - F.col("n_bytes") * F.lit(float(np.log(256)))).alias("log_p"))
+
+
+def perplexity_filter(docs: DataFrame, trusted: DataFrame, *, order: int = 6, quantile: float = 0.99, slack: float = 1.1, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, kept for every row.
 
-    A model of runs of ``words`` words (interpolated modified Kneser-Ney, with a mark before the first word) over a model
-    of the bytes within a word (``order`` bytes, alike), which spells words, is trained on the texts of all documents
-    whose doc_id is in ``trusted`` (doc_id). A document's perplexity is that of a byte of its words, over its whole text.
-    It is kept if it is at most ``slack`` times the ``quantile`` of its language's trusted documents (of all trusted
-    ones where the language has none). Trusted texts have seen their own runs of words: runs that no other trusted
-    text holds count as unknown to them, so that thresholds hold for new texts.
-
-    Counts cover all trusted text, scores all documents. Runs of words are met by one join of all texts' runs with the
-    model. The model of bytes is sent to the workers if it has at most ``broadcast_grams`` rows; otherwise distinct
-    words are scored by joins with it, with the same result.
+    A model of runs of ``order`` bytes (7 at most), across words, is trained on the texts of the documents whose doc_id
+    is in ``trusted`` (doc_id), but for one in FOLDS (by a hash of doc_id), which give the thresholds: a document's
+    perplexity is that of a byte of its words and the spaces after them, over its whole text, and it is kept if it is
+    at most ``slack`` times the ``quantile`` (to one part in 10,000) of its language's trusted documents that the model
+    hasn't seen; of all such documents where the language has none, and of the trusted ones where there are none at all.
 
     Null or empty texts have no perplexity and aren't kept. Null languages are a language. Null doc_ids are never
     trusted; repeated rows are scored one by one and count one by one. No trusted text: a uniform model, all kept
-    that have text. Other columns are not read.
+    that have text. An empty table: no rows. Other columns are not read.
     """
-    ids = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
+    if not 2 <= order <= 7:
+        raise ValueError("grams of 2 to 7 bytes fit a key")
+    ids = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    ids = ids.withColumn("fold", F.when(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)) == 0, 2).otherwise(1))
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     base = base.join(F.broadcast(ids), "doc_id", "left") if few else split_join(base, ids, ["doc_id"], "left")
-    base = base.withColumn("trusted", F.col("trusted").isNotNull()).select("doc_id", "lang", "trusted", "text", F.xxhash64("text").alias("text_key"))
-    counted = settled(map_arrow(base.where("trusted").select("text"), _counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    rows = model(counted, order=order)
-    scores = _scores_here if rows.limit(broadcast_grams + 1).count() <= broadcast_grams else _scores_by_joins
-    each = map_arrow(counted.select(F.col("word").cast("string").alias("text")), _named, "doc_id long, lang string, trusted boolean, text string, text_key long")
-    spelled = settled(scores(each, rows, order).select(F.col("doc_id").alias("e1"), "bits"))
-    runs, spelling = word_model(base.where("trusted").select("text_key", "text"), spelled, order=words)
-    copies = base.groupBy("text_key", "trusted").agg(F.count(F.lit(1)).alias("texts"))
-    gains = split_join(copies, _gains(base, settled(runs), words), ["text_key", "trusted"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)) / F.col("texts"))
-    scored = split_join(scores(base, rows, order), settled(gains), ["text_key", "trusted"], "left")
-    bits = F.col("bits") - F.col("n_words") * F.lit(spelling) - F.col("gain")
-    scored = settled(scored.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(bits / F.col("n_bytes")))).drop("gain", "texts", "text_key"))
-    good = scored.where("trusted AND perplexity IS NOT NULL")
-    limits = good.groupBy("lang").agg((F.lit(slack) * F.percentile_approx("perplexity", quantile, 10_000)).alias("own"))
-    whole = good.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
+    base = base.select("doc_id", "lang", F.coalesce("fold", F.lit(0)).cast("int").alias("fold"), "text", F.xxhash64("text").alias("text_key"))
+    rows = model(base.where("fold = 1"), order=order)
+    scored = settled(scores(base, rows, order, shard_rows=shard_rows).withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes")))).drop("log_p"))
+    limit = F.percentile_approx("perplexity", quantile, 10_000)
+    whole = {r["fold"]: r["p"] for r in scored.where("fold > 0 AND perplexity IS NOT NULL").groupBy("fold").agg(limit.alias("p")).collect()}
+    whole = whole.get(2, whole.get(1))
+    limits = scored.where("fold = 2 AND perplexity IS NOT NULL").groupBy("lang").agg((F.lit(slack) * limit).alias("own"))
     limits = settled(limits.withColumn("_l", F.coalesce("lang", F.lit(""))).withColumn("_n", F.col("lang").isNull()).drop("lang"))
     out = scored.withColumn("_l", F.coalesce("lang", F.lit(""))).withColumn("_n", F.col("lang").isNull())
     out = out.join(F.broadcast(limits), ["_l", "_n"], "left") if limits.limit(100_001).count() <= 100_000 else split_join(out, limits, ["_l", "_n"], "left")
