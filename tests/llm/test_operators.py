@@ -171,7 +171,20 @@ def test_sharding(docs, none):
         assert r.grown_shard in (r.shard, 24) and 0 <= r.shard < 24
         assert (r.size, r.text_crc32) == (len(text[r.doc_id].encode()) + 8, zlib.crc32(text[r.doc_id].encode()))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == len(rows())
-    assert shard_documents(none).count() == 0 and Tree.of(25).regions[:2] == Tree.of(24).regions
+    assert shard_documents(none).count() == 0 and Tree.of(25, founded=24).regions[:2] == Tree.of(24).regions
+
+
+@pytest.mark.parametrize("shards,founded", [(10, None), (1, None), (13, 4)])
+def test_one_more_shard_takes_rows_only_into_itself(spark, shards, founded):
+    ids = spark.range(4000).selectExpr("IF(id % 3 = 0, NULL, id) AS doc_id", "CAST(id % 50 AS STRING) AS text")
+    got = shard_documents(ids, shards=shards, founded=founded).collect()
+    assert all(r.grown_shard in (r.shard, shards) for r in got) and any(r.grown_shard == shards for r in got)
+    grown = {r.doc_id: r.shard for r in shard_documents(ids, shards=shards + 1, founded=founded or shards).collect()}
+    assert all(grown[r.doc_id] == r.grown_shard for r in got)
+    nulls = [r for r in got if r.doc_id is None]
+    assert len({r.shard for r in nulls}) == 1 and len({r.bucket for r in nulls}) > 40
+    for shard in range(shards):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
 
 
 def test_sharding_follows_weights(spark):
@@ -213,6 +226,12 @@ def test_mixing(docs, none):
     assert sorted(map(str, got)) == sorted(map(str, mix_sources(docs.repartition(7)).collect())) and mix_sources(none).count() == 0
 
 
+def test_mixing_of_rows_without_ids_is_the_same_again(spark):
+    rows = [(None, " ".join([f"w{i}"] * 7), "a") for i in range(300)] + [(5, f"x{i} y", "a") for i in range(50)] + [(i, "z " * 9, "b") for i in range(100, 140)]
+    a, b = (Counter((r.doc_id, r.t, r.copies) for r in mix_sources(spark.createDataFrame(rows[::step], "doc_id long, text string, source string").repartition(n).selectExpr("*", "text AS t"), carry=("t",)).collect()) for step, n in ((1, 2), (-1, 5)))
+    assert a == b and sum(a.values()) == len(rows)
+
+
 def test_quality_rules(docs, none):
     got = quality_rules(docs).collect()
     text = {r[0]: r[1] or "" for r in rows()}
@@ -231,9 +250,35 @@ def test_quality_rules(docs, none):
     assert len(got) == len(rows()) and quality_rules(none).count() == 0
 
 
-def test_em_trusts_agreeing_rules():
-    prior, found = accuracies([((1, 0, 0), 900), ((0, -1, -1), 60), ((0, -1, 0), 40)])
-    assert prior > 0.8 and posterior((0, -1, 0), prior, found) < 0.5 < posterior((1, 0, 0), prior, found)
+def test_em_finds_the_accuracy_of_planted_rules():
+    rng = np.random.default_rng(4)
+    n, kind = 40_000, rng.choice(4, 40_000, p=[0.955, 0.015, 0.015, 0.015])  # 0 good, then junk that rules 0 to 2 are against
+    bad = rng.random((n, 4)) < np.array([0.01, 0.002, 0.001, 0.2])  # on good texts; rule 3 is noise
+    for j in range(3):
+        bad[:, j] |= (kind == j + 1) & (rng.random(n) < 0.95)
+    bad[:, 1] |= (kind == 1) & (rng.random(n) < 0.7)  # confirms rule 0
+    votes = np.where(rng.random((n, 4)) < 0.05, 0, np.where(bad, -1, 1))
+    shares, found = accuracies(sorted(Counter(map(tuple, votes.tolist())).items()))
+    assert abs(found[0][3] - 0.2) < 0.02 and all(found[0][j] < 0.02 for j in range(3)) and abs(shares[0] - 0.955) < 0.02
+    assert posterior((1, 1, 1, -1), shares, found) > 0.9 and posterior((-1, -1, 1, 1), shares, found) < 0.05
+    verdict = np.array([posterior(tuple(v), shares, found) >= 0.5 for v in votes[:3000].tolist()])
+    assert (verdict == (kind[:3000] == 0)).mean() > 0.95
+
+
+def test_em_is_expectation_maximisation():
+    """Against sums over texts, one at a time."""
+    patterns = [((1, 1), 60), ((-1, 0), 5), ((-1, -1), 9), ((1, -1), 12), ((0, 0), 3)]
+    shares, bad = accuracies(patterns, rounds=3, settled_at=0)
+    pi, q = [1 - 2 * 0.0125, 0.0125, 0.0125], [[0.01, 0.01], [0.9, 0.1], [0.1, 0.9]]
+    first, start, n = list(pi), [list(x) for x in q], sum(k for _, k in patterns)
+    for _ in range(3):
+        texts = []
+        for votes, k in patterns:
+            p = [pi[c] * math.prod(q[c][j] if v < 0 else 1 - q[c][j] if v > 0 else 1 for j, v in enumerate(votes)) for c in range(3)]
+            texts += [(votes, [x / sum(p) for x in p])] * k
+        pi = [(sum(p[c] for _, p in texts) + 0.5 * n * first[c]) / (1.5 * n) for c in range(3)]
+        q = [[(sum(p[c] for v, p in texts if v[j] < 0) + 10 * start[c][j]) / (sum(p[c] for v, p in texts if v[j]) + 10) for j in range(2)] for c in range(3)]
+    assert np.allclose(shares, pi) and np.allclose(bad, q) and accuracies([])[0] == [1.0]
 
 
 def test_toxicity_learns_from_positives(spark, docs, none):
@@ -248,6 +293,15 @@ def test_toxicity_learns_from_positives(spark, docs, none):
     assert all(0 <= r.score <= 1 for r in toxicity(docs, labels).collect())
 
 
+def test_toxicity_reads_a_bounded_sample_of_rows(spark):
+    from groundswell.llm.toxicity import train
+
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    docs = spark.createDataFrame([(ids[k % 2], f"word{k % 7} other text") for k in range(3000)] + [(None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 0, 1), (ids[0], 0, 1), (ids[1], 1, 0)], "doc_id long, quality int, toxic int")
+    assert len(train(docs, labels).chosen) == 0 and toxicity(docs, labels).count() == 3001
+
+
 def test_license_scan(spark, none):
     notice = "Licensed under the Apache License, Version 2.0."
     body = " ".join(f"w{i}" for i in range(997))
@@ -265,95 +319,164 @@ def test_license_scan_finds_short_notices(spark):
     assert {r.doc_id: list(r.licenses) for r in one} == {1: ["one"], 2: []}
 
 
-def test_perplexity_paths_agree_and_probabilities_sum_to_one(spark, docs, none):
-    trusted = docs.where("doc_id >= 9").select("doc_id")
-    a, b = ({(r.doc_id, r.n_bytes): r for r in perplexity_filter(docs, trusted, order=3, broadcast_grams=n).collect()} for n in (10**6, 0))
-    assert a.keys() == b.keys()
-    for k, r in a.items():
-        assert r.kept == b[k].kept and (r.perplexity is None) == (b[k].perplexity is None)
-        assert r.perplexity is None or math.isclose(r.perplexity, b[k].perplexity, rel_tol=1e-9)
-    assert perplexity_filter(none, trusted).count() == 0
+def test_license_scan_against_brute_force(spark):
+    from groundswell.llm.license_scan import TEMPLATES, _words
+
+    rng = np.random.default_rng(8)
+    filler = [f"w{i}" for i in range(300)]
+    texts = []
+    for text in TEMPLATES.values():
+        w = text.split()
+        for drop in (0.0, 0.02, 0.5):
+            kept = [x for x in w if rng.random() >= drop]
+            texts.append(" ".join([*rng.choice(filler, int(rng.integers(0, 400))), *kept, *rng.choice(filler, int(rng.integers(0, 400)))]))
+    grams = lambda t: [tuple(x) for x in np.lib.stride_tricks.sliding_window_view(_words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0], 5).tolist()] if len(t.split()) >= 5 else []
+    docs = spark.createDataFrame([*enumerate(texts), (7, texts[7])], "doc_id long, text string").selectExpr("*", "'clash' AS licenses", "1 AS best")
+    got = license_scan(docs).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        held = set(grams(texts[r.doc_id]))
+        for name, text in TEMPLATES.items():
+            of = set(grams(text))
+            if of:  # the filler lies outside, so a template's shingles in the text are those of one window
+                share = len(of & held) / len(of)
+                assert (name in r.licenses) == (share >= 0.8), (name, share, r.licenses)
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Two words of 1,024 letters, each the other's complement, have one hash under any polynomial modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    rest = [f"r{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join([one, *rest[:20]])), (2, " ".join([two, *rest[:20]])), (3, " ".join([one] * 16 + rest)), (4, " ".join([two] * 16 + rest)), (5, one), (6, two)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 40, 4: 40, 5: 0, 6: 0}
+    assert all(r.component_id == r.doc_id for r in near_dedup(docs.where("doc_id > 4"), words=2).collect())
+    order = lambda k: " ".join("ab"[b ^ k] for b in bits[:32]) + " " + " ".join(rest[:3])
+    lines = spark.createDataFrame([(1, order(0)), (2, order(1))], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup(lines).collect()} == {0}
+
+
+def _kneser_ney(texts, order):
+    """The probability of a byte after a context, evaluated top down from the definition."""
+    line = lambda t: (10, *b" ".join(words(t)), 32) if words(t) else ()
+    counts = [None, *[Counter() for _ in range(order)]]
+    for t in map(line, texts):
+        for e in range(1, len(t)):
+            k = min(e + 1, order)
+            counts[k][t[e - k + 1 : e + 1]] += 1
+    for k in range(order - 1, 0, -1):
+        counts[k].update(Counter(g[1:] for g in counts[k + 1]))
+    cuts, total, freed = [None], Counter(), Counter()
+    for k in range(1, order + 1):
+        of = Counter(counts[k].values())
+        n = [max(1, of[i]) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        cuts.append([min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)])
+        for g, c in counts[k].items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += cuts[k][min(c, 3) - 1]
 
+    def p(g):
+        below = p(g[1:]) if len(g) > 1 else 1 / 256
+        if not total[g[:-1]]:
+            return below
+        c = counts[len(g)][g]
+        return ((c - cuts[len(g)][min(c, 3) - 1]) if c else 0) / total[g[:-1]] + freed[g[:-1]] / total[g[:-1]] * below
 
-def test_pipeline_handles_odd_rows(spark, docs, tmp_path):
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
-    labels.write.parquet(str(tmp_path / "labels.parquet"))
-    now = docs
-    for name, stage in corpus_pipeline.STAGES:
-        now = stage(spark, now, str(tmp_path))
-        if name != "tokens":
-            assert tuple(now.columns) == corpus_pipeline.COLUMNS
-        now.write.parquet(str(tmp_path / name))
-        now = spark.read.parquet(str(tmp_path / name))
-    assert now.count() > 0
+    def log_p(t):
+        s = line(t)
+        return sum(math.log(p(s[max(0, e - order + 1) : e + 1])) for e in range(1, len(s)))
 
+    return p, log_p
 
-def _kneser_ney(texts, order, n_bytes_order):
-    """Log probability of a text's words, evaluated top down, with ``out``: a text whose own runs are unknown."""
 
-    def discounts(counts):
-        of = Counter(counts.values())
-        n = [max(1, of[i]) for i in range(1, 5)]
-        y = n[0] / (n[0] + 2 * n[1])
-        return [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
-
-    def levels(sequences, top):
-        counts = [None, *[Counter() for _ in range(top)]]
-        for s, n in sequences:
-            for e in range(1, len(s)):
-                k = min(e + 1, top)
-                counts[k][tuple(s[e - k + 1 : e + 1])] += n
-        for k in range(top - 1, 0, -1):
-            counts[k] += Counter(g[1:] for g in counts[k + 1])
-        return counts
-
-    def chance(counts, base):
-        cuts = [None, *[discounts(c) for c in counts[1:]]]
-        cut = lambda k, n: cuts[k][min(n, 3) - 1]
-        total, freed = Counter(), Counter()
-        for k in range(1, len(counts)):
-            for g, n in counts[k].items():
-                total[g[:-1]] += n
-                freed[g[:-1]] += cut(k, n)
-
-        def p(g):
-            """Of the last item after the others."""
-            if not g:
-                return None
-            below = p(g[1:]) if len(g) > 1 else base(g[0])
-            c = g[:-1]
-            if not total[c]:
-                return below
-            n = counts[len(g)][g]
-            return ((n - cut(len(g), n)) if n else 0) / total[c] + freed[c] / total[c] * below
-
-        return p, total, freed
-
-    spaced = [([*b" ", *w, *b" "], n) for w, n in Counter(w for t in texts for w in words(t)).items()]
-    byte, _, _ = chance(levels(spaced, n_bytes_order), lambda _: 1 / 256)
-
-    def spelling(w):
-        s = [*b" ", *w, *b" "]
-        return math.prod(byte(tuple(s[max(0, e - n_bytes_order + 1) : e + 1])) for e in range(1, len(s)))
-
-    p, _, _ = chance(levels([([None, *words(t)], 1) for t in texts], order), spelling)
-    return lambda t: sum(math.log(p(tuple(([None, *words(t)])[max(0, e - order + 1) : e + 1]))) for e in range(1, len(words(t)) + 1))
-
-
-def test_perplexity_sees_word_order(spark):
+@pytest.fixture(scope="module")
+def prose():
     rng = np.random.default_rng(5)
     stem = "the old man saw a small boat on the calm sea and then went home to his quiet house near the long river".split()
-    good = [" ".join(stem[int(i) :] + stem[: int(i)]) for i in rng.integers(0, len(stem), 60)]
-    odd = [" ".join(rng.permutation(stem)) for _ in range(5)] + ["boat boat boat sea sea sea", "", "né boat", good[0]]
-    data = [(i, t, "en") for i, t in enumerate(good)] + [(100 + i, t, "en") for i, t in enumerate(odd)] + [(None, odd[0], "en"), (None, odd[0], "en")]
-    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
-    got = perplexity_filter(docs, docs.where("doc_id < 100").select("doc_id"), order=3, words=3).collect()
-    logp = _kneser_ney(good, 3, 3)
-    text = {(i, len((t or "").split())): t for i, t, _ in data}
-    assert len(got) == len(data)
+    good = [" ".join(stem[int(i) :] + stem[: int(i)]) for i in rng.integers(0, len(stem), 90)]
+    odd = [" ".join(reversed(stem)), "boat boat boat sea sea sea", "", "né boat", good[0], None, "zzz qqq " * 40]
+    return [(i, t, "en") for i, t in enumerate(good)], [(100 + i, t, ["en", None][i % 2]) for i, t in enumerate(odd)]
+
+
+@pytest.mark.parametrize("shard_rows", [4_000_000, 300])
+def test_perplexity_is_kneser_neys(spark, prose, none, shard_rows):
+    good, odd = prose
+    data = [*good, *odd, odd[0], (None, odd[0][1], "en"), (None, odd[0][1], "en")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").selectExpr("*", "1 AS n_bytes", "2 AS fold", "3 AS key")
+    trusted = docs.where("doc_id < 100").select("doc_id")
+    got = perplexity_filter(docs, trusted, order=4, shard_rows=shard_rows).collect()
+    fold = {r[0]: r[1] for r in trusted.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'fold'), 10) = 0").collect()}
+    assert any(fold.values()) and not all(fold.values())
+    p, log_p = _kneser_ney([t for i, t, _ in good if not fold[i]], 4)
+    for context in [b"", b"t", b"th", b"the", b"\nthe"[:3], b"q", b"zq"]:
+        assert math.isclose(sum(p((*context, b)) for b in range(256)), 1)
+    want = Counter((i, lang, sum(map(len, words(t))) + len(words(t))) for i, t, lang in data)
+    assert want == Counter((r.doc_id, r.lang, r.n_bytes) for r in got)
+    text = {i: t for i, t, _ in data}
+    score = lambda t: math.exp(-log_p(t) / sum(len(x) + 1 for x in words(t)))
+    limit = 1.1 * max(score(t) for i, t, _ in good if fold[i])  # the quantile 0.99 of few is their greatest
     for r in got:
-        t = odd[0] if r.doc_id is None else text[r.doc_id, len(dict((a, b) for a, b, _ in data)[r.doc_id].split())]
-        if r.doc_id is None or r.doc_id >= 100:  # an untrusted text is judged by all that trusted ones hold
-            assert r.perplexity is None if not t else math.isclose(r.perplexity, math.exp(-logp(t) / r.n_bytes), rel_tol=1e-9)
+        t = text[r.doc_id]
+        assert r.perplexity is None if not words(t) else math.isclose(r.perplexity, score(t), rel_tol=1e-9)
+        assert math.isclose(r.threshold, limit, rel_tol=1e-9) and r.kept == bool(words(t) and score(t) <= limit)
     kept = {r.doc_id: r.kept for r in got}
-    assert not any(kept[100 + i] for i in range(7)) and kept[108] and not kept[None]
+    assert kept[104] and not kept[106] and score(odd[0][1]) > 1.01 * score(good[0][1])
+    if shard_rows == 300:
+        assert perplexity_filter(none, trusted).count() == 0
+        alone = perplexity_filter(docs, trusted.limit(0)).collect()
+        assert all(r.kept == bool(words(text[r.doc_id])) for r in alone) and math.isclose(max(r.perplexity or 0 for r in alone), 256)
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, docs, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    bad = "idiot loser moron"
+    made = [*rows(), *[(1000 + i, f"{texts()[20 + i % 5]} {bad} {i} {bad}", "en", "tox", 0, 7, "clash", False) for i in range(40)]]
+    made += [(2000, "twice and again the very same row", "en", "a", 5, 1, "", True)] * 3
+    labels = [(i, 1, 0) for i in range(60)] + [(1000 + i, 1, 1) for i in range(40)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    source = spark.createDataFrame(made, SCHEMA).repartition(3)
+    names, stages = zip(*corpus_pipeline.STAGES, strict=True)
+    kept = [source]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, kept[-1], str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        kept.append(spark.read.parquet(str(tmp_path / name)))
+    assert names == ("toxicity", "exact dedup", "near dedup", "mixing", "tokens")
+    plain = [Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in x.collect()) for x in kept[:5]]
+    assert all(tuple(x.columns) == corpus_pipeline.COLUMNS for x in kept[1:5])
+    scores = {(r.doc_id, r.text): r.predicted for r in toxicity(source, spark.read.parquet(str(tmp_path / "labels.parquet")), keep=("doc_id", "text")).collect()}
+    assert plain[1] == Counter({k: n for k, n in plain[0].items() if not scores[k[:2]]}) and sum(k[3] == "tox" for k in plain[1]) <= 2
+    best = {}
+    for k in plain[1]:
+        t = k[1] or ""
+        best[t] = max(best.get(t, -1), -1 if k[0] is None else k[0])
+    want = {((k[0]), k[1] or "") for k in plain[1] if (-1 if k[0] is None else k[0]) == best[k[1] or ""]}
+    assert {(k[0], k[1] or "") for k in plain[2]} == want and max(plain[2].values()) == 1 and (2000, "twice and again the very same row") in want
+    sets = {}
+    for k in plain[2]:
+        w = [x.lower() for x in words(k[1])]
+        sets[k[0]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    up = {i: i for i in sets}
+    moved = True
+    while moved:
+        moved = False
+        for a in sets:
+            for b in sets:
+                if a is not None and b is not None and a < b and up[a] != up[b] and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    low = min(up[a], up[b])
+                    up[a] = up[b] = low
+                    moved = True
+    assert plain[3] == Counter({k: n for k, n in plain[2].items() if k[0] is None or up[k[0]] == k[0]}) and len(plain[3]) < len(plain[2])
+    copies = {(r.doc_id, r.text): r.copies for r in mix_sources(kept[3].withColumn("text_", kept[3]["text"]).withColumnRenamed("text_", "t"), carry=("t",)).selectExpr("doc_id", "t AS text", "copies").collect()}
+    assert plain[4] == Counter({k: copies[k[:2]] for k in plain[3] if copies[k[:2]]})
+    t = Tokenizer.from_file(Q.vocabulary())
+    t.no_truncation()
+    t.no_padding()
+    ids = Counter((k[0], tuple(t.encode(k[1] or "", add_special_tokens=False).ids)) for k, n in plain[4].items() for _ in range(n))
+    assert ids == Counter((r.doc_id, tuple(r.token_ids)) for r in kept[5].collect())
+    now = none
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        assert now.count() == 0
