@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundswell.llm.bpe import encode_documents
-from groundswell.llm.common import checkpoint_dir, read, split_join
+from groundswell.llm.common import checkpoint_dir, read, settled, split_join
 from groundswell.llm.exact_dedup import exact_dedup
 from groundswell.llm.mixing import mix_sources
 from groundswell.llm.near_dedup import near_dedup
@@ -31,11 +31,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("_key", _text_key())
 
 
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows (_id, _key) of ``gone``."""
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = _keyed(docs)
-    left = rows.join(F.broadcast(gone), ["_id", "_key"], "left_anti") if few else split_join(rows, gone, ["_id", "_key"], "left_anti")
+    left = rows.join(F.broadcast(gone), ["_id", "_key"], "left_anti") if _few(gone) else split_join(rows, gone, ["_id", "_key"], "left_anti")
     return left.select(*COLUMNS)
 
 
@@ -47,11 +50,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id. Rows that repeat a doc_id and its text stay or go together."""
+    """Of equal texts the row with the largest doc_id. Of rows that agree in doc_id (or have none) and text, one stays:
+    the one with the least other columns."""
     docs = docs.select(*COLUMNS)
-    found = exact_dedup(docs, carry={"text_key": _text_key()})
-    gone = found.where("NOT kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("text_key").alias("_key"))
-    return _without(docs, gone.distinct())
+    found = exact_dedup(docs, carry={"text_key": _text_key()}).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("text_key").alias("_key"), "kept")
+    seen = found.groupBy("_id", "_key").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1")
+    seen = settled(seen)
+    left = _without(docs, seen.select("_id", "_key"))
+    again = _keyed(docs).join(F.broadcast(seen.where("kept")), ["_id", "_key"]) if _few(seen) else split_join(_keyed(docs), seen.where("kept"), ["_id", "_key"])
+    rest = [F.col(c) for c in ("lang", "source", "n_chars")]
+    one = again.groupBy("_id", "_key", "doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
+    return left.unionByName(one.select("doc_id", "text", "rest.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,8 +98,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared checkpoint folder and read again by the next."""
+    """All stages over documents, each written to the shared checkpoint folder and read again by the next.
+
+    What a stage read is removed once its result is written; the last stage's input stays, as its result is made lazily."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -99,4 +115,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{folder}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
+        if k:
+            _removed(spark, f"{folder}/{k - 1}")
     return docs
