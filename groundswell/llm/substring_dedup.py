@@ -175,14 +175,14 @@ def _of_row(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return texts.join(rows, same).drop("_doc", "_key", "_check")
 
 
-def substring_dedup(docs: DataFrame, *, length: int = 35, levels: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, length: int = 35, levels: int = 3) -> DataFrame:
     """doc_id, n_words, n_removed, copies, kept_sha256 (binary digest of the kept words joined by spaces) for every row.
 
     A word goes if a window of ``length`` words around it starts anywhere else too, in this text or another; windows
     are judged on the input. Level-wise doubling: at each length of :func:`ladder` only windows that hold repeats
     at the length before are looked at, and those found repeated are extended to twice the length, until none
     survives or ``length`` is reached. Below ``length``, only sampled windows are compared (the least hash among those
-    inside each full window), which every repeat shares, so that a tenth of the places are shuffled. Windows are equal
+    inside each full window), which every repeat shares, so that with nine words at first a fourteenth of the places is shuffled. Windows are equal
     if 96 bits of hash agree.
 
     Rows with equal texts are compared once, by the first of them: all their windows are repeats. Hot windows are
