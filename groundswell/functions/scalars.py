@@ -52,6 +52,56 @@ def window_pixels(metres: Column | float, posting: float = 30.0) -> Column:
     return F.rint((metres if isinstance(metres, Column) else F.lit(metres)) / posting).cast("int")
 
 
+def stable(coherence: Column | str, least: float) -> Column:
+    """Whether a cell is coherent enough; unknown coherence isn't."""
+    return F.coalesce(col(coherence), F.lit(0.0)) >= least
+
+
+def cells_for_area(area_km2: Column, pixel_m: float) -> Column:
+    return F.greatest(F.ceil(area_km2 * 1e6 / F.lit(pixel_m * pixel_m)), F.lit(1)).cast("int")
+
+
+def frame_cutoff(rows: Column, cols: Column, pixel_m: float) -> Column:
+    """The wavelength (m) beyond which a surface is nearly a plane over a field."""
+    return 4 * F.greatest(rows, cols) * F.lit(pixel_m)
+
+
+def window_coordinate(i: Column, n: Column) -> Column:
+    """-1 to 1 along a window of n cells; -1 in a window of one."""
+    return F.when(n > 1, 2 * i / (n - 1) - 1).otherwise(-1.0)
+
+
+def fit_step(rows: Column, cols: Column, *, most: int = 50, least: int = 100) -> Column:
+    """Every how many cells a window is sampled: the largest of ``most`` halved again and again that leaves ``least`` samples."""
+    steps = []
+    while most > 1:
+        steps.append(most)
+        most //= 2
+    out = F.lit(1)
+    for k in reversed(steps):
+        out = F.when(F.ceil(rows / k) * F.ceil(cols / k) >= least, k).otherwise(out)
+    return out.cast("int")
+
+
+def polynomial_terms(x: Column, y: Column, order: float) -> list[Column]:
+    """The terms that :func:`polynomial` weighs, the constant last."""
+    terms = {0: [], 1: [x, y], 1.5: [x, y, x * y], 2: [x * x, y * y, x * y, x, y], 3: [x * x * x, y * y * y, x * x * y, x * y * y, x * x, y * y, x * y, x, y]}[order]
+    return [*terms, F.lit(1.0)]
+
+
+def polynomial_sigma(x: Column, y: Column, covariance: Column, order: float) -> Column:
+    """The standard error of a polynomial's value from its coefficients' covariance (an array of rows)."""
+    t = polynomial_terms(x, y, order)
+    total = reduce(lambda a, b: a + b, [t[i] * t[j] * covariance[i][j] for i in range(len(t)) for j in range(len(t))])
+    return F.sqrt(F.greatest(total, F.lit(0.0)))
+
+
+def grid_factor(k: Column) -> Column:
+    """A factor of grid sigmas: a number from 0 up; an error for other texts and negative ones."""
+    number = k.try_cast("double")
+    return F.when(number >= 0, number).otherwise(F.raise_error(F.concat(F.lit("k_grid has to be a number from 0: "), F.coalesce(k, F.lit("NULL")))).cast("double"))
+
+
 def coherence_weight(c: Column | str, power: float) -> Column:
     if not power:
         return F.lit(1.0)

@@ -96,3 +96,31 @@ def reference_pixel(df: DataFrame, keys: list[str], score: str) -> DataFrame:
     """The first cell (by row, column) with the highest score."""
     best = F.max_by(F.struct("r", "c", "v"), F.struct(F.col(score), -F.col("r"), -F.col("c")))
     return df.where(F.col(score).isNotNull() & F.col("v").isNotNull()).groupBy(*keys).agg(best.alias("p")).select(*keys, "p.r", "p.c", F.col("p.v").alias("reference"))
+
+
+def downsample_labels(df: DataFrame, factor: int, shape: tuple[int, int], label: str = "label") -> DataFrame:
+    """The label at the centre of each whole block of factor × factor cells."""
+    half = factor // 2
+    inside = (F.col("r") < shape[0] // factor * factor) & (F.col("c") < shape[1] // factor * factor)
+    centre = (F.col("r") % factor == half) & (F.col("c") % factor == half)
+    return df.where(inside & centre).withColumn("r", F.floor(F.col("r") / factor).cast("int")).withColumn("c", F.floor(F.col("c") / factor).cast("int"))
+
+
+def data_extent(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
+    """keys and the first and last row and column (r0, r1, c0, c1, ends included) that hold data other than 0."""
+    held = df.where(F.col(value).isNotNull() & (F.col(value) != 0))
+    return held.groupBy(*keys).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+
+
+def mode_counts(df: DataFrame, keys: list[str], mode: str = "mode") -> DataFrame:
+    """How many pixels each way of decomposition was taken for."""
+    names = {2: "solved", 1: "projected", 0: "empty"}
+    return df.groupBy(*keys).agg(*[F.count_if(F.col(mode) == k).alias(n) for k, n in names.items()])
+
+
+def checked_looks(looks: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
+    """The looks, or an error where a pixel has too few of them, a sigma isn't positive, or a look isn't a unit vector."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    unit = F.abs(F.col("e") * F.col("e") + F.col("n") * F.col("n") + F.col("u") * F.col("u") - 1) < 1e-6
+    wrong = F.when(n < least, "too few looks").when(F.col("sigma") < 0, "a negative sigma").when(~unit, "a look that isn't a unit vector")
+    return looks.withColumn("_wrong", wrong).withColumn("los", F.when(F.col("_wrong").isNull(), F.col("los")).otherwise(F.raise_error("_wrong").cast("double"))).drop("_wrong")

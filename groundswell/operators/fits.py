@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from groundswell.functions.scalars import HUBER_C, MAD_SCALE
+from groundswell.functions.scalars import HUBER_C, MAD_SCALE, polynomial_terms
+from groundswell.session import settled
 
 EPS = 1e-12
 
@@ -106,8 +109,8 @@ def cumulative(df: DataFrame, keys: list[str], *, order: str = "t", step: str =
     return df.withColumn("total", F.sum(step).over(w))
 
 
-def plane(df: DataFrame, keys: list[str], *, value: str = "v", center: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """keys, p0 + px·(c − cx) + py·(r − cy) by the 3×3 normal equations (Cramer's rule)."""
+def plane(df: DataFrame, keys: list[str], *, value: str = "v", center: tuple[float, float] = (0.0, 0.0), count: str | None = None) -> DataFrame:
+    """keys, p0 + px·(c − cx) + py·(r − cy) by the 3×3 normal equations (Cramer's rule), and as ``count`` the number of cells."""
     x, y, v = F.col("c") - center[0], F.col("r") - center[1], F.col(value)
     s = df.where(v.isNotNull()).groupBy(*keys).agg(
         F.count(v).cast("double").alias("n"), F.sum(x).cast("double").alias("sx"), F.sum(y).cast("double").alias("sy"),
@@ -122,7 +125,25 @@ def plane(df: DataFrame, keys: list[str], *, value: str = "v", center: tuple[flo
         return q[0][0] * (q[1][1] * q[2][2] - q[1][2] * q[2][1]) - q[0][1] * (q[1][0] * q[2][2] - q[1][2] * q[2][0]) + q[0][2] * (q[1][0] * q[2][1] - q[1][1] * q[2][0])
 
     swapped = lambda k: [[rhs[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]
-    return s.select(*keys, *[F.try_divide(det(swapped(k)), F.nullif(det(m), F.lit(0.0))).alias(name) for k, name in enumerate(("p0", "px", "py"))])
+    return s.select(*keys, *[F.try_divide(det(swapped(k)), F.nullif(det(m), F.lit(0.0))).alias(name) for k, name in enumerate(("p0", "px", "py"))], *([F.col("n").cast("long").alias(count)] if count else []))
+
+
+def robust_plane(df: DataFrame, keys: list[str], *, value: str = "v", rounds: int = 3, limit: float = 3.0) -> DataFrame:
+    """keys, p0, px, py of a plane that outliers don't bend: after each of ``rounds`` fits, cells further than ``limit``
+    scaled MADs from the residuals' median are left out of the next. Sums, medians and a comparison a round; fields
+    whose residuals have no scatter keep the plane they have."""
+    rows = settled(df.select(*keys, "r", "c", F.col(value).alias("_v")).where("_v IS NOT NULL").withColumn("_use", F.lit(True)))
+    fit = plane(rows, keys, value="_v")
+    for _ in range(rounds - 1):
+        level = F.col("p0") + F.col("px") * F.col("c") + F.col("py") * F.col("r")
+        left = rows.join(fit, keys).withColumn("_res", F.col("_v") - level)
+        med = left.groupBy(*keys).agg(F.median(F.when(F.col("_use"), F.col("_res"))).alias("_med"))
+        far = left.join(med, keys).withColumn("_far", F.abs(F.col("_res") - F.col("_med")))
+        mad = far.groupBy(*keys).agg((F.lit(MAD_SCALE) * F.median(F.when(F.col("_use"), F.col("_far")))).alias("_mad"))
+        near = (F.col("_mad") <= EPS) & F.col("_use") | (F.col("_mad") > EPS) & (F.col("_far") <= limit * F.col("_mad"))
+        rows = settled(far.join(mad, keys).select(*keys, "r", "c", "_v", near.alias("_use")))
+        fit = plane(rows.where("_use"), keys, value="_v")
+    return fit
 
 
 def decompose(looks: DataFrame, keys: list[str], *, east: float = 0.0, north: float = 0.0, sigma_north: float = 0.0, cond_max: float = 10.0, min_up: float = 0.1, eig_min: float = 1e-6) -> DataFrame:
@@ -151,6 +172,50 @@ def decompose(looks: DataFrame, keys: list[str], *, east: float = 0.0, north: fl
     )
 
 
+def least_squares(df: DataFrame, keys: list[str], terms: list[Column], *, value: str = "v", weight: Column | None = None) -> DataFrame:
+    """keys, n, coef, covariance (rows), mse of a weighted fit of ``value`` by ``terms``: the sums of the normal equations are
+    aggregated, each group's are solved in one row, and a second aggregate has the residuals. NULL where they don't
+    determine the coefficients; mse over n less the terms, one at least."""
+    m = len(terms)
+    w = F.lit(1.0) if weight is None else weight
+    rows = df.select(*keys, F.col(value).alias("_v"), w.alias("_w"), F.array(*[t.cast("double") for t in terms]).alias("_t")).where("_v IS NOT NULL AND _w > 0")
+    t = [F.col("_t")[i] for i in range(m)]
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("_w") * a * b) for a in t for b in t]).alias("_m"), F.array(*[F.sum(F.col("_w") * a * F.col("_v")) for a in t]).alias("_rhs"))
+
+    @F.pandas_udf("array<double>")
+    def solve(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.reshape(x, (m, m)), np.asarray(y)
+            scale = 1 / np.sqrt(np.maximum(np.diag(x), 1e-300))
+            known = np.linalg.matrix_rank(x * scale * scale[:, None], tol=1e-10) == m
+            out.append(np.concatenate([np.linalg.solve(x, y), np.linalg.inv(x).ravel()]).tolist() if known else None)
+        return pd.Series(out)
+
+    fit = sums.withColumn("_s", solve("_m", "_rhs"))
+    fit = fit.select(*keys, "n", F.slice("_s", 1, m).alias("coef"), F.when(F.col("_s").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.slice("_s", i * m + m + 1, m))).alias("_inverse"))
+    model = F.aggregate(F.zip_with("_t", "coef", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    left = rows.join(fit.select(*keys, "n", "coef"), keys).groupBy(*keys).agg((F.sum(F.col("_w") * (F.col("_v") - model) * (F.col("_v") - model)) / F.greatest(F.max("n") - m, F.lit(1))).alias("mse"))
+    out = fit.join(left, keys)
+    return out.select(*keys, "n", "coef", F.transform("_inverse", lambda row: F.transform(row, lambda x: x * F.col("mse"))).alias("covariance"), "mse")
+
+
+def surface_fit(df: DataFrame, keys: list[str], *, order: float = 1.5, value: str = "v", sigma: str | None = None, rounds: int = 2, limit: float = 2.0, x: str = "x", y: str = "y") -> DataFrame:
+    """:func:`least_squares` of a polynomial surface over (x, y), repeated without the cells whose residual is further than
+    ``limit`` population standard deviations from the mean residual; weights 1/sigma² where ``sigma`` names a column."""
+    terms = polynomial_terms(F.col(x), F.col(y), order)
+    w = 1 / (F.col(sigma) * F.col(sigma)) if sigma else None
+    rows = df
+    for k in range(rounds):
+        fit = least_squares(rows, keys, terms, value=value, weight=w)
+        if k == rounds - 1:
+            return fit
+        model = reduce(lambda a, b: a + b, [F.col("coef")[i] * t for i, t in enumerate(terms)])
+        met = rows.join(fit.select(*keys, "coef"), keys).withColumn("_res", F.col(value) - model)
+        spread = met.groupBy(*keys).agg(F.avg("_res").alias("_mean"), F.stddev_pop("_res").alias("_std"))
+        rows = met.join(spread, keys).where((F.abs(F.col("_res") - F.col("_mean")) <= limit * F.col("_std")) | (F.col("_std") <= EPS)).select(*df.columns)
+
+
 def stratified(df: DataFrame, keys: list[str], *, step: int = 7, least: int = 50):
     """a + b·x + c·y + d·h + e·h² of delays ``v`` over (c, r, h) on every ``step``-th cell: the sums of the 5×5 normal
     equations are aggregated, and each group's are solved in one row (NULL under ``least`` cells)."""

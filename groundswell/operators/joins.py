@@ -55,12 +55,21 @@ def verify_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", state.alias("state")).where("state IS NOT NULL")
 
 
-def overrides(frames: DataFrame, table: DataFrame, default: dict[str, str]) -> DataFrame:
-    """frame_id and its parameters: the default, overridden by the frame's own (keys '00042')."""
-    base = F.create_map(*[F.lit(x) for kv in default.items() for x in kv])
+def merged(base: Column, new: Column) -> Column:
+    """Maps of dotted paths, the second over the first: a value takes the place of all below its path, and values below a
+    path take the place of the value at it."""
+    under = lambda a, b: F.startswith(a, F.concat(b, F.lit(".")))
+    kept = F.map_filter(base, lambda k, _: ~F.exists(F.map_keys(new), lambda n: (n == k) | under(k, n) | under(n, k)))
+    return F.map_concat(kept, new)
+
+
+def overrides(frames: DataFrame, table: DataFrame, default: dict[str, str], extra: dict[str, str] | None = None) -> DataFrame:
+    """frame_id and its parameters by dotted path: the default, under the frame's own (keys '00042'), under ``extra``."""
+    of = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]).cast("map<string,string>")
     met = frames.withColumn("key", F.lpad(F.col("frame_id").cast("string"), 5, "0")).join(table, "key", "left")
-    own = F.coalesce("params", F.create_map().cast("map<string,string>"))
-    return met.select("frame_id", F.map_zip_with(base, own, lambda k, d, o: F.coalesce(o, d)).alias("params"))
+    own = F.coalesce("params", of({}))
+    out = merged(of(default), own)
+    return met.select("frame_id", (merged(out, of(extra)) if extra else out).alias("params"))
 
 
 def same_provenance(expected: DataFrame, actual: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -70,14 +79,31 @@ def same_provenance(expected: DataFrame, actual: DataFrame, keys: list[str], fie
     return actual.join(e, keys).select(*keys, odd.alias("differs"))
 
 
-def inside_polygons(df: DataFrame, rings: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Adds ``inside``: whether a point lies in any polygon of ``rings`` (id, xs, ys), by the even-odd rule over all edges.
+#: Edges that may be sent to where points lie: 40 bytes each.
+BROADCAST_EDGES = 200_000
+
+
+def polygon_edges(rings: DataFrame, band: float) -> DataFrame:
+    """A row for each edge of ``rings`` (id, xs, ys; outer rings and holes alike) and band of y that it crosses; flat edges cross none."""
+    each = rings.select("id", F.posexplode(F.arrays_zip("xs", "ys")).alias("i", "p"), F.size("xs").alias("n"), "xs", "ys")
+    after = (F.col("i") + 1) % F.col("n")
+    edges = each.select("id", F.col("p.xs").alias("x0"), F.col("p.ys").alias("y0"), F.get("xs", after).alias("x1"), F.get("ys", after).alias("y1")).where("y0 <> y1")
+    bands = F.sequence(F.floor(F.least("y0", "y1") / band).cast("long"), F.floor(F.greatest("y0", "y1") / band).cast("long"))
+    return edges.withColumn("_band", F.explode(bands))
+
+
+def inside_polygons(df: DataFrame, rings: DataFrame, x: str = "x", y: str = "y", *, band: float = 5.0) -> DataFrame:
+    """Adds ``inside``: whether a point lies in any polygon of ``rings`` (id, xs, ys) by the even-odd rule, so that rings inside
+    a polygon's outer one are holes.
 
-    A catalogue of polygons is small; its edges are one array sent along, tested inside codegen-free array functions
-    after a bounding-box test."""
-    edges = rings.select(F.transform(F.sequence(F.lit(0), F.size("xs") - 1), lambda i: F.struct(F.get("xs", i).alias("x0"), F.get("ys", i).alias("y0"), F.get("xs", (i + 1) % F.size("xs")).alias("x1"), F.get("ys", (i + 1) % F.size("ys")).alias("y1"))).alias("e"), F.array_min("xs").alias("lo"), F.array_max("xs").alias("hi"))
-    one = edges.agg(F.collect_list(F.struct("e", "lo", "hi")).alias("_polys"))
-    px, py = F.col(x), F.col(y)
-    crosses = lambda s: ((s["y0"] > py) != (s["y1"] > py)) & (px < (s["x1"] - s["x0"]) * (py - s["y0"]) / F.when(s["y1"] != s["y0"], s["y1"] - s["y0"]).otherwise(1.0) + s["x0"])
-    hit = F.exists("_polys", lambda p: (px >= p["lo"]) & (px <= p["hi"]) & (F.size(F.filter(p["e"], crosses)) % 2 == 1))
-    return df.crossJoin(F.broadcast(one)).withColumn("inside", hit).drop("_polys")
+    Points meet the edges that cross their band of y, in an equi-join; each (point, polygon) counts the edges to its
+    right. Edges are sent along up to a bound, else both sides are dealt out by band."""
+    edges = polygon_edges(rings, band)
+    few = edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
+    points = df.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(y) / band).cast("long").alias("_band")).distinct()
+    px, py = F.col("_x"), F.col("_y")
+    crosses = ((F.col("y0") > py) != (F.col("y1") > py)) & (px < (F.col("x1") - F.col("x0")) * (py - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0"))
+    met = points.join(F.broadcast(edges) if few else edges, "_band", "left").where(F.coalesce(crosses, F.lit(False)))
+    hit = met.groupBy("_x", "_y", "id").agg((F.count(F.lit(1)) % 2 == 1).alias("odd")).where("odd").select("_x", "_y").distinct()
+    out = df.withColumn("_x", F.col(x)).withColumn("_y", F.col(y)).join(hit.withColumn("_hit", F.lit(True)), ["_x", "_y"], "left")
+    return out.withColumn("inside", F.col("_hit").isNotNull()).drop("_x", "_y", "_hit")

@@ -10,9 +10,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from groundswell.operators.neighbourhood import convolve_lines, gaussian_weights
+
+
+#: Cells of a field that one task may hold.
+MOST_CELLS = 4_000_000
+
 
 def per_field(df: DataFrame, keys: list[str], shape: tuple[int, int], function: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], layers: list[str], schema: str) -> DataFrame:
     """``function`` on the layers of each field as 2-D arrays (NaN for NULL or absent cells); one row a cell comes back."""
+    if shape[0] * shape[1] > MOST_CELLS:
+        raise ValueError(f"a field of {shape[0]} x {shape[1]} cells is too large for one task: average it in blocks first")
     kinds = {f.split()[0]: f.split()[1] for f in schema.split(", ")}
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -34,7 +42,10 @@ def per_field(df: DataFrame, keys: list[str], shape: tuple[int, int], function:
 
 
 def nearest_valid(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, squared distance) of the valid cell nearest to each cell; of equals the first by row, then column."""
+    """(row, column, squared distance) of the valid cell nearest to each cell; of equals the first by row, then column.
+
+    Each cell first looks along its column, and then at the columns to either side in turn, until none can be nearer:
+    work is in proportion to the distances, and cells that are done are looked at no more."""
     ny, nx = mask.shape
     if not mask.any():
         raise ValueError("no valid cell")
@@ -42,17 +53,27 @@ def nearest_valid(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     rows = np.arange(ny)[:, None]
     above = np.maximum.accumulate(np.where(mask, rows, -far), axis=0)
     below = np.minimum.accumulate(np.where(mask, rows, far)[::-1], axis=0)[::-1]
-    pick = np.where(rows - above <= below - rows, above, below)  # nearest in the column, the upper of equals
-    gap = np.abs(rows - pick).astype(np.int64)
-    cols = np.arange(nx)
-    step = (cols[:, None] - cols[None, :]) ** 2
-    out = np.empty((ny, nx), np.int64)
-    scale = np.int64(ny * nx)
-    for r in range(ny):
-        ok = gap[r] < far // 2
-        key = (step[:, ok] + gap[r][ok] ** 2) * scale + pick[r][ok] * nx + cols[ok]
-        out[r] = key.min(axis=1)
-    return out % scale // nx, out % nx, out // scale
+    pick = np.where(rows - above <= below - rows, above, below).astype(np.int64)  # the upper of equals
+    gap = (rows - pick) ** 2
+    none = (np.abs(pick) >= far) | (pick < 0)
+    gap = np.where(none, np.int64(far) ** 2, gap)
+    source = np.where(none, 0, pick) * nx + np.arange(nx)
+    best, where = gap.ravel().copy(), source.ravel().copy()
+    gap, source = gap.ravel(), source.ravel()
+    active = np.flatnonzero(best > 0)
+    col = active % nx
+    for d in range(1, nx):
+        keep = best[active] >= d * d
+        active, col = active[keep], col[keep]
+        if not len(active):
+            break
+        for step in (-d, d):
+            ok = (col + step >= 0) & (col + step < nx)
+            cell = active[ok]
+            reach, came = gap[cell + step] + d * d, source[cell + step]
+            better = (reach < best[cell]) | ((reach == best[cell]) & (came < where[cell]))
+            best[cell[better]], where[cell[better]] = reach[better], came[better]
+    return (where // nx).reshape(mask.shape), (where % nx).reshape(mask.shape), best.reshape(mask.shape)
 
 
 def fill_nearest(v: np.ndarray) -> np.ndarray:
@@ -60,6 +81,67 @@ def fill_nearest(v: np.ndarray) -> np.ndarray:
     return v[r, c]
 
 
+def smooth(v: np.ndarray, sigma: float, mode: str = "nearest") -> np.ndarray:
+    weights = gaussian_weights(sigma)
+    return convolve_lines(convolve_lines(v, weights, mode).T, weights, mode).T
+
+
+def fill_gaps(v: np.ndarray, method: str = "nearest_smooth", *, sigma: float = 3.0, reach: int | None = None) -> np.ndarray:
+    """Invalid cells by one of four methods; valid ones stay as they are, and what a method leaves open comes from the nearest.
+
+    nearest: the nearest valid cell. nearest_smooth: that, with the filled cells smoothed. idw: by inverse distance within
+    ``reach`` (None: the whole field). biharmonic: the field of least curvature through the valid cells."""
+    ok = np.isfinite(v)
+    if not ok.any():
+        raise ValueError("no valid cell to fill from")
+    if ok.all():
+        return v.copy()
+    if method == "idw":
+        out = fill_idw(v, max(v.shape) if reach is None else reach)
+        return out if np.isfinite(out).all() else fill_nearest(out)
+    near = fill_nearest(v)
+    if method == "nearest":
+        return near
+    if method == "nearest_smooth":
+        return np.where(ok, v, smooth(near, sigma)) if sigma > 0 else near
+    if method == "biharmonic":
+        return _least_curvature(v, near)
+    raise ValueError(f"unknown way to fill gaps: {method}")
+
+
+def _least_curvature(v: np.ndarray, start: np.ndarray, *, rounds: int = 2000, tolerance: float = 1e-10) -> np.ndarray:
+    """The open cells that minimise the sum of squared second differences along both axes, by conjugate gradients."""
+    open_ = ~np.isfinite(v)
+
+    def curvature(a: np.ndarray) -> np.ndarray:
+        """The gradient of half that sum."""
+        out = np.zeros_like(a)
+        for axis in (0, 1):
+            x, y = np.moveaxis(a, axis, 0), np.moveaxis(out, axis, 0)
+            if len(x) > 2:
+                second = x[:-2] - 2 * x[1:-1] + x[2:]
+                y[:-2] += second
+                y[1:-1] -= 2 * second
+                y[2:] += second
+        return out
+
+    x = np.where(open_, start, v)
+    left = np.where(open_, -curvature(x), 0.0)
+    way, size = left.copy(), float((left**2).sum())
+    for _ in range(rounds):
+        if size <= tolerance**2:
+            break
+        along = np.where(open_, curvature(way), 0.0)
+        bend = float((way * along).sum())
+        if bend <= 0:
+            break
+        x = x + size / bend * way
+        left = left - size / bend * along
+        fresh = float((left**2).sum())
+        way, size = left + fresh / size * way, fresh
+    return np.where(open_, x, v)
+
+
 def fill_idw(v: np.ndarray, reach: int, passes: int = 0) -> np.ndarray:
     """Gaps by inverse distance of the first valid cell in eight directions within ``reach``; ``passes`` of 3×3 means over what was filled."""
     ny, nx = v.shape
@@ -128,40 +210,6 @@ def segment_regions(land: np.ndarray, *, erosions: int = 3, least: int = 20) ->
     return np.where(np.isin(lab, kept), np.searchsorted(kept, lab) + 1, 0) if len(kept) else np.zeros_like(lab)
 
 
-def anchored_cycles(residual: np.ndarray, labels: np.ndarray, gnss: np.ndarray, cycle: float, *, reach: int, least: int, edge: int, tolerance: float = 0.15, veto: bool = True) -> dict[int, int]:
-    """Whole cycles by which each region is shifted, found from the largest region outwards.
-
-    A region is measured by the median step between its cells and anchored ones within ``reach`` of each other. It
-    is anchored itself if the step is 0 cycles, or close to a whole number and not better explained by GNSS without it."""
-    ok = np.isfinite(residual) & (labels > 0)
-    ids, sizes = np.unique(labels[labels > 0], return_counts=True)
-    shifts = {int(i): 0 for i in ids}
-    if not len(ids):
-        return shifts
-    order = [int(ids[k]) for k in np.argsort(-sizes, kind="stable")]
-    anchored, moved, misfit = labels == order[0], residual.copy(), residual - gnss
-    main = misfit[anchored & ok]
-    offset = float(np.median(main)) if main.size else 0.0
-    for i in order[1:]:
-        mine = (labels == i) & ok
-        if mine.sum() < least:
-            continue
-        whole = labels == i
-        inner = mine & (nearest_valid(anchored)[2] <= reach * reach)
-        outer = anchored & ok & (nearest_valid(whole)[2] <= reach * reach)
-        if inner.sum() < edge or outer.sum() < edge:
-            continue
-        jump = (np.median(moved[inner]) - np.median(moved[outer])) / cycle
-        against = (np.median(misfit[mine]) - offset) / cycle
-        n = round(float(jump))
-        if n and (abs(jump - n) >= tolerance or (veto and abs(against - n) >= abs(against))):
-            continue
-        shifts[i] = -n
-        moved = np.where(whole, moved - n * cycle, moved)
-        anchored = anchored | whole
-    return shifts
-
-
 def savgol(v: np.ndarray, length: int, order: int) -> np.ndarray:
     """Savitzky–Golay along both axes; edges by the polynomial of the outermost window."""
     if length % 2 == 0 or order >= length:
@@ -190,6 +238,18 @@ def fft_lowpass(v: np.ndarray, sigma: float, *, window: str = "gaussian") -> np.
     return np.fft.ifft2(np.fft.fft2(v) * gain).real
 
 
+#: Nodes of a dense radial system: 8 bytes a pair of them on the driver.
+MOST_NODES = 5_000
+
+
+def few_nodes(nodes: DataFrame) -> pd.DataFrame:
+    """A table of nodes on the driver; an error, and no cut, where there are more than a dense system can hold."""
+    found = nodes.limit(MOST_NODES + 1).toPandas()
+    if len(found) > MOST_NODES:
+        raise ValueError(f"over {MOST_NODES} nodes: solve by overlapping boxes of them")
+    return found
+
+
 def rbf_weights(x: np.ndarray, y: np.ndarray, z: np.ndarray, *, smooth: float = 1.0, kind: str = "cubic") -> tuple[np.ndarray, float]:
     """Weights of radial functions at the nodes, and the scale of their coordinates."""
     scale = max(float(np.ptp(x)), float(np.ptp(y)), 1e-12)
@@ -214,22 +274,3 @@ def grow_mask(coherence: np.ndarray, velocity: np.ndarray, *, seed: float = 0.85
         r, c, d2 = nearest_valid(mask)
         mask = mask | ((np.nan_to_num(coherence) >= level) & (d2 <= reach * reach) & (np.abs(velocity - velocity[r, c]) <= most))
     return mask
-
-
-def robust_plane(v: np.ndarray, *, rounds: int = 3, limit: float = 3.0) -> np.ndarray:
-    """A plane through the valid cells, refitted without those beyond ``limit`` scaled MADs."""
-    r, c = np.indices(v.shape)
-    ok = np.isfinite(v)
-    a = np.stack([np.ones(v.size), c.ravel(), r.ravel()], 1)
-    use, coef = ok.ravel(), np.zeros(3)
-    for _ in range(rounds):
-        if use.sum() < 3:
-            break
-        coef = np.linalg.lstsq(a[use], v.ravel()[use], rcond=None)[0]
-        res = v.ravel() - a @ coef
-        med = np.median(res[use])
-        mad = 1.4826 * np.median(np.abs(res[use] - med))
-        if mad <= 0:
-            break
-        use = ok.ravel() & (np.abs(res - med) <= limit * mad)
-    return (a @ coef).reshape(v.shape)

@@ -1,49 +1,82 @@
-"""Kernel smoothing, local-linear surfaces, tapered windows and resampling as joins with small index tables.
+"""Kernel smoothing, local-linear surfaces, tapered windows and resampling.
 
-Each index table has (axis length) × (kernel width) rows, fixed by the grid and not by the number of fields."""
+Smoothing gathers lines of cells and convolves them in Arrow batches; windows and blocks of cells follow from arithmetic."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundswell.functions.scalars import hann
+from groundswell.functions.scalars import kernel_sigma, smoothstep
 from groundswell.operators.fits import plane
 
 
-def kernel_table(n: int, sigma: float, *, mode: str = "constant", truncate: float = 4.0) -> list[tuple[int, int, float]]:
-    """(input index, output index, weight) of a normalised Gaussian along an axis of n cells.
+#: Cells of a batch of lines that a worker holds as arrays at once.
+LINE_CELLS = 200_000
+#: How a line goes on beyond its ends: with zeros, its end cells, or mirrored with the end cells doubled.
+_BEYOND = {"constant": "constant", "nearest": "edge", "reflect": "symmetric"}
 
-    Cells beyond the edge are 0 (constant), the edge cell (nearest) or mirrored with the edge cell doubled (reflect)."""
+
+def gaussian_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
+    """A normalised Gaussian, cut at ``truncate`` sigmas."""
     radius = int(truncate * sigma + 0.5)
-    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    total = sum(raw)
-    found: dict[tuple[int, int], float] = {}
-    for o in range(n):
-        for k, w in enumerate(raw):
-            i = o + k - radius
-            if not 0 <= i < n:
-                if mode == "constant":
-                    continue
-                if mode == "nearest":
-                    i = min(max(i, 0), n - 1)
-                else:
-                    i = i % (2 * n)
-                    i = 2 * n - 1 - i if i >= n else i
-            found[i, o] = found.get((i, o), 0.0) + w / total
-    return [(i, o, w) for (i, o), w in sorted(found.items())]
+    raw = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    return raw / raw.sum()
+
+
+def convolve_lines(a: np.ndarray, weights: np.ndarray, mode: str) -> np.ndarray:
+    """Lines along axis 1 under a symmetric kernel; wide kernels by Fourier transform."""
+    radius = len(weights) // 2
+    wide = np.pad(a, [(0, 0), (radius, radius)] + [(0, 0)] * (a.ndim - 2), mode=_BEYOND[mode])
+    n = a.shape[1]
+    if radius <= 24:
+        return sum(w * wide[:, k : k + n] for k, w in enumerate(weights))
+    size = 1 << (wide.shape[1] + 2 * radius).bit_length()
+    gain = np.fft.rfft(weights, size).reshape([1, -1] + [1] * (a.ndim - 2))
+    return np.fft.irfft(np.fft.rfft(wide, size, axis=1) * gain, size, axis=1)[:, 2 * radius : 2 * radius + n]
 
 
 def gaussian(df: DataFrame, keys: list[str], values: list[str], shape: tuple[int, int], sigma: float, *, mode: str = "constant", truncate: float = 4.0) -> DataFrame:
-    """keys, r, c and the smoothed ``values``: two passes along the axes, each a join and a hash aggregate. NULL counts as 0."""
-    out = df.select(*keys, "r", "c", *[F.coalesce(F.col(v), F.lit(0.0)).alias(v) for v in values])
+    """keys, r, c and the smoothed ``values``; NULL and absent cells count as 0.
+
+    One shuffle an axis gathers each line of a field as one array; lines are convolved where they meet, whole batches
+    of them at a time, so rows don't grow with the kernel. Comes out for each cell of the lines that have one."""
+    weights = gaussian_weights(sigma, truncate)
+    kinds = dict(df.dtypes)
+    out = df.select(*keys, "r", "c", *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values])
     for axis, n in (("r", shape[0]), ("c", shape[1])):
-        table = df.sparkSession.createDataFrame(kernel_table(n, sigma, mode=mode, truncate=truncate), "_i int, _o int, _w double")
         other = "c" if axis == "r" else "r"
-        out = out.join(F.broadcast(table), F.col(axis) == F.col("_i")).groupBy(*keys, F.col("_o").alias(axis), other).agg(*[F.sum(F.col(v) * F.col("_w")).alias(v) for v in values])
-    return out.select(*keys, "r", "c", *values)
+        lines = out.groupBy(*keys, other).agg(F.collect_list(F.struct(F.col(axis).cast("int").alias("_i"), *values)).alias("_line"))
+
+        def run(batches: Iterator[pa.RecordBatch], axis=axis, other=other, n=n) -> Iterator[pa.RecordBatch]:
+            step = max(1, LINE_CELLS // n)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, step):
+                    part = batch.slice(lo, step)
+                    line = part.column("_line")
+                    cells = line.flatten()
+                    of = np.repeat(np.arange(len(line)), line.value_lengths().to_numpy())
+                    at = cells.field("_i").to_numpy()
+                    ok = (at >= 0) & (at < n)
+                    dense = np.zeros((len(line), n, len(values)))
+                    for k, v in enumerate(values):
+                        dense[of[ok], at[ok], k] = cells.field(v).to_numpy()[ok]
+                    done = convolve_lines(dense, weights, mode).reshape(-1, len(values))
+                    take = pa.array(np.repeat(np.arange(len(line)), n))
+                    columns = {k: part.column(k).take(take) for k in [*keys, other]} | {axis: pa.array(np.tile(np.arange(n, dtype=np.int32), len(line)))}
+                    columns |= {v: pa.array(np.ascontiguousarray(done[:, k])) for k, v in enumerate(values)}
+                    names = [*keys, "r", "c", *values]
+                    yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+        schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"r {'int' if axis == 'r' else kinds['r']}", f"c {'int' if axis == 'c' else kinds['c']}"] + [f"`{v}` double" for v in values])
+        out = lines.mapInArrow(run, schema)
+        kinds[axis] = "int"
+    return out
 
 
 def gaussian_masked(df: DataFrame, keys: list[str], shape: tuple[int, int], sigma: float, *, value: str = "v", mode: str = "reflect", truncate: float = 2.0) -> DataFrame:
@@ -86,27 +119,48 @@ def fit_sigma(df: DataFrame, keys: list[str], shape: tuple[int, int], sigma: flo
     return out.select(*keys, "r", "c", F.when(ok, n_eff).alias("n_eff"), F.when(ok, F.sqrt(F.col("sr2") / F.col("s0") / n_eff)).alias("sigma_fit"))
 
 
-def window_starts(length: int, size: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, stop) of sliding windows along an axis, the last cut short; one window if it covers the axis."""
-    if size >= length:
-        return [(0, length)]
-    out, start = [], 0
-    while True:
-        out.append((start, min(start + size, length)))
-        if start + size >= length:
-            return out
-        start += size - overlap
+def loclin_surface(df: DataFrame, keys: list[str], shape: tuple[int, int], *, pixel_m: float, cutoff_m: float, value: str = "v", weight: str = "w", data: str | None = None, blend: tuple[float, float] = (0.05, 0.3)) -> DataFrame:
+    """keys, r, c, surface, coverage: the local-linear surface with its half response at ``cutoff_m``, finite everywhere.
+
+    Where the kernel sees little weight (coverage below ``blend``) the smoothed field itself stands in, and between the
+    two limits a smoothstep leads from one to the other. ``data`` names a mask (1 where there is data) to measure
+    coverage by, instead of by the weights. ``value`` has no gaps."""
+    sigma = kernel_sigma(cutoff_m, pixel_m)
+    level = local_linear(df, keys, shape, sigma, value=value, weight=weight)
+    base = gaussian(df, keys, [value], shape, sigma, mode="nearest").withColumnRenamed(value, "_base")
+    if data is not None:
+        seen = gaussian(df, keys, [data], shape, sigma).select(*keys, "r", "c", F.col(data).alias("coverage"))
+        level = level.drop("coverage").join(seen, [*keys, "r", "c"])
+    beta = smoothstep((F.col("coverage") - blend[0]) / (blend[1] - blend[0]))
+    own = F.when(beta > 0, F.coalesce("level", F.col("_base"))).otherwise(0.0)
+    return level.join(base, [*keys, "r", "c"]).select(*keys, "r", "c", (beta * own + (1 - beta) * F.col("_base")).alias("surface"), "coverage")
+
+
+def _windows_of(i: Column, n: int, size: int, overlap: int) -> tuple[Column, int]:
+    """The numbers of the windows that hold cell i of an axis of n, as an array, and how many windows there are. Window k
+    begins at k * (size - overlap), and the last one is cut short; one window if it covers the axis."""
+    if size >= n:
+        return F.array(F.lit(0)), 1
+    step = size - overlap
+    count = -(-(n - size) // step) + 1
+    first = F.greatest(F.ceil((i - (size - 1)) / F.lit(float(step))).cast("int"), F.lit(0))
+    return F.sequence(first, F.least(F.floor(i / F.lit(float(step))).cast("int"), F.lit(count - 1))), count
 
 
 def windowed_plane(df: DataFrame, keys: list[str], shape: tuple[int, int], size: int, overlap: int, *, value: str = "v", most_missing: float = 0.8) -> DataFrame:
-    """keys, r, c, surface: planes fitted in sliding windows, blended by Hann tapers over valid cells; NULL where no taper reaches."""
-    wins = [(k, a, b, c, d) for k, ((a, b), (c, d)) in enumerate((p, q) for p in window_starts(shape[0], size, overlap) for q in window_starts(shape[1], size, overlap))]
-    cells = [(k, r, c, a, b, x, y) for k, a, b, x, y in wins for r in range(a, b) for c in range(x, y)]
-    table = df.sparkSession.createDataFrame(cells, "win int, r int, c int, r0 int, r1 int, c0 int, c1 int")
-    rows = df.select(*keys, "r", "c", F.col(value).alias("v")).join(F.broadcast(table), ["r", "c"])
-    center = plane(rows, [*keys, "win"])
-    enough = rows.groupBy(*keys, "win").agg((F.count("v") >= F.count(F.lit(1)) * (1 - most_missing)).alias("enough"))
-    fit = rows.join(center, [*keys, "win"]).join(enough.where("enough"), [*keys, "win"])
+    """keys, r, c, surface: planes fitted in sliding windows, blended by Hann tapers over valid cells; NULL where no taper reaches.
+
+    A cell's windows follow from its place; a window of which over ``most_missing`` of the cells are invalid is left out."""
+    if not 0 <= overlap < size:
+        raise ValueError("windows have to move on")
+    rows = df.select(*keys, "r", "c", F.col(value).alias("v"))
+    step = size - overlap
+    for axis, n in (("r", shape[0]), ("c", shape[1])):
+        found, _ = _windows_of(F.col(axis), n, size, overlap)
+        rows = rows.withColumn(f"_w{axis}", F.explode(found)).withColumn(f"{axis}0", F.col(f"_w{axis}") * step).withColumn(f"{axis}1", F.least(F.col(f"{axis}0") + size, F.lit(n)))
+    by = [*keys, "_wr", "_wc"]
+    area = (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0"))
+    fit = rows.join(plane(rows, by, count="_n"), by).where(F.col("_n") >= area * (1 - most_missing))
     taper = F.when(F.col("v").isNotNull(), _taper(F.col("r") - F.col("r0"), F.col("r1") - F.col("r0")) * _taper(F.col("c") - F.col("c0"), F.col("c1") - F.col("c0"))).otherwise(0.0)
     level = F.col("p0") + F.col("px") * F.col("c") + F.col("py") * F.col("r")
     out = fit.groupBy(*keys, "r", "c").agg(F.try_divide(F.sum(taper * level), F.nullif(F.sum(taper), F.lit(0.0))).alias("surface"))
@@ -118,10 +172,13 @@ def _taper(i: Column, n: Column) -> Column:
 
 
 def upsample_nearest(df: DataFrame, keys: list[str], factor: int, coarse: tuple[int, int], shape: tuple[int, int], value: str = "v") -> DataFrame:
-    """Each fine cell takes the coarse cell min(i div factor, n − 1)."""
-    cells = _grid(df, shape).withColumn("_r", F.least(F.floor(F.col("r") / factor), F.lit(coarse[0] - 1)).cast("int")).withColumn("_c", F.least(F.floor(F.col("c") / factor), F.lit(coarse[1] - 1)).cast("int"))
-    small = df.select(*keys, F.col("r").alias("_r"), F.col("c").alias("_c"), value)
-    return small.join(F.broadcast(cells), ["_r", "_c"]).select(*keys, "r", "c", value)
+    """Each fine cell takes the coarse cell min(i div factor, n − 1): each coarse cell is spread over its block, without a join."""
+    out = df.select(*keys, "r", "c", value)
+    for axis, n, fine in (("r", coarse[0], shape[0]), ("c", coarse[1], shape[1])):
+        first = F.col(axis) * factor
+        last = F.when(F.col(axis) == n - 1, F.lit(fine - 1)).otherwise(F.least(first + factor - 1, F.lit(fine - 1)))
+        out = out.where(first < fine).withColumn(axis, F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    return out
 
 
 def upsample_bilinear(df: DataFrame, keys: list[str], coarse: tuple[int, int], shape: tuple[int, int], value: str = "v") -> DataFrame:
@@ -142,11 +199,6 @@ def _corners(o: int, n: int, m: int) -> list[tuple[int, float]]:
     return [(i, 1 - (src - i)), (i + 1, src - i)] if n > 1 else [(0, 1.0)]
 
 
-def _grid(df: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    cells = df.sparkSession.range(shape[0] * shape[1])
-    return cells.select((F.col("id") / shape[1]).cast("int").alias("r"), (F.col("id") % shape[1]).cast("int").alias("c"))
-
-
 def sample_points(points: DataFrame, field: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """Adds ``sample``: bilinear value of each point (y, x in cells), NULL outside the grid or beside a NULL cell. Four equi-joined corners."""
     fr, fc = F.floor("y"), F.floor("x")

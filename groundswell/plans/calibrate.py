@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from groundswell.functions.scalars import HUBER_C, MAD_SCALE, coherence_weight
 from groundswell.operators.aggregates import block_aggregate, mad_outliers
-from groundswell.operators.fits import plane
-from groundswell.operators.kernels import connected, fill_nearest, nearest_valid, per_field, robust_plane
-from groundswell.operators.neighbourhood import gaussian, gaussian_masked, kernel_table, local_linear, upsample_bilinear, windowed_plane
+from groundswell.operators.fits import plane, robust_plane
+from groundswell.operators.kernels import connected, fill_nearest, nearest_valid, per_field
+from groundswell.operators.neighbourhood import gaussian, gaussian_masked, local_linear, upsample_bilinear, windowed_plane
+from groundswell.session import settled
 
 
 def calibrate_plane(df: DataFrame, keys: list[str], *, disp: str = "disp", gnss: str = "gnss", center: tuple[float, float] = (3.5, 3.5)) -> DataFrame:
@@ -39,7 +40,7 @@ def robust_weights(df: DataFrame, keys: list[str], shape: tuple[int, int], sigma
         mad = near.groupBy(*keys).agg((F.lit(MAD_SCALE) * F.median("far")).alias("mad"))
         z = F.col("far") / F.col("mad")
         fresh = F.when((F.col("n") < 10) | (F.col("mad") <= 0), F.col("robust")).when(F.col("far").isNull() | (z > threshold), 0.0).when(z > HUBER_C, HUBER_C / z).otherwise(1.0)
-        rows = near.join(mad, keys).withColumn("robust", fresh).select(*df.columns, "robust")
+        rows = settled(near.join(mad, keys).withColumn("robust", fresh).select(*df.columns, "robust"))
     return rows
 
 
@@ -55,15 +56,14 @@ def calibrate_pair(df: DataFrame, keys: list[str], shape: tuple[int, int], *, si
     ref = rows.where("work IS NOT NULL").groupBy(*keys).agg(best.alias("p")).select(*keys, F.col("p.work").alias("reference"))
     rows = rows.join(ref, keys).withColumn("v", F.col("work") - F.col("reference"))
     full = per_field(rows, keys, shape, lambda f: {"filled": fill_nearest(f["v"])}, ["v"], "filled double")
-    rows = rows.join(full, [*keys, "r", "c"])
+    rows = settled(rows.join(full, [*keys, "r", "c"]))
     weight = F.when(F.col("v").isNotNull(), coherence_weight("coherence", coherence_power)).otherwise(filled)
     cells = robust_weights(rows.select(*keys, "r", "c", F.col("filled").alias("v"), weight.alias("w")), keys, shape, sigma)
     level = local_linear(cells.withColumn("w", F.col("w") * F.col("robust")), keys, shape, sigma)
-    out = rows.join(level.select(*keys, "r", "c", F.col("level").alias("surface")), [*keys, "r", "c"])
+    out = settled(rows.join(level.select(*keys, "r", "c", F.col("level").alias("surface")), [*keys, "r", "c"]))
     if two_pass:
-        left = out.withColumn("rest", F.col("v") - F.col("surface"))
-        tie = per_field(left, keys, shape, lambda f: {"tie": robust_plane(f["rest"])}, ["rest"], "tie double")
-        out = out.join(tie, [*keys, "r", "c"])
+        fit = robust_plane(out.withColumn("rest", F.col("v") - F.col("surface")), keys, value="rest")
+        out = out.join(fit, keys).withColumn("tie", F.col("p0") + F.col("px") * F.col("c") + F.col("py") * F.col("r")).drop("p0", "px", "py")
     else:
         out = out.withColumn("tie", F.lit(0.0))
     valid = F.col("v").isNotNull()
@@ -125,17 +125,6 @@ def calibrate_windowed(df: DataFrame, keys: list[str], shape: tuple[int, int], r
     return out.select(*keys, "r", "c", "calibration", (F.col("disp") - F.col("calibration")).alias("calibrated"))
 
 
-def smooth_array(v: np.ndarray, sigma: float, mode: str = "constant") -> np.ndarray:
-    """The same Gaussian on an array, for tests and kernels."""
-    for axis in (0, 1):
-        n = v.shape[axis]
-        m = np.zeros((n, n))
-        for i, o, w in kernel_table(n, sigma, mode=mode):
-            m[o, i] += w
-        v = np.moveaxis(np.tensordot(m, v, axes=([1], [axis])), 0, axis)
-    return v
-
-
 def circle_km(lon: float, lat: float, km: float, points: int = 36) -> tuple[list[float], list[float]]:
     """A ring about a point on the sphere."""
     d, la, lo = km / 6371.0, math.radians(lat), math.radians(lon)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundswell.functions import scalars as S
 from groundswell.operators import aggregates as A
-from groundswell.operators import fits, joins, kernels
+from groundswell.operators import cycles, fits, joins, kernels
 from groundswell.operators import neighbourhood as N
 from groundswell.plans import fixtures as X
 from groundswell.plans.calibrate import calibrate_pair, calibrate_plane, calibrate_windowed, robust_weights
@@ -279,16 +279,31 @@ def connected_regions(spark: SparkSession, d: str) -> DataFrame:
     return kernels.per_field(rows, VEC, X.TILE, lambda f: {"label": kernels.connected(f["m"] > 0)}, ["m"], "label int")
 
 
-def _cycles(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    lab = kernels.segment_regions(f["land"] > 0, erosions=1, least=8)
-    shifts = kernels.anchored_cycles(f["v"], lab, f["gnss"], 5.0, reach=12, least=5, edge=3, tolerance=0.45)
-    return {"region": lab, "cycles": np.vectorize(lambda i: shifts.get(int(i), 0), otypes=[int])(lab)}
+def _regions(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {"label": kernels.segment_regions(f["land"] > 0, erosions=1, least=8)}
 
 
-def segmented_cycles(spark: SparkSession, d: str) -> DataFrame:
+def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Cells (frame, r, c, residual, label) and decisions of the scene's land, cut by a grid of water."""
     rows = X.scene(spark, d).withColumn("land", F.when((F.col("r") % 25 < 22) & (F.col("c") % 20 < 17), 1.0).otherwise(0.0))
-    rows = rows.withColumn("v", F.col("v") + F.when((F.col("r") > 50) & (F.col("c") > 60), 40.0).otherwise(0.0)).withColumn("gnss", F.lit(0.0))
-    return kernels.per_field(rows, ["frame"], (100, 100), _cycles, ["land", "v", "gnss"], "region int, cycles int")
+    rows = rows.select("frame", "r", "c", "land", "coherence", (F.col("v") + F.when((F.col("r") > 50) & (F.col("c") > 60), 40.0).otherwise(0.0)).alias("residual"))
+    labels = kernels.per_field(rows, ["frame"], (100, 100), _regions, ["land"], "label int")
+    cells = rows.join(labels, ["frame", "r", "c"]).withColumn("gnss", F.lit(0.0)).withColumn("coherent", F.lit(1))
+    return cells, cycles.decisions(cells, ["frame"], (100, 100), 5.0, cycles.Limits(reach=12, least=5, edge=3, tolerance=0.45))
+
+
+def segmented_cycles(spark: SparkSession, d: str) -> DataFrame:
+    cells, found = _decided(spark, d)
+    out = cells.join(found.select("frame", F.col("region").alias("label"), "cycles"), ["frame", "label"], "left")
+    return out.select("frame", "r", "c", F.col("label").alias("region"), F.coalesce("cycles", F.lit(0)).alias("cycles"))
+
+
+def cycle_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return _decided(spark, d)[1].select("frame", "region", "pixels", "coherent", *_r("jump", "gnss_rel"), "cycles", "accepted", "anchor", "method", "reason")
+
+
+def cycle_summary(spark: SparkSession, d: str) -> DataFrame:
+    return cycles.summary(_decided(spark, d)[1], ["frame"])
 
 
 def lowpass_family(spark: SparkSession, d: str) -> DataFrame:
@@ -302,7 +317,7 @@ def lowpass_family(spark: SparkSession, d: str) -> DataFrame:
 
 def rbf_surface(spark: SparkSession, d: str) -> DataFrame:
     """A smooth surface through the stations, evaluated on a grid: nodes are a table of stations, solved once and sent along."""
-    nodes = X.stations(spark, d).select("lon", "lat").orderBy("id").limit(2000).toPandas()
+    nodes = kernels.few_nodes(X.stations(spark, d).select("id", "lon", "lat")).sort_values("id")
     x, y = nodes["lon"].to_numpy(), nodes["lat"].to_numpy()
     weights, scale = kernels.rbf_weights(x, y, np.sin(x / 57) + y / 90)
 
@@ -327,7 +342,7 @@ def tropo_line_of_sight(spark: SparkSession, d: str) -> DataFrame:
 
 def polynomial_surface(spark: SparkSession, d: str) -> DataFrame:
     x, y, coef = F.col("c") / F.lit(7.0), F.col("r") / F.lit(7.0), F.array(*[F.lit(k / 10) for k in range(1, 11)])
-    out = X.tiles(spark, d).where("vec_id < 3").select("vec_id", "r", "c", *[S.polynomial(x, y, coef, o).alias(f"p{str(o).replace('.', '_')}") for o in (0, 1, 1.5, 2, 3)])
+    out = X.tiles(spark, d).select("vec_id", "r", "c", *[S.polynomial(x, y, coef, o).alias(f"p{str(o).replace('.', '_')}") for o in (0, 1, 1.5, 2, 3)])
     return out.select("vec_id", "r", "c", *_r("p0", "p1", "p1_5", "p2", "p3"))
 
 
