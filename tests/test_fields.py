@@ -9,9 +9,21 @@ from pyspark.sql import functions as F
 
 from groundswell.functions import scalars as S
 from groundswell.operators import aggregates as A
-from groundswell.operators import fits, joins, kernels
+from groundswell.operators import cycles, fits, joins, kernels
 from groundswell.operators import neighbourhood as N
-from groundswell.plans.calibrate import calibrate_pair, calibrate_windowed, robust_weights, smooth_array
+from groundswell.plans.calibrate import calibrate_pair, calibrate_windowed, robust_weights
+
+
+def smooth_array(v, sigma, mode="constant"):
+    """Cell by cell, with the weights of a normal density."""
+    reach = int(4 * sigma + 0.5)
+    k = np.arange(-reach, reach + 1)
+    w = np.exp(-(k**2) / (2 * sigma**2))
+    w /= w.sum()
+    for axis in (0, 1):
+        wide = np.pad(v, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)], mode={"constant": "constant", "nearest": "edge", "reflect": "symmetric"}[mode])
+        v = np.apply_along_axis(lambda x: np.convolve(x, w, "valid"), axis, wide)
+    return v
 
 
 def field(spark, v, **more):
@@ -109,14 +121,123 @@ def test_components_and_segments():
     assert lab.max() == 2 and (lab > 0).sum() == land.sum()
 
 
-def test_anchored_cycles_measure_outwards_and_respect_gnss():
-    lab = np.zeros((40, 90), int)
-    lab[:, :40], lab[:, 45:65], lab[:, 70:] = 1, 2, 3
-    res = np.where(lab == 2, 2.0, np.where(lab == 3, 3.0, 0.0)) + np.random.default_rng(4).normal(0, 0.01, lab.shape)
-    args = {"reach": 12, "least": 20, "edge": 10}
-    assert kernels.anchored_cycles(res, lab, np.zeros(lab.shape), 1.0, **args) == {1: 0, 2: -2, 3: -3}
-    truth = np.where(lab == 2, 2.0, 0.0)  # the motion is real there
-    assert kernels.anchored_cycles(res, lab, truth, 1.0, **args)[2] == 0
+def test_cycles_are_decided_outwards_and_respect_gnss():
+    """A mainland and five islands: +2 cycles, +0.6, +1 as GNSS says, +1 out of reach, and +1 beyond the first island."""
+    lab = np.zeros((40, 300), int)
+    for k, (a, b) in enumerate(((0, 60), (64, 90), (120, 135), (64, 80), (200, 240), (94, 112)), 1):
+        lab[(slice(0, 18) if k != 4 else slice(22, 40)) if k != 1 else slice(0, 40), a:b] = k
+    lab[:18, 120:135] = 0
+    lab[22:, 84:99] = 3
+    truth = {1: 0.0, 2: 2.0, 3: 0.6, 4: 1.0, 5: 1.0, 6: 3.0}
+    res = np.select([lab == k for k in truth], truth.values(), np.nan) + np.random.default_rng(4).normal(0, 0.01, lab.shape)
+    gnss = np.where(lab == 4, 1.0, 0.0)
+    limits = cycles.Limits(reach=8, least=20, edge=10)
+    got = {d.region: d for d in cycles.decide(res, lab, gnss, np.isfinite(res), 1.0, limits)}
+    assert {k: d.cycles for k, d in got.items()} == {2: -2, 3: 0, 4: 0, 5: 0, 6: -3}
+    assert got[3].reason.startswith("rejected") and got[4].reason.startswith("vetoed") and got[5].reason == "not measured"
+    assert got[2].jump == pytest.approx(2, abs=0.02) and got[4].gnss_rel == pytest.approx(0, abs=0.02) and got[2].accepted and got[6].anchor
+    gated = cycles.Limits(reach=8, least=20, edge=10, gate=0.5)
+    closed = {d.region: d for d in cycles.decide(res, lab, gnss, np.isfinite(res), 1.0, gated, np.zeros(lab.shape))}
+    assert closed[2].cycles == 0 and closed[2].resid_med == 0 and "inversion" in closed[2].reason
+    opened = {d.region: d.cycles for d in cycles.decide(res, lab, gnss, np.isfinite(res), 1.0, gated, np.full(lab.shape, 2 * np.pi))}
+    assert opened == {2: -2, 3: 0, 4: 0, 5: 0, 6: -3} and cycles.decide(res, np.zeros_like(lab), gnss, np.isfinite(res), 1.0, limits) == []
+    few = cycles.Limits(reach=8, least=10_000, edge=10)
+    assert {d.reason for d in cycles.decide(res, lab, gnss, np.isfinite(res), 1.0, few)} == {"too small"} and cycles.cells_for_area(0.9, 30.0) == 1000
+
+
+def test_gaussian_weights_are_the_normal_densitys():
+    known = [0.000133830625, 0.00443186162, 0.0539911274, 0.241971446, 0.398943469]
+    assert np.allclose(N.gaussian_weights(1.0), known + known[3::-1], atol=1e-9)
+    a = np.random.default_rng(3).normal(size=(3, 50))
+    wide = N.gaussian_weights(9.0)
+    assert np.allclose(N.convolve_lines(a, wide, "constant"), [np.convolve(np.pad(x, 36), wide, "valid") for x in a])
+
+
+def test_nearest_valid_is_exact_with_ties():
+    rng = np.random.default_rng(6)
+    for share in (0.02, 0.3, 0.9):
+        mask = rng.random((23, 31)) < share
+        mask[rng.integers(0, 23), rng.integers(0, 31)] = True
+        rows, cols = np.nonzero(mask)
+        r, c, d2 = kernels.nearest_valid(mask)
+        for i in range(23):
+            for j in range(31):
+                at = (rows - i) ** 2 + (cols - j) ** 2
+                k = np.lexsort((cols, rows, at))[0]
+                assert (r[i, j], c[i, j], d2[i, j]) == (rows[k], cols[k], at[k])
+
+
+def test_fill_methods_keep_valid_cells():
+    r, c = np.indices((14, 17))
+    v = 1 + 0.5 * r - 0.2 * c
+    gappy = v.copy()
+    gappy[3:8, 4:9] = np.nan
+    gappy[0, 0] = np.nan
+    for method in ("nearest", "nearest_smooth", "idw", "biharmonic"):
+        out = kernels.fill_gaps(gappy, method)
+        assert np.isfinite(out).all() and np.array_equal(out[np.isfinite(gappy)], v[np.isfinite(gappy)])
+    assert np.allclose(kernels.fill_gaps(gappy, "biharmonic"), v, atol=1e-6)  # a plane has no curvature
+    assert np.allclose(kernels.fill_gaps(gappy, "nearest_smooth")[np.isnan(gappy)], kernels.smooth(kernels.fill_nearest(gappy), 3.0)[np.isnan(gappy)])
+    with pytest.raises(ValueError):
+        kernels.fill_gaps(np.full((3, 3), np.nan))
+    with pytest.raises(ValueError):
+        kernels.fill_gaps(gappy, "other")
+
+
+def test_robust_plane_leaves_outliers_out(spark):
+    rng = np.random.default_rng(7)
+    r, c = np.indices((20, 20))
+    v = 2 + 0.1 * c - 0.3 * r + rng.normal(0, 0.01, r.shape)
+    v[4:7, 5:9] += 40
+    v[0, 0] = np.nan
+    p = fits.robust_plane(field(spark, v), ["k"]).first()
+    use, coef = np.isfinite(v).ravel(), None
+    a = np.stack([np.ones(400), c.ravel(), r.ravel()], 1)
+    for _ in range(3):
+        coef = np.linalg.lstsq(a[use], v.ravel()[use], rcond=None)[0]
+        res = v.ravel() - a @ coef
+        med = np.median(res[use])
+        use = np.isfinite(res) & (np.abs(res - med) <= 3 * 1.4826 * np.median(np.abs(res[use] - med)))
+    assert np.allclose([p.p0, p.px, p.py], coef, atol=1e-9) and np.allclose(coef, [2, 0.1, -0.3], atol=0.02)
+
+
+def test_weighted_surfaces_match_numpy(spark):
+    rng = np.random.default_rng(9)
+    r, c = np.indices((12, 10))
+    x, y = c / 9, r / 11
+    v = 1 + x - 2 * y + 0.5 * x * y + rng.normal(0, 0.05, r.shape)
+    s = rng.uniform(0.5, 2, r.shape)
+    v[3, 3], v[5, 5] = np.nan, 30.0
+    df = field(spark, v, x=x, y=y, s=s)
+    ok = np.isfinite(v).ravel()
+    a = np.stack([x.ravel(), y.ravel(), (x * y).ravel(), np.ones(120)], 1)
+    for rounds in (1, 2):
+        w = 1 / s.ravel()[ok] ** 2
+        normal = a[ok].T @ (a[ok] * w[:, None])
+        coef = np.linalg.solve(normal, a[ok].T @ (w * v.ravel()[ok]))
+        res = v.ravel() - a @ coef
+        mse = (w * res[ok] ** 2).sum() / (ok.sum() - 4)
+        got = fits.surface_fit(df, ["k"], sigma="s", rounds=rounds).first()
+        assert got.n == ok.sum() and np.allclose(got.coef, coef) and np.isclose(got.mse, mse)
+        assert np.allclose(np.array(got.covariance), np.linalg.inv(normal) * mse)
+        ok = ok & (np.abs(res - res[ok].mean()) <= 2 * res[ok].std())
+    alone = fits.least_squares(df.limit(2), ["k"], [F.lit(1.0), F.col("x"), F.col("y")]).first()
+    assert alone.coef is None and alone.covariance is None
+
+
+def test_surface_stands_in_where_there_is_no_data(spark):
+    v = np.full((30, 30), 3.0)
+    w = np.zeros((30, 30))
+    w[:, :10] = 1.0
+    out = N.loclin_surface(field(spark, v, w=w, m=(w > 0).astype(float)), ["k"], v.shape, pixel_m=1.0, cutoff_m=2 / S.HALF_RESPONSE)
+    assert np.allclose(back(out, "surface", v.shape), 3.0, atol=1e-5)
+    seen = N.loclin_surface(field(spark, v, w=w / 100, m=(w > 0).astype(float)), ["k"], v.shape, pixel_m=1.0, cutoff_m=2 / S.HALF_RESPONSE, data="m")
+    assert np.allclose(back(seen, "coverage", v.shape), smooth_array((w > 0).astype(float), 2.0))
+
+
+def test_large_fields_are_refused(spark):
+    with pytest.raises(ValueError, match="blocks"):
+        kernels.per_field(field(spark, np.zeros((2, 2))), ["k"], (3000, 3000), lambda f: f, ["v"], "v double")
 
 
 def test_filters_keep_polynomials_and_means():

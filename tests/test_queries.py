@@ -5,10 +5,12 @@ import math
 import duckdb
 import pytest
 
-from groundswell.plans import oracles, queries
+from groundswell.plans import catalogue, oracles, queries
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "nation supplier part orders lineitem events embeddings".split()
+TABLES = "nation customer supplier part orders lineitem events embeddings".split()
+QUERIES = queries.queries() | catalogue.queries()
+SQL = oracles.oracle_sql() | catalogue.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -24,13 +26,13 @@ def plain(rows):
     return sorted([tuple(fix(v) for v in r) for r in rows], key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = queries.queries()[name](spark, DIR)
+    got = QUERIES[name](spark, DIR)
     cols = sorted(got.columns)
     rows = [tuple(r) for r in got.select(*cols).collect()]
     assert rows
-    sql = oracles.oracle_sql().get(name)
+    sql = SQL.get(name)
     if sql:
         found = duck.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()
         assert plain(rows) == plain(found)

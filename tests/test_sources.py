@@ -1,5 +1,10 @@
+import hashlib
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
+from groundswell.operators.joins import inside_polygons
 from groundswell.sources import stations as T
 from groundswell.streaming.epochs import daily_epochs
 
@@ -30,3 +35,51 @@ def test_streamed_epochs_equal_the_batch(spark, tmp_path):
     q = daily_epochs(stream, "user_id").writeStream.outputMode("update").format("memory").queryName("epochs").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(x.user_id, x.day): x.mean for x in spark.table("epochs").collect()} == batch
+
+
+def test_manifest_has_paths_below_the_folder(spark, tmp_path):
+    for name in ("a/x.tenv8", "b/x.tenv8", "b/c/y +z%.txt"):
+        (tmp_path / "s" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "s" / name).write_text(name)
+    got = {r.path: r.sha256 for r in T.manifest(spark, str(tmp_path / "s")).collect()}
+    assert got == {n: hashlib.sha256(n.encode()).hexdigest() for n in ("a/x.tenv8", "b/x.tenv8", "b/c/y +z%.txt")}
+
+
+def test_series_rows_are_numbered_in_their_files(spark, tmp_path):
+    for name in "AB":
+        (tmp_path / f"{name}.tenv8").write_text("".join(f"{2015 + k} {k} 0 0 .1 .2 .3\n" for k in range(4)) + "\n")
+    got = [(r.id, r.ord, r.year) for r in T.read_series(spark, str(tmp_path)).orderBy("id", "ord").collect()]
+    assert got == [(n, k, 2015.0 + k) for n in "AB" for k in range(4)]
+
+
+def test_decisions_are_written_to_four_places(spark, tmp_path):
+    rows = spark.createDataFrame([("p", 12345.678, None), ("q", -0.5, 1)], "pair string, jump double, cycles int")
+    T.write_decisions(rows.coalesce(1), str(tmp_path / "d"))
+    lines = next((tmp_path / "d").glob("*.csv")).read_text().splitlines()
+    assert lines[0] == "pair,jump,cycles" and lines[1].startswith("p,12345.6780,") and lines[2] == "q,-0.5000,1"
+
+
+def test_products_go_through_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, 0, 0, 0.25, None), (1, 2, 0, 1, float("nan"), 1.0)], "frame_id int, pair_id int, r int, c int, calibration double, sigma double")
+    T.write_product(rows, str(tmp_path / "p"))
+    got = T.read_product(spark, str(tmp_path / "p"), layers=("calibration",), optional=("sigma", "tide")).orderBy("c").collect()
+    assert [(x.frame_id, x.c, x.calibration, x.sigma, x.tide) for x in got] == [(1, 0, 0.25, None, None), (1, 1, None, 1.0, None)]
+    with pytest.raises(ValueError, match="tide"):
+        T.read_product(spark, str(tmp_path / "p"), layers=("tide",))
+    T.write_snapshot(rows.withColumn("grid_type", F.lit("constant")), str(tmp_path / "s"), "grid_type")
+    with pytest.raises(Exception, match="exist"):
+        T.write_snapshot(rows.withColumn("grid_type", F.lit("constant")), str(tmp_path / "s"), "grid_type")
+
+
+def test_model_text_bursts_and_holes(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("h\n" * 6 + "359.0 10 1.5\n\n12 -3 0.25\n")
+    assert [(x.ord, x.lon, x.lat, x.rate) for x in T.read_model_text(spark, str(tmp_path / "m.txt")).orderBy("ord").collect()] == [(6, -1.0, 10.0, 1.5), (8, 12.0, -3.0, 0.25)]
+    (tmp_path / "b.json").write_text(json.dumps({"data": {"t1_iw1": {"frame_ids": [3, 4]}, "t1_iw2": {"frame_ids": [4]}}}))
+    assert sorted((x.burst_id, x.frame_id) for x in T.read_bursts(spark, str(tmp_path / "b.json")).collect()) == [("t1_iw1", 3), ("t1_iw1", 4), ("t1_iw2", 4)]
+    rings = [[[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0]], [[3.0, 3.0], [6.0, 3.0], [6.0, 6.0], [3.0, 6.0]]]
+    whole = {"version": "1", "features": [{"properties": {"id": "a", "name": "n"}, "geometry": {"type": "Polygon", "coordinates": rings}}]}
+    (tmp_path / "a.json").write_text(json.dumps(whole))
+    areas = T.read_areas(spark, str(tmp_path / "a.json"))
+    points = spark.createDataFrame([(1.0, 1.0), (4.0, 4.0), (12.0, 4.0), (1.0, 1.0), (None, 1.0)], "x double, y double")
+    got = [(x.x, x.inside) for x in inside_polygons(points, areas.select("id", "xs", "ys")).collect()]
+    assert areas.count() == 2 and sorted(got, key=str) == sorted([(1.0, True), (1.0, True), (4.0, False), (12.0, False), (None, False)], key=str)
