@@ -4,41 +4,87 @@ A field is first block-averaged, as calibration does, so that a group stays near
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from groundswell.operators.neighbourhood import convolve_lines, gaussian_weights
 
 
-#: Cells of a field that one task may hold.
-MOST_CELLS = 4_000_000
+#: Cells of a field that one task may hold, and of the fields whose results it hands on at once.
+MOST_CELLS, BATCH_CELLS = 4_000_000, 100_000
 
 
 def per_field(df: DataFrame, keys: list[str], shape: tuple[int, int], function: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], layers: list[str], schema: str) -> DataFrame:
-    """``function`` on the layers of each field as 2-D arrays (NaN for NULL or absent cells); one row a cell comes back."""
+    """``function`` on the layers of each field as 2-D arrays (NaN for NULL or absent cells); one row a cell comes back.
+
+    Fields are dealt out and sorted by key, and taken from the stream of rows one after the other: a task holds one field
+    and a batch of rows, and a small field costs little more than its cells."""
     if shape[0] * shape[1] > MOST_CELLS:
         raise ValueError(f"a field of {shape[0]} x {shape[1]} cells is too large for one task: average it in blocks first")
     kinds = {f.split()[0]: f.split()[1] for f in schema.split(", ")}
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        fields = {}
-        for name in layers:
-            a = np.full(shape, np.nan)
-            a[rows["r"].to_numpy(), rows["c"].to_numpy()] = rows[name].to_numpy(dtype=float, na_value=np.nan)
-            fields[name] = a
-        out = function(fields)
-        r, c = np.indices(shape)
-        done = pd.DataFrame({**dict(zip(keys, [[k] * r.size for k in key], strict=True)), "r": r.ravel(), "c": c.ravel()})
-        for name, a in out.items():
-            flat = np.asarray(a).ravel()
-            done[name] = flat.astype(int) if kinds[name] in ("int", "long") else pd.Series(flat).astype(object).where(np.isfinite(flat), None)
-        return done
-
-    names = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    return df.select(*keys, "r", "c", *layers).groupBy(*keys).applyInPandas(run, f"{names}, r int, c int, {schema}")
+    cells, (r, c) = shape[0] * shape[1], np.indices(shape, dtype=np.int32)
+
+    def done(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The results of whole fields, which begin at the rows ``first``."""
+        at = table["r"].to_numpy() * shape[1] + table["c"].to_numpy()
+        values = {name: table[name].cast(pa.float64()).fill_null(np.nan).to_numpy() for name in layers}
+        ends = np.append(first[1:], table.num_rows)
+        together = max(1, BATCH_CELLS // cells)
+        for lo in range(0, len(first), together):
+            made: dict[str, list[np.ndarray]] = {name: [] for name in kinds}
+            for a, b in zip(first[lo : lo + together], ends[lo : lo + together], strict=True):
+                fields = {}
+                for name in layers:
+                    field = np.full(cells, np.nan)
+                    field[at[a:b]] = values[name][a:b]
+                    fields[name] = field.reshape(shape)
+                out = function(fields)
+                for name in kinds:
+                    made[name].append(np.asarray(out[name]).ravel())
+            n = len(first[lo : lo + together])
+            take = pa.array(np.repeat(first[lo : lo + together], cells))
+            columns = [table[k].combine_chunks().take(take) for k in keys] + [pa.array(np.tile(x.ravel(), n)) for x in (r, c)]
+            for name, kind in kinds.items():
+                flat = np.concatenate(made[name])
+                whole = {"int": pa.int32(), "long": pa.int64()}.get(kind)
+                columns.append(pa.array(flat.astype(np.int64)).cast(whole) if whole else pa.array(flat.astype(float), mask=~np.isfinite(flat)))
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "r", "c", *kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+            first = np.flatnonzero(_changes(table, keys))
+            if len(first) > 1:
+                yield from done(table.slice(0, first[-1]), first[:-1])
+            rest = table.slice(first[-1])
+        if rest is not None:
+            yield from done(rest.combine_chunks(), np.array([0]))
+
+    names = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
+    rows = df.select(*keys, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), *layers)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{names}, r int, c int, {schema}")
+
+
+def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where a row's keys differ from those of the row before; nulls equal each other."""
+    out = np.zeros(table.num_rows, bool)
+    out[0] = True
+    for k in keys:
+        column = table[k].combine_chunks()
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        other = pc.fill_null(pc.not_equal(a, b), False)
+        out[1:] |= other.to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+    return out
 
 
 def nearest_valid(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
