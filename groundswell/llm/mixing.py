@@ -8,8 +8,8 @@ from pyspark.sql import Window
 
 from groundswell.llm.common import settled, split_join, words
 
-#: Rows of one source and size are dealt out by a hash to so many parts, and each of these to 256 by two other digits
-#: of it; rows of a part share a window.
+#: Rows of one source and size are dealt out by a hash to so many parts, and each of these to 16 by another digit of it;
+#: rows of a part share a window, and so do the counts of a size's parts.
 PARTS = 64
 #: Sources that may be broadcast: some 100 bytes each.
 BROADCAST_SOURCES = 100_000
@@ -61,7 +61,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), share:
     # Nulls as keys: joins below compare (is null, value).
     key = F.coalesce(F.col("source"), F.lit("")).alias("_s")
     rows = rows.select("*", key, F.col("source").isNull().alias("_n"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("_t").cast("string")))).cast("binary")).alias("_h"))
-    rows = rows.withColumn("_part", F.struct((F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % PARTS).cast("int").alias("of_64"), F.substring("_h", 1, 2).alias("of_256")))
+    rows = rows.withColumn("_part", F.struct((F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % PARTS).cast("int").alias("of_64"), F.substring("_h", 1, 1).alias("of_16")))
     parts = settled(rows.groupBy("_s", "_n", "size", "_part").agg(F.count(F.lit(1)).alias("n")))
     by_size = parts.groupBy("_s", "_n", "size").agg(F.sum("n").alias("n"))
     earlier = lambda keys, by: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
