@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from groundswell.functions import names, projection
 from groundswell.functions import scalars as S
 from groundswell.operators import aggregates as A
-from groundswell.operators import files, fits, gnss, joins, tropo
+from groundswell.operators import files, fits, footprints, gnss, joins, tropo
 from groundswell.operators import neighbourhood as N
 from groundswell.plans import fixtures as X
 from groundswell.plans import oracles as O
@@ -266,6 +266,13 @@ def seed_level(spark: SparkSession, d: str) -> DataFrame:
     return N.upsample_nearest(level, VEC, 2, (4, 4), X.TILE).select("vec_id", "r", "c", *_r("v", digits=5))
 
 
+def event_footprints(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as earthquakes."""
+    key = F.col("s_suppkey")
+    quakes = X.read(spark, d, "supplier").select(key.cast("int").alias("event"), (key * 37 % 3600 / 10 - 179.97).alias("lon"), (key * 53 % 1400 / 10 - 70).alias("lat"), (key % 30 / 10 + 5).alias("magnitude"), (key * 17 % 360).cast("double").alias("strike"))
+    return footprints.event_rings(quakes, "event").select("event", "ord", *_r("rupture_km", "buffer_km", digits=6), *_r("lon", "lat", digits=7))
+
+
 def merged_overrides(spark: SparkSession, d: str) -> DataFrame:
     frames = X.read(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("frame_id"))
     own = F.create_map(F.lit("weights.robust"), F.when(F.col("frame_id") % 2 == 0, "true").otherwise("false"), F.lit("tropo"), F.lit("off"))
@@ -380,6 +387,31 @@ def _reference_los() -> str:
     return f"WITH {_NODES} {one('constant', -0.75, 0.75)} UNION ALL {one('variable', 0.25, 1.0)}"
 
 
+def _event_footprints() -> str:
+    """Vertices by the direct geodesic, its arc improved four times in CTEs."""
+    arcs = ""
+    for i in range(4):
+        arcs += f"""a{i + 1} AS (SELECT * REPLACE (flat + b * sin(arc) * (cos(fst + arc) + b / 4 * (cos(arc) * (2 * cos(fst + arc) ** 2 - 1)
+  - b / 6 * cos(fst + arc) * (4 * sin(arc) ** 2 - 3) * (4 * cos(fst + arc) ** 2 - 3))) AS arc) FROM a{i}),
+"""
+    return f"""
+WITH q AS (SELECT s_suppkey::INTEGER AS event, (s_suppkey * 37 % 3600)::DOUBLE / 10 - 179.97::DOUBLE AS lon, (s_suppkey * 53 % 1400)::DOUBLE / 10 - 70 AS lat,
+  pow(10.0::DOUBLE, ((s_suppkey % 30)::DOUBLE / 10 + 5) * 0.74::DOUBLE - 3.55::DOUBLE) AS rupture_km, (s_suppkey * 17 % 360)::DOUBLE AS strike, 6378137.0::DOUBLE * (1 - 1 / 298.257223563::DOUBLE) AS polar,
+  1 / 298.257223563::DOUBLE AS f FROM supplier),
+w AS (SELECT *, greatest(15.0::DOUBLE, rupture_km * 0.75::DOUBLE) AS buffer_km FROM q),
+o AS (SELECT w.*, ord::INTEGER AS ord, CASE WHEN ord % 66 < 33 THEN 1 ELSE -1 END AS side, radians((ord % 33 - 16) * 5.625::DOUBLE) AS bearing FROM w, range(67) t(ord)),
+p AS (SELECT *, side * (rupture_km / 2 + buffer_km * cos(bearing)) AS ahead, side * buffer_km * sin(bearing) AS rightward FROM o),
+g AS (SELECT *, radians(strike) + atan2(rightward, ahead) AS az, 1000 * sqrt(ahead ** 2 + rightward ** 2) AS dist, atan((1 - f) * tan(radians(lat))) AS red FROM p),
+h AS (SELECT *, cos(red) * sin(az) AS sa, 2 * atan2(tan(red), cos(az)) AS fst FROM g),
+v AS (SELECT *, (1 - sa * sa) * (6378137.0::DOUBLE ** 2 - polar ** 2) / polar ** 2 AS u FROM h),
+a0 AS (SELECT *, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS b, dist / (polar * (1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))))) AS flat, flat AS arc FROM v),
+{arcs}z AS (SELECT *, f / 16 * (1 - sa * sa) * (4 + f * (4 - 3 * (1 - sa * sa))) AS k, cos(fst + arc) AS mid FROM a4),
+e AS (SELECT *, atan2(sin(arc) * sin(az), cos(red) * cos(arc) - sin(red) * sin(arc) * cos(az)) - (1 - k) * f * sa * (arc + k * sin(arc) * (mid + k * cos(arc) * (2 * mid ** 2 - 1))) AS east,
+  degrees(atan2(sin(red) * cos(arc) + cos(red) * sin(arc) * cos(az), (1 - f) * sqrt(sa * sa + (sin(red) * sin(arc) - cos(red) * cos(arc) * cos(az)) ** 2))) AS north FROM z),
+l AS (SELECT *, lon + degrees(east) AS far FROM e)
+SELECT event, ord, {O.r('rupture_km')} AS rupture_km, {O.r('buffer_km')} AS buffer_km, round(CASE WHEN far < -180 THEN far + 360 WHEN far >= 180 THEN far - 360 ELSE far END, 7) + 0 AS lon, round(north, 7) + 0 AS lat FROM l"""
+
+
 def oracle_sql() -> dict[str, str]:
     year = lambda x: f"(year({x}) + (epoch_us({x}) - epoch_us(make_timestamp(year({x}), 1, 1, 0, 0, 0.0::DOUBLE)))::DOUBLE / (epoch_us(make_timestamp(year({x}) + 1, 1, 1, 0, 0, 0.0::DOUBLE)) - epoch_us(make_timestamp(year({x}), 1, 1, 0, 0, 0.0::DOUBLE)))::DOUBLE)"
     stamp = lambda i: f"try_strptime(tokens[{i}], '%Y%m%dT%H%M%SZ')"
@@ -440,6 +472,7 @@ SELECT DISTINCT pair_id, id AS node FROM act, nodes WHERE event = 'a' AND {_insi
         "polynomial_error": f"WITH {O.TILES} SELECT vec_id, r, c, {O.r(f'sqrt(greatest({quad}, 0)) * abs(v)')} AS sigma FROM tiles",
         "weighted_plane_fit": _weighted_plane(),
         "seed_level": _seed_level(),
+        "event_footprints": _event_footprints(),
         "merged_overrides": """SELECT s_suppkey::INTEGER AS frame_id, 'k_grid=1.5;' || CASE WHEN s_suppkey % 3 = 0 THEN 'tropo=off;weights.power=2;weights.robust=' || CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'false' END ELSE 'tropo.mode=auto;weights.power=2;weights.robust=none' END AS params FROM supplier""",
     }
 

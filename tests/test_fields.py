@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groundswell.functions import scalars as S
 from groundswell.operators import aggregates as A
-from groundswell.operators import cycles, fits, joins, kernels
+from groundswell.operators import cycles, fits, footprints, joins, kernels
 from groundswell.operators import neighbourhood as N
 from groundswell.plans.calibrate import calibrate_pair, calibrate_windowed, robust_weights
 
@@ -358,3 +358,28 @@ def test_mask_growth_matches_brute_force():
         got = kernels.grow_mask(coh, vel, reach=3)
         assert {(i, j) for i, j in np.argwhere(got).tolist()} == want
     assert not kernels.grow_mask(np.zeros((3, 3)), np.zeros((3, 3))).any()
+
+
+def test_geodesics_reach_the_published_place(spark):
+    """Flinders Peak to Buninyong, the worked example of the Australian datum's manual."""
+    dms = lambda d, m, s: d + m / 60 + s / 3600
+    start = spark.createDataFrame([(dms(144, 25, 29.52440), -dms(37, 57, 3.72030), dms(306, 52, 5.37), 54972.271)], "lon double, lat double, az double, m double")
+    got = footprints.along(start, F.col("lon"), F.col("lat"), F.col("az"), F.col("m")).first()
+    assert abs(got["lon"] - dms(143, 55, 35.38390)) < 2e-8 and abs(got["lat"] + dms(37, 39, 10.15610)) < 2e-8
+
+
+def test_event_rings_lie_around_the_rupture(spark):
+    rows = spark.createDataFrame([(1, 20.0, 0.0, 7.0, 0.0), (2, 179.99, 10.0, 5.0, 90.0), (3, None, 0.0, 6.0, 0.0)], "event int, lon double, lat double, magnitude double, strike double")
+    got = footprints.event_rings(rows, "event").toPandas()
+    one = got[got.event == 1].sort_values("ord")
+    length = 10 ** (-3.55 + 0.74 * 7)
+    assert len(one) == 67 and np.allclose(one.iloc[0][["lon", "lat"]].astype(float), one.iloc[-1][["lon", "lat"]].astype(float), atol=1e-12)
+    # Metres at the equator: each vertex is a buffer away from the part of the meridian that broke.
+    x, y = np.radians(one.lon - 20) * 6378.137, np.radians(one.lat) * 6335.439
+    away = np.hypot(x, np.maximum(np.abs(y) - length / 2, 0))
+    assert np.allclose(one.buffer_km, max(15, 0.75 * length)) and np.allclose(away, one.buffer_km, rtol=2e-4)
+    assert np.sum(x.values[:-1] * y.values[1:] - x.values[1:] * y.values[:-1]) < 0  # clockwise
+    two = got[got.event == 2]
+    assert np.allclose(two.buffer_km, 15) and two.lon.min() < -179 and two.lon.max() > 179 and two.lon.between(-180, 180).all()
+    assert got[got.event == 3][["lon", "lat"]].isna().all(axis=None)
+    assert footprints.event_rings(rows.limit(0), "event").count() == 0
