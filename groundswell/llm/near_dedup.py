@@ -149,9 +149,11 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int
     candidates: a pair at 0.8 is missed with a chance of (1 - 0.8 ** 5) ** 30, seven in a million. Within a bucket
     each class is first compared with the one that shares most buckets with others (as many pairs as rows, also for
     thousands of copies). Only
-    in buckets whose classes these links leave in different components, pairs across components are compared too, if
-    their odd sketches (parity bitmaps of the samples, taken in each of PARTS parts of a set) differ in few enough
-    bits. So each candidate pair is either compared, excluded by its sketches, or already connected.
+    classes in buckets that these links leave with different components are looked at again: those of different
+    components that share one of their rarest shingles, which linked sets can't but do (see ``_across``), are compared
+    too, if their odd sketches (parity bitmaps of the samples, taken in each of PARTS parts of a set) differ in few
+    enough bits. So each candidate pair is either compared, excluded by its rarest shingles or its sketches, or already
+    connected, and no bucket's pairs are gone through.
 
     Null text: empty. Rows with a null doc_id come out with null class and component, unlinked and kept. Rows that
     repeat a doc_id with its text share class and component, and are kept or dropped together; of different texts
@@ -186,35 +188,54 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int
     placed = split_join(crowded.drop("met"), labels, ["id"], "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi AND n > 2").select("bucket")
     rest = split_join(placed, mixed, ["bucket"])
-    crossing = settled(rest.select("id").distinct())
+    crossing = settled(rest.groupBy("id").agg(F.min("component").alias("component")))
     if crossing.limit(1).count():
-        # Sketches and sets are compared inside the join, so that hardly more than links come out of it. Halves of the
-        # hashes do here, with room for those that collide in a set; the full ones are compared afterwards.
-        sets = _fetched(base, crossing, words).select("id", F.transform("shingles", lambda x: F.hash(x)).alias("halves"))
-        compared = split_join(_but(profile.drop("n_shingles"), crossing, ["id"], "left_semi"), sets, ["id"])
-        rest = split_join(rest, compared, ["id"])
-        one, two = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "id", "component", "bands", "sketch", "halves")]) for s in "ab")
-        ordered = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-        before = F.zip_with(F.slice("bands_a", F.lit(1), F.col("band_a")), F.slice("bands_b", F.lit(1), F.col("band_a")), lambda x, y: x == y)
-        first = ~F.exists(before, lambda same: same)  # a pair meets in its first shared band alone
-        across = one.join(two, "bucket").where(ordered & first & _likely(F.size("halves_a"), F.size("halves_b"), percent, most) & _alike("halves_a", "halves_b", percent, room=True))
-        more = _linked(base, profile, across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), words, percent, most)
+        starts = settled(split_join(_prefixes(_fetched(base, crossing.select("id"), words), percent), crossing, ["id"]))
+        more = _linked(base, profile, _across(starts, percent), words, percent, most)
         labels = components(links.unionAll(more))
     out = split_join(named.withColumn("class_id", own), labels.withColumnRenamed("id", "class_id"), ["class_id"], "left")
     return out.select("doc_id", "text_key", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, shingle, place, short): those of each set's rarest shingles, rarest first, that a linked set may begin with.
+
+    Rarity is counted over these sets. Shingles of one set alone take the first places, but no rows, as nothing meets
+    them. ``short`` marks the fewer places that do where the other set is at least as large."""
+    sets = settled(sets.withColumn("_of", F.xxhash64("shingles")).dropDuplicates(["id", "_of"]))
+    each = sets.select("id", "_of", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    met = split_join(each, shared, ["shingle"]).groupBy("id", "_of", "n").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("_met"))
+    placed = met.select("id", "n", F.size("_met").alias("_k"), F.posexplode("_met").alias("_i", "_s"))
+    placed = placed.select("id", "n", F.col("_s.shingle").alias("shingle"), (F.col("n") - F.col("_k") + F.col("_i") + 1).alias("place"))
+    last = lambda top, low: F.col("n") - F.ceil(F.col("n") * F.lit(top) / F.lit(low)) + 1
+    return placed.where(F.col("place") <= last(percent, 100)).withColumn("short", F.col("place") <= last(2 * percent, 100 + percent))
+
+
+def _across(starts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids in different components that may be linked, from their sets' first shingles.
+
+    Linked sets x and y, x no larger, share at least percent * (x + y) / (100 + percent) shingles. So of the shingles in
+    one order, the first they share is among the first of either (the ends in ``_prefixes``), and leaves enough after
+    it in both. Any pair that fails this isn't linked. A shingle that many sets hold is among the first of few."""
+    x, y = (starts.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "place", "short")]) for s in "xy")
+    n_x, n_y = F.col("n_x"), F.col("n_y")
+    sized = (n_x * 100 >= n_y * percent) & ((n_x < n_y) | (n_x == n_y) & (F.col("id_x") < F.col("id_y")))
+    left = F.least(n_x - F.col("place_x"), n_y - F.col("place_y")) + 1
+    met = split_join(x.where("short_x"), y, ["shingle"]).where((F.col("component_x") != F.col("component_y")) & sized & (left * (100 + percent) >= (n_x + n_y) * percent))
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def _likely(n_a: Column, n_b: Column, percent: int, most: int) -> Column:
     """Whether sizes and sketches (sketch_a, sketch_b) leave it open that two sets are linked."""
     low, high = F.least(n_a, n_b), F.greatest(n_a, n_b)
     return (low * 100 >= high * percent) & ((high < SMALL) | (_flipped(F.col("sketch_a"), F.col("sketch_b")) <= most))
 
 
-def _alike(a: str, b: str, percent: int, *, room: bool = False) -> Column:
-    """Whether two sets are linked: 100 * both >= percent * (a + b - both); with ``room``, if a few in common weren't counted."""
-    n, both = F.size(a).cast("long"), F.size(F.array_intersect(a, b)).cast("long")
-    both = both + 4 + F.shiftright(n * n, 30) if room else both
-    return both * (100 + percent) >= (n + F.size(b)) * percent
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether two sets are linked: 100 * both >= percent * (a + b - both)."""
+    both = F.size(F.array_intersect(a, b)).cast("long")
+    return both * (100 + percent) >= (F.size(a) + F.size(b)) * percent
 
 
 def _but(rows: DataFrame, ids: DataFrame, keys: list[str], how: str) -> DataFrame:

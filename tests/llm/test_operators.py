@@ -15,7 +15,7 @@ from groundswell.llm.bpe import encode_documents
 from groundswell.llm.exact_dedup import exact_dedup
 from groundswell.llm.license_scan import license_scan, samples_needed
 from groundswell.llm.mixing import mix_sources
-from groundswell.llm.near_dedup import components, most_flipped, near_dedup
+from groundswell.llm.near_dedup import _across, _prefixes, components, most_flipped, near_dedup
 from groundswell.llm.perplexity import perplexity_filter
 from groundswell.llm.quality_rules import accuracies, posterior, quality_rules
 from groundswell.llm.sharding import Tree, shard_documents
@@ -480,3 +480,56 @@ def test_pipeline_is_its_stages_by_brute_force(spark, docs, none, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, str(tmp_path))
         assert now.count() == 0
+
+
+def _all_pairs(sets, percent):
+    return {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_rarest_shingles_lose_no_link(spark, percent):
+    """Sets around shared cores, just above and below the similarity, of sizes from one up: each linked pair across components is met."""
+    draw, sets = np.random.default_rng(5), {}
+    for core in range(6):
+        base = [core * 1000 + i for i in range(int(draw.integers(1, 60)))]
+        for _ in range(25):
+            kept = [x for x in base if draw.random() > 0.08]
+            sets[len(sets)] = set(kept) | {10**6 + int(x) for x in draw.integers(0, 10**6, int(draw.integers(0, 7)))} | ({7} if draw.random() < 0.5 else set())
+    component = {i: int(draw.integers(0, 9)) for i in sets}
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()] * 2, "id long, shingles array<long>")
+    parts = spark.createDataFrame([*component.items()], "id long, component long")
+    met = {tuple(r) for r in _across(_prefixes(rows, percent).join(parts, "id"), percent).collect()}
+    linked = {(a, b) for a, b in _all_pairs(sets, percent) if component[a] != component[b]}
+    assert linked and linked <= met
+    assert all(component[a] != component[b] for a, b in met)
+
+
+def test_near_dedup_in_crowded_buckets(spark):
+    """A crowd whose texts stand just below the similarity to one another, with linked pairs among them."""
+    draw = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(90)]
+    texts = []
+    for i in range(120):
+        own = common.copy()
+        for k in draw.choice(90, int(draw.integers(4, 8)), replace=False):
+            own[k] = f"o{i}x{k}"
+        texts.append(own)
+        if i % 4 == 0:
+            near = own.copy()
+            near[int(draw.integers(0, 90))] = f"n{i}"
+            texts.append(near)
+    sets = {i: set(zip(t, t[1:], strict=False)) for i, t in enumerate(texts)}
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in _all_pairs(sets, 80):
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    got = near_dedup(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), words=2)
+    found = {r.doc_id: r.component_id for r in got.collect()}
+    assert found == {i: top(i) for i in sets}
+    assert 1 < len(set(found.values())) < len(texts) - 20
