@@ -233,10 +233,21 @@ def connected(mask: np.ndarray, *, diagonal: bool = False) -> np.ndarray:
     return np.where(mask, np.searchsorted(ids, np.where(mask, lab, ids[0] if len(ids) else 0)) + 1, 0)
 
 
-def erode(mask: np.ndarray, times: int) -> np.ndarray:
+def _around(mask: np.ndarray, square: bool) -> list[np.ndarray]:
+    """Each cell's neighbours, 4 or 8; none beyond the edges."""
+    p, (ny, nx) = np.pad(mask, 1), mask.shape
+    return [p[1 + y : 1 + y + ny, 1 + x : 1 + x + nx] for y in (-1, 0, 1) for x in (-1, 0, 1) if (y or x) and (square or not (y and x))]
+
+
+def erode(mask: np.ndarray, times: int, *, square: bool = False) -> np.ndarray:
+    for _ in range(times):
+        mask = np.logical_and.reduce([mask, *_around(mask, square)])
+    return mask
+
+
+def spread(mask: np.ndarray, times: int, *, square: bool = False) -> np.ndarray:
     for _ in range(times):
-        p = np.pad(mask, 1)
-        mask = mask & p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
+        mask = np.logical_or.reduce([mask, *_around(mask, square)])
     return mask
 
 

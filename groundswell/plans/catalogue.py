@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from groundswell.functions import names, projection
 from groundswell.functions import scalars as S
 from groundswell.operators import aggregates as A
-from groundswell.operators import files, fits, footprints, gnss, joins, tropo
+from groundswell.operators import areas, files, fits, footprints, gnss, joins, tropo
 from groundswell.operators import neighbourhood as N
 from groundswell.plans import fixtures as X
 from groundswell.plans import oracles as O
@@ -258,6 +258,10 @@ def weighted_plane_fit(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", "n", *[F.round(F.col("coef")[i], 5).alias(f"c{i}") for i in range(3)], *_r("mse"))
 
 
+def regional_trend(spark: SparkSession, d: str) -> DataFrame:
+    return areas.regional_plane(X.gappy(spark, d), VEC).select("vec_id", *_r("p0", "px", "py"))
+
+
 def seed_level(spark: SparkSession, d: str) -> DataFrame:
     """Block medians of trusted cells, spread by a normalised Gaussian and brought back to the grid."""
     seeds = X.gappy(spark, d).withColumn("v", F.when(F.col("coherence") > 0.5, F.col("v")))
@@ -378,6 +382,14 @@ m AS (SELECT vec_id, sum({w} * (v - c0 - c1 * {x} - c2 * {y}) * (v - c0 - c1 * {
 SELECT vec_id, n, round(c0, 5) AS c0, round(c1, 5) AS c1, round(c2, 5) AS c2, {O.r("mse")} AS mse FROM f JOIN m USING (vec_id)"""
 
 
+def _regional_trend() -> str:
+    return f"""WITH {O.GAPPY}, held AS (SELECT * FROM gappy WHERE v IS NOT NULL), one AS ({O._plane("v", "held", "vec_id", "c", "r")}),
+rest AS (SELECT vec_id, r, c, v, v - (p0 + px * c + py * r) AS res FROM held JOIN one USING (vec_id)), med AS (SELECT vec_id, median(res) AS med FROM rest GROUP BY vec_id),
+mad AS (SELECT vec_id, 1.4826::DOUBLE * median(abs(res - med)) AS mad FROM rest JOIN med USING (vec_id) GROUP BY vec_id),
+kept AS (SELECT vec_id, r, c, v FROM rest JOIN mad USING (vec_id) WHERE abs(res) < 3 * mad), two AS ({O._plane("v", "kept", "vec_id", "c", "r")})
+SELECT vec_id, {O.r("p0")} AS p0, {O.r("px")} AS px, {O.r("py")} AS py FROM two"""
+
+
 def _reference_los() -> str:
     def one(grid: str, motion: float, sigma: float) -> str:
         look = "CASE WHEN le = 0 AND ln = 0 THEN NULL ELSE"
@@ -471,6 +483,7 @@ SELECT DISTINCT pair_id, id AS node FROM act, nodes WHERE event = 'a' AND {_insi
         "look_modes": f"SELECT l_orderkey % 50 AS part, count(*) FILTER (mode = 2) AS solved, count(*) FILTER (mode = 1) AS projected, count(*) FILTER (mode = 0) AS empty FROM ({decomposed}) GROUP BY 1",
         "polynomial_error": f"WITH {O.TILES} SELECT vec_id, r, c, {O.r(f'sqrt(greatest({quad}, 0)) * abs(v)')} AS sigma FROM tiles",
         "weighted_plane_fit": _weighted_plane(),
+        "regional_trend": _regional_trend(),
         "seed_level": _seed_level(),
         "event_footprints": _event_footprints(),
         "merged_overrides": """SELECT s_suppkey::INTEGER AS frame_id, 'k_grid=1.5;' || CASE WHEN s_suppkey % 3 = 0 THEN 'tropo=off;weights.power=2;weights.robust=' || CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'false' END ELSE 'tropo.mode=auto;weights.power=2;weights.robust=none' END AS params FROM supplier""",

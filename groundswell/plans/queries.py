@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundswell.functions import scalars as S
 from groundswell.operators import aggregates as A
-from groundswell.operators import cycles, fits, joins, kernels
+from groundswell.operators import areas, cycles, fits, joins, kernels
 from groundswell.operators import neighbourhood as N
 from groundswell.plans import fixtures as X
 from groundswell.plans.calibrate import calibrate_pair, calibrate_plane, calibrate_windowed, robust_weights
@@ -334,6 +334,18 @@ def stable_mask_growth(spark: SparkSession, d: str) -> DataFrame:
     return kernels.per_field(rows, ["frame"], (100, 100), lambda f: {"stable": kernels.grow_mask(f["coherence"], np.nan_to_num(f["v"]) / 10, reach=3).astype(int)}, ["coherence", "v"], "stable int")
 
 
+def land_pieces(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.scene(spark, d).select("frame", "r", "c", ((F.col("coherence") > 0.2) & (F.col("c") % 40 < 36)).alias("ok"), (F.col("c") % 40 < 36).alias("land"))
+    out = areas.land_pieces(rows, ["frame"], (100, 100), factor=3, closing=2, least=10)
+    return out.groupBy("frame", "piece").agg(F.count(F.lit(1)).alias("cells"), F.min("r").alias("r0"), F.min("c").alias("c0"))
+
+
+def draft_areas(spark: SparkSession, d: str) -> DataFrame:
+    bump = F.when((F.col("r") - 5) * (F.col("r") - 5) + (F.col("c") - 60) * (F.col("c") - 60) < 36, 5000.0).otherwise(0.0)
+    rows = X.scene(spark, d).select("frame", "r", "c", (F.coalesce("v", F.lit(0.0)) + bump + F.col("r") * 2.0).alias("v"))
+    return areas.draft_areas(rows, ["frame"], (100, 100), threshold=2500.0, least=12, buffer=4, opening=1).select("frame", "area", "cells", "r0", "r1", "c0", "c1", *_r("peak", "ring"), "reaches")
+
+
 def tropo_line_of_sight(spark: SparkSession, d: str) -> DataFrame:
     li = X.looks(spark, d)
     delay = S.between_epochs(F.col("los"), F.col("los") * 1.2, F.lit(0.0), F.lit(6.0), F.col("sigma") * 100)

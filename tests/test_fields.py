@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groundswell.functions import scalars as S
 from groundswell.operators import aggregates as A
-from groundswell.operators import cycles, fits, footprints, joins, kernels
+from groundswell.operators import areas, cycles, fits, footprints, joins, kernels
 from groundswell.operators import neighbourhood as N
 from groundswell.plans.calibrate import calibrate_pair, calibrate_windowed, robust_weights
 
@@ -383,3 +383,38 @@ def test_event_rings_lie_around_the_rupture(spark):
     assert np.allclose(two.buffer_km, 15) and two.lon.min() < -179 and two.lon.max() > 179 and two.lon.between(-180, 180).all()
     assert got[got.event == 3][["lon", "lat"]].isna().all(axis=None)
     assert footprints.event_rings(rows.limit(0), "event").count() == 0
+
+
+def test_land_pieces_stay_apart_over_water(spark):
+    shape = (40, 61)
+    r, c = np.indices(shape)
+    land = (c < 28) | (c >= 32)
+    ok = land & ((r + 2 * c) % 5 > 0) & (c != 40)
+    rows = field(spark, ok.astype(float), land=land.astype(float)).select("k", "r", "c", (F.col("v") > 0).alias("ok"), (F.col("land") > 0).alias("land"))
+    for land_known, pieces in ((True, 2), (False, 1)):
+        cells = rows if land_known else rows.withColumn("land", F.lit(True))
+        got = back(areas.land_pieces(cells, ["k"], shape, factor=2, closing=2, least=20), "piece", shape)
+        assert set(got[got > 0]) == set(range(1, pieces + 1))
+        assert (got[:, 60] == 0).all() and not np.isnan(got).any()
+        if land_known:
+            assert (got[:, 28:32] == 0).all() and got[20, 10] == 1 and got[20, 50] == 2
+
+
+def test_draft_areas_find_what_moves_against_the_trend(spark):
+    shape = (60, 70)
+    r, c = np.indices(shape)
+    v = 0.5 * r - 0.3 * c + 2 + 0.2 * np.sin(7 * r + 3 * c)
+    v[(r - 20) ** 2 + (c - 20) ** 2 <= 64] += 12
+    v[(r - 45) ** 2 + (c - 55) ** 2 <= 30] -= 20
+    v[5, 60] += 50  # a single cell, opened away
+    v[20, 20] = np.nan
+    df = field(spark, v)
+    p = areas.regional_plane(df, ["k"]).first()
+    assert abs(p.p0 - 2) < 0.1 and abs(p.px + 0.3) < 0.01 and abs(p.py - 0.5) < 0.01
+    draw = lambda sign: sorted(areas.draft_areas(df, ["k"], shape, threshold=5, least=20, buffer=3, opening=1, sign=sign).collect(), key=lambda x: x.area)
+    one, two = draw("both")
+    assert (one.area, two.area) == (1, 2) and one.cells > two.cells and one.reaches and two.ring > 0.9
+    assert (one.r0, one.r1, one.c0, one.c1) == (9, 31, 9, 31) and abs(one.peak - 12) < 0.6 and abs(two.peak - 20) < 0.6
+    assert [x.r0 for x in draw("positive")] == [9] and [x.c1 for x in draw("negative")] == [63]
+    flat = areas.regional_plane(field(spark, 1.0 * r + c), ["k"]).first()
+    assert abs(flat.px - 1) < 1e-9 and abs(flat.py - 1) < 1e-9
