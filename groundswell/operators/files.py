@@ -22,13 +22,16 @@ def the_one(files: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
 def with_mask(products: DataFrame, masks: DataFrame, name: str = "name", mask: str = "mask") -> DataFrame:
     """Products with the first mask file (by name) that is called <stem>_...mask.tif; NULL where there is none.
 
-    The stem is cut off the mask's name at each underscore, so that the two meet in an equi-join."""
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    parts = F.split(mask, "_")
-    stems = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "_"))
-    named = masks.where(F.col(mask).rlike(r"mask\.tif$") & F.col(mask).contains("_")).select(F.col(mask).alias("_mask"), F.explode(stems).alias("_stem"))
-    met = products.withColumn("_stem", stem).join(named, "_stem", "left")
-    return met.groupBy(*products.columns).agg(F.min("_mask").alias(mask))
+    A mask's name is cut only after as many parts between underscores as some product's stem has, and the first mask of each
+    stem is kept, so that the two meet in an equi-join and each product meets one row at most. Both sides are dealt out by
+    stem: names made here are many times the table that Spark judges them by, too many to pass the driver."""
+    parts = lambda c: F.size(F.split(c, "_"))
+    stems = products.withColumn("_stem", F.regexp_replace(name, r"\.[^.]*$", ""))
+    lengths = stems.where("_stem IS NOT NULL").agg(F.collect_set(parts("_stem")).alias("_lengths"))
+    named = masks.where(F.col(mask).rlike(r"mask\.tif$")).select(F.col(mask).alias("_mask")).crossJoin(F.broadcast(lengths))
+    cut = named.select("_mask", F.explode(F.filter("_lengths", lambda k: k < parts("_mask"))).alias("_k"))
+    first = cut.groupBy(F.call_function("substring_index", "_mask", F.lit("_"), "_k").alias("_stem")).agg(F.min("_mask").alias("_mask"))
+    return stems.join(first.hint("merge"), "_stem", "left").select(*products.columns, F.col("_mask").alias(mask))
 
 
 def data_span(rows: DataFrame, file: str, time: str, order: str) -> DataFrame:

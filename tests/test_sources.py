@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from groundswell.operators.files import with_mask
 from groundswell.operators.joins import inside_polygons
 from groundswell.sources import stations as T
 from groundswell.streaming.epochs import daily_epochs
@@ -83,3 +84,13 @@ def test_model_text_bursts_and_holes(spark, tmp_path):
     points = spark.createDataFrame([(1.0, 1.0), (4.0, 4.0), (12.0, 4.0), (1.0, 1.0), (None, 1.0)], "x double, y double")
     got = [(x.x, x.inside) for x in inside_polygons(points, areas.select("id", "xs", "ys")).collect()]
     assert areas.count() == 2 and sorted(got, key=str) == sorted([(1.0, True), (1.0, True), (4.0, False), (12.0, False), (None, False)], key=str)
+
+
+def test_a_product_meets_one_mask_and_no_mask_passes_the_driver(spark):
+    products = [(1, "a.nc"), (2, "a_b.nc"), (2, "a_b.nc"), (3, "a_b_c.v1.nc"), (4, "z.nc"), (5, None)]  # one row twice
+    masks = ["a_b_c_mask.tif", "a_b_mask.tif", "a_mask.tif", "a_b_c.v1_x_mask.tif", "z_mask.tiff", "zz_mask.tif", "a_b.tif", "mask.tif", None]
+    out = with_mask(spark.createDataFrame(products, "k int, name string"), spark.createDataFrame([(m,) for m in masks * 2], "mask string"))
+    fits = lambda stem: [m for m in masks if m and m.startswith(f"{stem}_") and m.endswith("mask.tif")]
+    want = [(k, n, min(fits(n.rsplit(".", 1)[0]), default=None) if n else None) for k, n in products]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
