@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundswell.operators.files import with_mask
-from groundswell.operators.joins import inside_polygons
+from groundswell.operators.joins import inside_polygons, sharing
+from groundswell.plans import catalogue
 from groundswell.sources import stations as T
 from groundswell.streaming.epochs import daily_epochs
 
@@ -94,3 +95,17 @@ def test_a_product_meets_one_mask_and_no_mask_passes_the_driver(spark):
     want = [(k, n, min(fits(n.rsplit(".", 1)[0]), default=None) if n else None) for k, n in products]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_ids_that_share_several_keys_meet_once(spark, block):
+    left = [(i, k) for i in range(40) for k in "abcd" if (i * 7 + ord(k)) % 3] * 2 + [(50, None), (None, "a")]
+    right = [(i, k) for i in range(90) for k in "bcde" if (i * 5 + ord(k)) % 4 == 1] + [(95, "x"), (96, None)]
+    out = sharing(spark.createDataFrame(left, "p long, key string"), spark.createDataFrame(right, "n long, key string"), "p", "n", "key", block=block)
+    want = {(p, n) for p, k in left for n, m in right if k and k == m and p is not None}
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_masks_of_pairs_are_not_shuffled_row_by_row(spark):
+    plan = catalogue.remove_restore_mask(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Repartition")] and plan.count("Generate explode(_a#") == plan.count("Generate explode(_b#") == 1
