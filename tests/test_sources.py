@@ -1,5 +1,6 @@
 import hashlib
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,20 @@ def test_ids_that_share_several_keys_meet_once(spark, block):
 def test_masks_of_pairs_are_not_shuffled_row_by_row(spark):
     plan = catalogue.remove_restore_mask(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Repartition")] and plan.count("Generate explode(_a#") == plan.count("Generate explode(_b#") == 1
+
+
+def test_masks_have_all_pairs_that_an_event_affects(spark):
+    d = "/root/testdata/sf0.001"
+    shocks = [datetime(1993, 6, 10, 4), datetime(1995, 1, 17, 5, 46), datetime(1997, 11, 8, 10, 2)]
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz")).collect()
+    want = {k for k, day in orders if any(day <= t <= day + timedelta(days=30) for t in shocks)}
+    got = catalogue.remove_restore_mask(spark, d)
+    assert {x.pair_id for x in got.select("pair_id").distinct().collect()} == want and any(k % 40 for k in want)
+
+
+def test_rows_of_a_block_are_not_held_at_once(spark):
+    out = sharing(spark.createDataFrame([(i, "a") for i in range(9)], "p long, key string"), spark.createDataFrame([(i, "a") for i in range(7)], "n long, key string"), "p", "n", "key")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    dealt = plan[: plan.index("REPARTITION_BY_NUM")]
+    assert dealt.index("Generate explode(_b#") < dealt.index("Coalesce") < dealt.index("Generate explode(_a#") and "Aggregate" not in dealt
+    assert out.count() == 63
